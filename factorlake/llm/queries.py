@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from .mixing import op4_mixing
 from .packing import op10_packing
+from .quality import op8_quality
+from .simhash import op7_simhash
 from .token_counts import op3_token_counts
 from .url_filter import OP6_SQL, op6_url_filter
 
 QUERIES = {
     "op3_token_counts": op3_token_counts,
+    "op4_mixing": op4_mixing,
     "op6_url_filter": op6_url_filter,
+    "op7_simhash": op7_simhash,
+    "op8_quality": op8_quality,
     "op10_packing": op10_packing,
 }
 ORACLE_SQL = {"op6_url_filter": OP6_SQL}
