@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .line_dedup import op1_line_dedup
 from .mixing import op4_mixing
 from .packing import op10_packing
 from .quality import op8_quality
@@ -10,6 +11,7 @@ from .token_counts import op3_token_counts
 from .url_filter import OP6_SQL, op6_url_filter
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_mixing": op4_mixing,
     "op6_url_filter": op6_url_filter,
