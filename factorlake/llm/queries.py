@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .ann import op9_ann
+from .embedding_dedup import op2_embedding_dedup
 from .line_dedup import op1_line_dedup
 from .mixing import op4_mixing
 from .packing import op10_packing
@@ -12,11 +14,13 @@ from .url_filter import OP6_SQL, op6_url_filter
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_mixing": op4_mixing,
     "op6_url_filter": op6_url_filter,
     "op7_simhash": op7_simhash,
     "op8_quality": op8_quality,
+    "op9_ann": op9_ann,
     "op10_packing": op10_packing,
 }
 ORACLE_SQL = {"op6_url_filter": OP6_SQL}
