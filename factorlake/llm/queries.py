@@ -7,6 +7,7 @@ from .embedding_dedup import op2_embedding_dedup
 from .line_dedup import op1_line_dedup
 from .mixing import op4_mixing
 from .packing import op10_packing
+from .pii import op5_pii
 from .quality import op8_quality
 from .simhash import op7_simhash
 from .token_counts import op3_token_counts
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_mixing": op4_mixing,
+    "op5_pii": op5_pii,
     "op6_url_filter": op6_url_filter,
     "op7_simhash": op7_simhash,
     "op8_quality": op8_quality,
