@@ -1,0 +1 @@
+"""Factor research and backtests on Spark: panels, factors, evaluation, strategies."""
