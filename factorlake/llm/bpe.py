@@ -21,6 +21,11 @@ SPACE = r"\x09-\x0D\x20\x85\xA0  -     　"
 
 #: Scripts that the library and the regex module know from different Unicode versions: such texts go to the library whole.
 RARE = regex.compile("[\U00010D00-\U0001CFFF\U0001DF00-\U0001EFFF\U0001FBF0-\U0010FFFF]")
+#: The white space beyond ASCII, and the four control characters that only Python takes for white space.
+WIDE_SPACE = regex.compile("[\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\U00010D00-\U0001CFFF\U0001DF00-\U0001EFFF\U0001FBF0-\U0010FFFF]")
+CONTROLS = "\x1c\x1d\x1e\x1f"
+#: White space before a space: there a pre-token may hold both.
+DOUBLE = ("  ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ")
 
 
 def _spaces(pattern: str) -> str:
@@ -41,6 +46,13 @@ def _spaces(pattern: str) -> str:
     return "".join(out)
 
 
+def byte_letters() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable Latin-1 for itself, the others from U+0100 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class PreTokenized:
     """A tokenizer file whose pre-tokens this module can find; `known` is False for any other file."""
 
@@ -55,6 +67,9 @@ class PreTokenized:
         self.marks = special
         self.known, self.fold, pattern = self._read(spec)
         self.find = regex.compile(_spaces(pattern)).findall if self.known else None
+        self.model, letters = self.tokenizer.model, byte_letters()
+        self.letters = "".join(letters[b] for b in range(256))
+        self.marks_ids = {c: self.ids(c) for c in ".,;:!?"} if self.known else {}
 
     @staticmethod
     def _read(spec: dict) -> tuple[bool, bool, str]:
@@ -90,14 +105,39 @@ class PreTokenized:
             return list(chain.from_iterable([p] if i % 2 else self.find(self.normalize(p)) for i, p in enumerate(parts)))
         return self.find(self.normalize(text))
 
-    def ids(self, piece: str) -> list[int]:
-        return self.tokenizer.encode(piece, add_special_tokens=False).ids
+    def words(self, text: str) -> list[str] | None:
+        """The text cut at spaces, where every cut is also one between pre-tokens; None where that isn't sure.
+
+        If the tokenizer drops white space, the words stand for themselves.
+        Else every word but the first stands for itself after a space.
+        """
+        if any(m in text for m in self.marks) or not text.isascii() and WIDE_SPACE.search(text):
+            return None
+        if self.fold:
+            return None if any(c in text for c in CONTROLS) else self.normalize(text).split()
+        return None if any(d in text for d in DOUBLE) else text.split(" ")
+
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def piece_ids(self, piece: str) -> list[int]:
+        """ids() of something that words() or pieces() gave: letters, one pre-token as they are, go to the merges directly."""
+        end = self.marks_ids.get(piece[-1:])
+        word = piece[:-1] if end else piece
+        bare = word[1:] if word[:1] == " " and not self.fold else word
+        if not bare.isalpha() or not bare.isascii() and RARE.search(bare):
+            return self.ids(piece)
+        if len(bare) == len(word) and bare.isascii():
+            shown = word
+        else:
+            shown = "".join(map(self.letters.__getitem__, word.encode()))
+        return [t.id for t in self.model.tokenize(shown)] + (end or [])
 
 
 class Remembered(dict):
     """pre-token -> value: a fixed table of frequent ones, and a cache of at most `most` others."""
 
-    def __init__(self, value, frequent: dict | None = None, most: int = 400_000):
+    def __init__(self, value, frequent: dict | None = None, most: int = 1_000_000):
         super().__init__(frequent or {})
         self.value, self.frequent, self.most = value, frequent or {}, most + len(frequent or {})
 

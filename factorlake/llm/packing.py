@@ -14,6 +14,7 @@ gives the same pieces.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -36,12 +37,17 @@ def _encoder(tokenizer: str, end_id: int) -> Callable[[str], bytes]:
     """text -> its ids and end_id, as little-endian unsigned 32-bit numbers."""
     if (tokenizer, end_id) not in _encoders:
         bpe, end = PreTokenized(tokenizer), np.array([end_id], "<u4").tobytes()
-        of = lambda p: np.array(bpe.ids(p), "<u4").tobytes()
+        pack = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
         if bpe.known:
-            table = Remembered(of, most=300_000)
-            _encoders[tokenizer, end_id] = lambda text: b"".join(map(table.__getitem__, bpe.pieces(text))) + end
+            table = Remembered(lambda p: pack(bpe.piece_ids(p)))
+
+            def encode(text: str) -> bytes:
+                keys = bpe.words(text) if bpe.fold else None
+                return b"".join(map(table.__getitem__, bpe.pieces(text) if keys is None else keys)) + end
+
+            _encoders[tokenizer, end_id] = encode
         else:
-            _encoders[tokenizer, end_id] = lambda text: of(text) + end
+            _encoders[tokenizer, end_id] = lambda text: pack(bpe.ids(text)) + end
     return _encoders[tokenizer, end_id]
 
 
