@@ -31,8 +31,16 @@ def frequent_lengths(docs: DataFrame, tokenizer: str, text_col: str = "text") ->
     if not bpe.known:
         return pack_table({})
     rows = docs.select(F.col(text_col).alias("t")).where(F.length("t") <= SAMPLE_CHARS).limit(SAMPLE_DOCS).collect()
-    seen = Counter(p for r in rows for p in bpe.pieces(r.t) if len(p) <= 64)
-    return pack_table({p: len(bpe.ids(p)) for p, _ in seen.most_common(TABLE_SIZE)})
+    seen = Counter(p for r in rows for p in _keys(bpe, r.t)[1] if len(p) <= 64)
+    return pack_table({p: len(bpe.piece_ids(p)) for p, _ in seen.most_common(TABLE_SIZE)})
+
+
+def _keys(bpe: PreTokenized, text: str) -> tuple[str, list[str]]:
+    """A text as its first word and the others, each with the space before it; or as pre-tokens."""
+    words = None if bpe.fold else bpe.words(text)
+    if words is None:
+        return "", bpe.pieces(text)
+    return words[0], [" " + w for w in words[1:]]
 
 
 def _counter(tokenizer: str, table: tuple[bytes, bytes, bytes]):
@@ -48,8 +56,18 @@ def _counter(tokenizer: str, table: tuple[bytes, bytes, bytes]):
         elif not (bpe := PreTokenized(tokenizer)).known:
             _counters[key] = lambda text: len(bpe.ids(text))
         else:
-            lengths = Remembered(lambda p: len(bpe.ids(p)), unpack_table(table))
-            _counters[key] = lambda text: sum(map(lengths.__getitem__, bpe.pieces(text)))
+            frequent = unpack_table(table)
+            pieces = Remembered(lambda p: len(bpe.piece_ids(p)), most=100_000)
+            # keyed without the space that all of them follow
+            spaced = Remembered(lambda w: len(bpe.piece_ids(" " + w)), {p[1:]: n for p, n in frequent.items() if p[0] == " "})
+
+            def count(text: str) -> int:
+                words = bpe.words(text) if not bpe.fold else None
+                if words is None:
+                    return sum(map(pieces.__getitem__, bpe.pieces(text)))
+                return pieces[words[0]] + sum(map(spaced.__getitem__, words[1:]))
+
+            _counters[key] = count
     return _counters[key]
 
 
