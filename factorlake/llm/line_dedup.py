@@ -3,10 +3,11 @@
 A text's lines are hashed, and a rolling hash over two neighbouring lines is
 taken at each. Where it is lower than at the lines before and after, a chunk
 begins. The choice depends on the lines close by only, so that a passage is cut
-alike wherever it stands, and every chunk but a text's last has two lines at least.
+alike wherever it stands, and every such chunk but a text's last has two lines at
+least. A line of more than LONG words is a passage by itself and a chunk of its own.
 
-Chunks of two lines or more are grouped by hash and by their own bytes; of equal
-ones in several places, the first stays: the one in the lowest doc_id, there the
+Chunks of two lines or more, and long lines, are grouped by hash and by their
+own bytes; of equal ones in several places, the first stays: the one in the lowest doc_id, there the
 one that comes first. All of it is DataFrame operations. The grouping combines
 on the map side, so that a chunk that a third of all texts hold costs one row a
 task, and the way back from chunks to texts broadcasts only the chunks that
@@ -21,18 +22,29 @@ from pyspark.sql import functions as F
 from .common import heavy_join, let, materialize, read_table
 
 
+#: Words beyond which a line counts as a passage of several.
+LONG = 50
+
+
+def _long(line: Column) -> Column:
+    """Whether a line has more than LONG words, by its spaces."""
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) >= LONG
+
+
 def chunks(text: Column) -> Column:
-    """array<struct<h: bigint, lines: int, text: string>> of a text's chunks, in order; null for a null text."""
+    """array<struct<lines: int, text: string>> of a text's chunks, in order; null for a null text."""
     lines = F.split(text, "\n", -1)
 
     def rolled(hashes: Column) -> Column:
         n = F.size(hashes)
         return F.transform(hashes, lambda h, i: F.xxhash64(h, F.element_at(hashes, F.least(i + 2, n))))
 
-    def starts(r: Column) -> Column:
-        n = F.size(r)
-        low = lambda i: (F.element_at(r, i) < F.element_at(r, i - 1)) & (F.element_at(r, i) < F.element_at(r, i + 1))
-        inner = F.when(n > 3, F.filter(F.sequence(F.lit(2), F.greatest(n - 1, F.lit(2))), lambda i: (i > 2) & low(i))).otherwise(F.array().cast("array<int>"))
+    def starts(x: Column) -> Column:
+        """x: struct of the rolling hashes and of which lines are long."""
+        r, n = x["r"], F.size(x["r"])
+        low = lambda i: (i > 2) & (i < n) & (F.get(r, i - 1) < F.get(r, i - 2)) & (F.get(r, i - 1) < F.get(r, i))
+        alone = lambda i: F.get(x["w"], i - 1) | F.get(x["w"], i - 2)
+        inner = F.when(n > 1, F.filter(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda i: low(i) | alone(i))).otherwise(F.array().cast("array<int>"))
         return F.concat(F.array(F.lit(1)), inner)
 
     def cut(x: Column) -> Column:
@@ -43,18 +55,24 @@ def chunks(text: Column) -> Column:
         return F.transform(x["s"], body)
 
     def whole(v: Column) -> Column:
-        s = let(let(F.transform(v, lambda line: F.xxhash64(line)), rolled), starts)
+        both = F.struct(let(F.transform(v, lambda line: F.xxhash64(line)), rolled).alias("r"), F.transform(v, _long).alias("w"))
+        s = let(both, starts)
         return let(F.struct(v.alias("l"), s.alias("s")), cut)
 
     return F.when(text.isNotNull(), let(lines, whole))
 
 
+def _counts(c: str) -> Column:
+    """Whether a chunk may be removed."""
+    return (F.col(f"{c}.lines") > 1) | _long(F.col(f"{c}.text"))
+
+
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """h, text, n (in how many documents) and first (lowest _id) of each multi-line chunk in several places; text only where chunks share h.
+    """h, text, n (in how many documents) and first (lowest _id) of each chunk in several places; text only where chunks share h.
 
     A chunk that comes twice in one document only counts too.
     """
-    rows = docs.select("_id", F.explode(chunks(F.col("text"))).alias("c")).where("c.lines > 1")
+    rows = docs.select("_id", F.explode(chunks(F.col("text"))).alias("c")).where(_counts("c"))
     rows = rows.select("_id", F.xxhash64("c.text").alias("h"), F.col("c.text").alias("text"))
     groups = rows.groupBy("h", "text").agg(F.count("*").alias("n"), F.min("_id").alias("first"))
     groups = materialize(groups.where("n > 1"), "lines-repeated")
@@ -67,8 +85,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs with text cleaned, and n_lines, n_removed (lines) and n_chunks_removed.
 
-    A chunk of two lines or more that occurs more than once in all of docs stays
-    only at its first place. Lines that stay keep their order. A null text stays
+    A chunk of two lines or more, or a line of over LONG words, that occurs more
+    than once in all of docs stays only at its first place. Lines that stay keep their order. A null text stays
     null, with 0 lines; an empty text is one empty line. Rows that repeat an id
     count as one document: each keeps what the document keeps. A null id ranks
     after all others. No rows give no rows.
@@ -78,7 +96,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     total = dup.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     # which chunk numbers of which documents go
-    seen = ids.select("_id", F.posexplode(chunks(F.col("text"))).alias("k", "c")).where("c.lines > 1").select("_id", "k", F.xxhash64("c.text").alias("h"), F.col("c.text").alias("own"))
+    seen = ids.select("_id", F.posexplode(chunks(F.col("text"))).alias("k", "c")).where(_counts("c")).select("_id", "k", F.xxhash64("c.text").alias("h"), F.col("c.text").alias("own"))
     by_hash = dup.where("text is null").select("h", "n", "first")
     hits = heavy_join(seen.drop("own"), by_hash, "h", "n", total)
     sure = dup.where("text is not null")
