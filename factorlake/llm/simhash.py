@@ -18,6 +18,7 @@ chunks whose shared bits differ little enough are searched, by separate tasks.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -30,15 +31,24 @@ from .graph import components
 
 #: Members of a tree node, and of a bucket's chunk.
 FAN, CHUNK = 16, 4_096
-#: Distinct fingerprints from which on two stretches must agree instead of one.
+#: Distinct fingerprints from which on one more stretch must agree.
 WIDE = 1 << 23
 
 
-def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
-    """Bitwise majority (over half) of the hashes of all shingles; 0 for a text without words."""
-    tokens = (text or "").encode().lower().split()
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, words: int = 4, seed: int = 42, second: bool = False):
+    """Bitwise majority of the hashes of all shingles; 0 for a text without words. With second, a pair of it and one of remixed hashes."""
+    tokens = (text or "").encode("utf-8", "replace").lower().split()
     if not tokens:
-        return 0
+        return (0, 0) if second else 0
     joined = b" ".join(tokens)
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
     ends = np.cumsum(sizes + 1) - 1
@@ -46,21 +56,21 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
     k = max(0, len(tokens) - words)
     pairs = zip(starts[: k + 1].tolist(), ends[min(words, len(tokens)) - 1 :].tolist())
     hashes = np.array([h(joined[a:b], seed) for a, b in pairs], np.uint64)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * ones > len(hashes)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+    if not second:
+        return _majority(hashes)
+    mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return _majority(hashes), _majority(mixed ^ (mixed >> np.uint64(29)))
 
 
-def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, text_col: str = "text") -> Column:
-    """Column of fingerprints, as signed 64-bit numbers."""
+def fingerprints(words: int = 4, seed: int = 42, text_col: str = "text", second: bool = False) -> Column:
+    """Column of struct<fp, fp2> of fingerprints, as signed 64-bit numbers; fp2 is 0 unless second."""
 
-    @F.pandas_udf("long")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("fp long, fp2 long")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            yield pd.Series(np.array([fingerprint(t, words, seed) for t in batch], np.uint64).view(np.int64))
+            made = [fingerprint(t, words, seed, second) for t in batch]
+            both = np.array(made if second else [(x, 0) for x in made], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pd.DataFrame({"fp": both[:, 0], "fp2": both[:, 1]})
 
     return run(F.col(text_col))
 
@@ -105,13 +115,8 @@ class GrayIndex:
             yield q[near] + at, node[near]
 
 
-def spanning_edges(left: np.ndarray, right: np.ndarray | None, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect whatever links within `most` bits connect, inside left, or between left and right."""
-    index = GrayIndex(left if right is None else right)
-    members = index.values
-    queries = members if right is None else left
-    shift = 0 if right is None else len(left)
-    parent = np.arange(len(queries) + (0 if right is None else len(members)))
+def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray, edges: list[tuple[int, int]]) -> None:
+    """Union by the pairs (a, b); adds to edges one pair for each union, so that dense groups cost little."""
 
     def root(x):
         while parent[x] != x:
@@ -119,79 +124,99 @@ def spanning_edges(left: np.ndarray, right: np.ndarray | None, most: int) -> tup
             x = parent[x]
         return x
 
-    edges: list[tuple[int, int]] = []
-    for q, m in index.search(queries, most):
-        m = m + shift
-        keep = (q < m) if right is None else np.ones(len(q), bool)
-        for a, b in zip(q[keep].tolist(), m[keep].tolist()):
-            ra, rb = root(a), root(b)
+    while len(a):
+        while (parent[parent] != parent).any():
+            parent[:] = parent[parent]
+        apart = parent[a] != parent[b]
+        a, b = a[apart], b[apart]
+        # one pair for each group on the right side, then look again
+        for i in np.unique(parent[b], return_index=True)[1].tolist():
+            ra, rb = root(a[i]), root(b[i])
             if ra != rb:
                 parent[max(ra, rb)] = min(ra, rb)
-                edges.append((a, b))
-    both = members if right is None else np.concatenate([left, members])
-    e = np.array(edges, np.int64).reshape(-1, 2)
-    return both[e[:, 0]], both[e[:, 1]]
+                edges.append((a[i], b[i]))
+
+
+def spanning_edges(left: np.ndarray, right: np.ndarray | None, most: int, second: tuple | None = None, total: int = 0) -> np.ndarray:
+    """(n x 2) places, in left followed by right, of edges that connect whatever links connect: inside left, or between left and right.
+
+    Links are within `most` bits, and with second fingerprints (of left and of
+    right) within `total` bits of both together.
+    """
+    if right is None and len(left) <= 2 * FAN:  # one leaf
+        near = np.bitwise_count(left[:, None] ^ left) <= most
+        if second is not None:
+            near &= np.bitwise_count(left[:, None] ^ left) + np.bitwise_count(second[0][:, None] ^ second[0]) <= total
+        q, m = np.nonzero(np.triu(near, 1))
+        edges: list[tuple[int, int]] = []
+        if len(q):
+            _unite(np.arange(len(left)), q, m, edges)
+        return np.array(edges, np.int64).reshape(-1, 2)
+    index = GrayIndex(left if right is None else right)
+    shift = 0 if right is None else len(left)
+    parent = np.arange(len(left) + (0 if right is None else len(right)))
+    edges = []
+    for q, m in index.search(left, most):
+        m = index.order[m] + shift
+        keep = q < m
+        if second is not None:
+            other = second[0] if right is None else np.concatenate(second)
+            first = left if right is None else np.concatenate([left, right])
+            keep &= np.bitwise_count(first[q] ^ first[m]) + np.bitwise_count(other[q] ^ other[m]) <= total
+        _unite(parent, q[keep], m[keep], edges)
+    return np.array(edges, np.int64).reshape(-1, 2)
 
 
 def _keys(fp: Column, most: int, agree: int) -> Column:
     """Array of bucket keys: the values of each choice of `agree` stretches out of most + agree."""
-    from itertools import combinations
-
     n = most + agree
     cuts = [64 * i // n for i in range(n + 1)]
     stretch = [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cuts, cuts[1:])]
     return F.array(*[F.xxhash64(F.lit(i), *[stretch[k] for k in c]) for i, c in enumerate(combinations(range(n), agree))])
 
 
-def link_edges(distinct: DataFrame, most: int, n: int, chunk: int = CHUNK) -> DataFrame:
-    """a, b: edges between different fingerprints (column fp) that connect what links within `most` bits connect."""
-    agree = 1 if n < WIDE else 2
-    rows = distinct.select("fp", F.explode(_keys(F.col("fp"), most, agree)).alias("key"))
+def _edge_frame(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    """pairs: node numbers and the edges between their places."""
+    none = [np.empty(0, np.int64)]
+    return pd.DataFrame({"a": np.concatenate(none + [node[e[:, 0]] for node, e in pairs]), "b": np.concatenate(none + [node[e[:, 1]] for node, e in pairs])})
+
+
+def link_edges(distinct: DataFrame, most: int, n: int, chunk: int = CHUNK, total: int | None = None) -> DataFrame:
+    """a, b: edges between nodes (node, fp, fp2) that connect what links connect (see spanning_edges)."""
+    agree = 1 + (most > 4) + (n >= WIDE)
+    rows = distinct.select("node", "fp", "fp2", F.explode(_keys(F.col("fp"), most, agree)).alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
     large = materialize(sizes.where(F.col("n") > chunk), "simhash-large")
     n_large = large.count()
     spark = distinct.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 200_000)
 
+    def bucket(node: np.ndarray, fp: np.ndarray, fp2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return node, spanning_edges(fp.view(np.uint64), None, most, None if total is None else (fp2.view(np.uint64),) * 2, total or 0)
+
     def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by key; a bucket may go on in the next batch."""
-        held: list[np.ndarray] = []
-        last = None
+        held = [np.empty(0, np.int64)] * 4
         for pdf in batches:
-            key, fp = pdf["key"].to_numpy(), pdf["fp"].to_numpy().view(np.uint64)
-            cuts = np.flatnonzero(np.diff(key)) + 1
-            out_a, out_b = [], []
-            for k, part in zip(key[np.r_[0, cuts]] if len(key) else [], np.split(fp, cuts)):
-                if k != last and held:
-                    done(held, out_a, out_b)
-                    held = []
-                last = k
-                held.append(part)
-            yield frame(out_a, out_b)
-        out_a, out_b = [], []
-        if held:
-            done(held, out_a, out_b)
-        yield frame(out_a, out_b)
-
-    def done(held, out_a, out_b):
-        values = np.concatenate(held)
-        if len(values) > 1:
-            a, b = spanning_edges(values, None, most)
-            out_a.append(a)
-            out_b.append(b)
-
-    def frame(out_a, out_b):
-        join = lambda x: np.concatenate(x).view(np.int64) if x else np.empty(0, np.int64)
-        return pd.DataFrame({"a": join(out_a), "b": join(out_b)})
+            held = [np.concatenate([h, pdf[c].to_numpy()]) for h, c in zip(held, ("key", "node", "fp", "fp2"))]
+            key, *rest = held
+            if not len(key):
+                continue
+            cuts = np.r_[0, np.flatnonzero(np.diff(key)) + 1]
+            done = [bucket(*(x[a:b] for x in rest)) for a, b in zip(cuts, cuts[1:]) if b - a > 1]
+            held = [x[cuts[-1] :] for x in held]
+            yield _edge_frame([d for d in done if len(d[1])])
+        if len(held[0]) > 1:
+            yield _edge_frame([bucket(*held[1:])])
 
     small = rows.join(large.select("key"), "key", "left_anti") if n_large else rows
     edges = small.repartition(parts, "key").sortWithinPartitions("key").mapInPandas(within, "a long, b long")
     if n_large:
-        edges = edges.unionByName(_large_buckets(rows.join(large.select("key"), "key", "left_semi"), most, chunk))
+        edges = edges.unionByName(_large_buckets(rows.join(large.select("key"), "key", "left_semi"), most, chunk, total))
     return edges.distinct()
 
 
-def _large_buckets(rows: DataFrame, most: int, chunk: int) -> DataFrame:
+def _large_buckets(rows: DataFrame, most: int, chunk: int, total: int | None) -> DataFrame:
     """Edges of buckets of over `chunk` members: chunk by chunk, in Gray order, without chunk pairs that differ too much."""
 
     @F.pandas_udf("long")
@@ -204,7 +229,7 @@ def _large_buckets(rows: DataFrame, most: int, chunk: int) -> DataFrame:
     bounds = rows.groupBy("key").agg(F.count("*").alias("n"), F.percentile_approx("rank", [i / 256 for i in range(1, 257)], 4096).alias("q"))
     step = F.greatest(F.floor(256 * F.lit(max(1, chunk // 2)) / F.col("n")), F.lit(1)).cast("int")
     bounds = materialize(bounds.select("key", "n", F.filter("q", lambda x, i: ((i + 1) % step == 0)).alias("cuts")), "simhash-cuts")
-    placed = heavy_join(rows, bounds, "key", "n", rows.count()).select("key", "fp", F.size(F.filter("cuts", lambda c: c < F.col("rank"))).alias("chunk"))
+    placed = heavy_join(rows, bounds, "key", "n", rows.count()).select("key", "node", "fp", "fp2", F.size(F.filter("cuts", lambda c: c < F.col("rank"))).alias("chunk"))
     placed = materialize(placed, "simhash-chunks")
     nodes = placed.groupBy("key", "chunk").agg(F.bit_and("fp").alias("all"), F.bit_or("fp").alias("any"))
     nodes = materialize(nodes.select("key", "chunk", "all", F.bitwise_not(F.col("all").bitwiseXOR(F.col("any"))).alias("mask")), "simhash-nodes")
@@ -212,44 +237,52 @@ def _large_buckets(rows: DataFrame, most: int, chunk: int) -> DataFrame:
     differ = F.bit_count(F.col("i.all").bitwiseXOR(F.col("j.all")).bitwiseAND(F.col("i.mask")).bitwiseAND(F.col("j.mask")))
     pairs = i.join(j, "key").where((F.col("i.chunk") <= F.col("j.chunk")) & (differ <= most)).select("key", F.col("i.chunk").alias("i"), F.col("j.chunk").alias("j"))
     pairs = pairs.select("*", F.explode(F.array_distinct(F.array("i", "j"))).alias("chunk"))
-    tasks = placed.join(pairs, ["key", "chunk"]).select("key", "i", "j", "chunk", "fp")
+    tasks = placed.join(pairs, ["key", "chunk"]).select("key", "i", "j", "chunk", "node", "fp", "fp2")
 
     def between(pdf: pd.DataFrame) -> pd.DataFrame:
-        fp, part = pdf["fp"].to_numpy().view(np.uint64), pdf["chunk"].to_numpy()
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        a, b = spanning_edges(fp[part == i], None if i == j else fp[part == j], most)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+        left, right = pdf[pdf["chunk"] == i], pdf[pdf["chunk"] == j]
+        u = lambda part, c: part[c].to_numpy().view(np.uint64)
+        second = None if total is None else (u(left, "fp2"), u(right, "fp2"))
+        edges = spanning_edges(u(left, "fp"), None if i == j else u(right, "fp"), most, second, total or 0)
+        return _edge_frame([(left["node"].to_numpy() if i == j else np.concatenate([left["node"], right["node"]]), edges)])
 
     return tasks.groupBy("key", "i", "j").applyInPandas(between, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = 4, words: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, max_bits: int = 4, words: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", check_bits: int | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id that links reach) of every row.
 
+    Texts link within max_bits differing bits of their fingerprints. With
+    check_bits, each text has a second fingerprint of remixed hashes, and those
+    that link must also be within check_bits of the 128 bits together: that
+    allows a wider max_bits without links between unlike texts.
+
     Null and empty texts, and texts without words, have fingerprint 0, which
     links like any other. Rows that repeat an id each get their row; a null id
     keeps its row and is never a component's smallest one unless it is alone
     (then null). No rows give no rows. Other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), fingerprints(docs, words, seed, text_col).alias("fp"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), fingerprints(words, seed, text_col, check_bits is not None).alias("f")).select("doc_id", "f.fp", "f.fp2")
+    rows = rows.withColumn("node", F.col("fp") if check_bits is None else F.xxhash64("fp", "fp2"))
     rows = materialize(rows, "simhash-rows")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-distinct")
+    distinct = materialize(rows.groupBy("node", "fp", "fp2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-distinct")
     n = distinct.count()
-    links = materialize(components(link_edges(distinct, max_bits, n)), "simhash-components")
-    owner = distinct.join(links.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    links = materialize(components(link_edges(distinct, max_bits, n, CHUNK, check_bits)), "simhash-components")
+    owner = distinct.drop("fp", "fp2").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = owner.groupBy("component").agg(F.min("first").alias("component_id"), F.sum("n").alias("members"), F.count("*").alias("fps"))
     total = rows.count()
     least = max(1, n // 1000)
     # components of many fingerprints, at most 1000, go by broadcast
     hot = F.broadcast(first.where(F.col("fps") > least).select("component", F.col("component_id").alias("_hot")))
     owner = owner.join(hot, "component", "left")
-    named = owner.where("_hot is not null").select("fp", "n", F.col("_hot").alias("component_id")).unionByName(
-        owner.where("_hot is null").join(first.where(F.col("fps") <= least), "component").select("fp", "n", "component_id")
+    named = owner.where("_hot is not null").select("node", "n", F.col("_hot").alias("component_id")).unionByName(
+        owner.where("_hot is null").join(first.where(F.col("fps") <= least), "component").select("node", "n", "component_id")
     )
     # components without any id have no hot name: they come by the second way
     lost = owner.where("_hot is null").join(first.where((F.col("fps") > least) & F.col("component_id").isNull()).select("component"), "component", "left_semi")
-    named = materialize(named.unionByName(lost.select("fp", "n", F.lit(None).cast(rows.schema["doc_id"].dataType).alias("component_id"))), "simhash-named")
-    out = heavy_join(rows, named.withColumnRenamed("n", "n_rows"), "fp", "n_rows", total)
+    named = materialize(named.unionByName(lost.select("node", "n", F.lit(None).cast(rows.schema["doc_id"].dataType).alias("component_id"))), "simhash-named")
+    out = heavy_join(rows, named.withColumnRenamed("n", "n_rows"), "node", "n_rows", total)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
