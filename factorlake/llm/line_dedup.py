@@ -88,26 +88,27 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A chunk of two lines or more, or a line of over LONG words, that occurs more
     than once in all of docs stays only at its first place. Lines that stay keep their order. A null text stays
     null, with 0 lines; an empty text is one empty line. Rows that repeat an id
-    count as one document: each keeps what the document keeps. A null id ranks
-    after all others. No rows give no rows.
+    are one place: each keeps its first such chunk, if that id is the lowest. A
+    null id ranks after all others. No rows give no rows.
     """
-    ids = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("text"))
+    # a row is known by its id and its text's hash, so that rows of one id keep apart
+    ids = docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("_t"), F.col(f"`{text_col}`").alias("text"))
     dup = materialize(repeated_chunks(ids), "lines-dup")
     total = dup.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     # which chunk numbers of which documents go
-    seen = ids.select("_id", F.posexplode(chunks(F.col("text"))).alias("k", "c")).where(_counts("c")).select("_id", "k", F.xxhash64("c.text").alias("h"), F.col("c.text").alias("own"))
+    seen = ids.select("_id", "_t", F.posexplode(chunks(F.col("text"))).alias("k", "c")).where(_counts("c")).select("_id", "_t", "k", F.xxhash64("c.text").alias("h"), F.col("c.text").alias("own"))
     by_hash = dup.where("text is null").select("h", "n", "first")
     hits = heavy_join(seen.drop("own"), by_hash, "h", "n", total)
     sure = dup.where("text is not null")
     # two different repeated chunks with one 64-bit hash: told apart by their bytes
     if sure.limit(1).count():
         odd = seen.join(F.broadcast(sure.select(F.col("h").alias("_h"), "text", "n", "first")), (F.col("h") == F.col("_h")) & (F.col("own") == F.col("text")))
-        hits = hits.unionByName(odd.select("h", "_id", "k", "n", "first"))
+        hits = hits.unionByName(odd.select("h", "_id", "_t", "k", "n", "first"))
     # within the first document, the first of equal chunks stays
-    per_doc = hits.groupBy("_id", "h", "first").agg(F.collect_list("k").alias("ks"))
+    per_doc = hits.groupBy("_id", "_t", "h", "first").agg(F.collect_set("k").alias("ks"))
     stays = F.when(F.col("_id").eqNullSafe(F.col("first")), F.slice(F.array_sort("ks"), F.lit(2), F.size("ks"))).otherwise(F.col("ks"))
-    goes = per_doc.select("_id", F.explode(stays).alias("k")).groupBy("_id").agg(F.collect_set("k").alias("_goes"))
+    goes = per_doc.select("_id", "_t", F.explode(stays).alias("k")).groupBy("_id", "_t").agg(F.collect_set("k").alias("_goes"))
 
     def keep(x: Column) -> Column:
         """x: struct of the chunks and the numbers that go."""
@@ -118,7 +119,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             F.aggregate(x["g"], F.lit(0), lambda n, k: n + F.get(x["c"], k)["lines"]).alias("removed"),
         )
 
-    out = docs.withColumnRenamed(text_col, "_text").join(goes.withColumnRenamed("_id", "_gid"), F.col(f"`{id_col}`").eqNullSafe(F.col("_gid")), "left")
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_gid")) & (F.xxhash64("_text") == F.col("_t"))
+    out = docs.withColumnRenamed(text_col, "_text").join(goes.withColumnRenamed("_id", "_gid"), same, "left")
     # a text that loses nothing isn't cut again
     n_lines = F.when(F.col("_text").isNull(), 0).otherwise(F.size(F.split("_text", "\n", -1)))
     cleaned = F.when(F.col("_goes").isNotNull(), let(F.struct(chunks(F.col("_text")).alias("c"), F.col("_goes").alias("g")), keep))

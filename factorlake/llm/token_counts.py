@@ -27,8 +27,8 @@ _counters: dict = {}
 
 def frequent_lengths(docs: DataFrame, tokenizer: str, text_col: str = "text") -> tuple[bytes, bytes, bytes]:
     """Lengths of the most frequent pre-tokens in at most SAMPLE_DOCS texts of at most SAMPLE_CHARS characters."""
-    bpe = PreTokenized(tokenizer)
-    if not bpe.known:
+    bpe = PreTokenized(tokenizer) if tokenizer.endswith(".json") else None
+    if bpe is None or not bpe.known:
         return pack_table({})
     rows = docs.select(F.col(text_col).alias("t")).where(F.length("t") <= SAMPLE_CHARS).limit(SAMPLE_DOCS).collect()
     seen = Counter(p for r in rows for p in _keys(bpe, r.t)[1] if len(p) <= 64)
