@@ -115,8 +115,9 @@ class Network(BaseModel):
     def _weights(self) -> list[float]:
         import numpy as np
 
-        first = [np.abs(m[0][0]).sum(axis=1) for m in self.model.members]
-        return list(np.mean(first, axis=0))
+        # a feature's paths through all layers, as if every unit were on
+        paths = [np.linalg.multi_dot([w for w, _ in m])[:, 0] for m in self.model.members]
+        return list(np.abs(np.mean(paths, axis=0)))
 
 
 def _forward(layers, x):
