@@ -28,11 +28,11 @@ LONG = 50
 
 def _long(line: Column) -> Column:
     """Whether a line has more than LONG words, by its spaces."""
-    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) >= LONG
+    return (F.octet_length(line) > 2 * LONG) & (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) >= LONG)
 
 
 def chunks(text: Column) -> Column:
-    """array<struct<lines: int, text: string>> of a text's chunks, in order; null for a null text."""
+    """array<struct<lines: int, goes: boolean, text: string>> of a text's chunks, in order; goes: may be removed. Null for a null text."""
     lines = F.split(text, "\n", -1)
 
     def rolled(hashes: Column) -> Column:
@@ -48,31 +48,25 @@ def chunks(text: Column) -> Column:
         return F.concat(F.array(F.lit(1)), inner)
 
     def cut(x: Column) -> Column:
-        """x: struct of the lines and the numbers of the lines that chunks start at."""
+        """x: struct of the lines, of which are long, and the numbers of the lines that chunks start at."""
         n, s = F.size(x["l"]), F.size(x["s"])
         end = lambda k: F.when(k + 2 > s, n + 1).otherwise(F.get(x["s"], k + 1))
-        body = lambda start, k: F.struct((end(k) - start).alias("lines"), F.array_join(F.slice(x["l"], start, end(k) - start), "\n").alias("text"))
+        body = lambda start, k: F.struct((end(k) - start).alias("lines"), ((end(k) - start > 1) | F.get(x["w"], start - 1)).alias("goes"), F.array_join(F.slice(x["l"], start, end(k) - start), "\n").alias("text"))
         return F.transform(x["s"], body)
 
     def whole(v: Column) -> Column:
         both = F.struct(let(F.transform(v, lambda line: F.xxhash64(line)), rolled).alias("r"), F.transform(v, _long).alias("w"))
-        s = let(both, starts)
-        return let(F.struct(v.alias("l"), s.alias("s")), cut)
+        return let(both, lambda x: let(F.struct(v.alias("l"), x["w"].alias("w"), starts(x).alias("s")), cut))
 
     return F.when(text.isNotNull(), let(lines, whole))
 
 
-def _counts(c: str) -> Column:
-    """Whether a chunk may be removed."""
-    return (F.col(f"{c}.lines") > 1) | _long(F.col(f"{c}.text"))
-
-
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """h, text, n (in how many documents) and first (lowest _id) of each chunk in several places; text only where chunks share h.
 
     A chunk that comes twice in one document only counts too.
     """
-    rows = docs.select("_id", F.explode(chunks(F.col("text"))).alias("c")).where(_counts("c"))
+    rows = docs.select("_id", F.explode(chunks(F.col("text"))).alias("c")).where("c.goes")
     rows = rows.select("_id", F.xxhash64("c.text").alias("h"), F.col("c.text").alias("text"))
     groups = rows.groupBy("h", "text").agg(F.count("*").alias("n"), F.min("_id").alias("first"))
     groups = materialize(groups.where("n > 1"), "lines-repeated")
@@ -97,7 +91,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     total = dup.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     # which chunk numbers of which documents go
-    seen = ids.select("_id", "_t", F.posexplode(chunks(F.col("text"))).alias("k", "c")).where(_counts("c")).select("_id", "_t", "k", F.xxhash64("c.text").alias("h"), F.col("c.text").alias("own"))
+    seen = ids.select("_id", "_t", F.posexplode(chunks(F.col("text"))).alias("k", "c")).where("c.goes").select("_id", "_t", "k", F.xxhash64("c.text").alias("h"), F.col("c.text").alias("own"))
     by_hash = dup.where("text is null").select("h", "n", "first")
     hits = heavy_join(seen.drop("own"), by_hash, "h", "n", total)
     sure = dup.where("text is not null")
