@@ -17,8 +17,9 @@ def corr(a: str, b: str) -> Column:
 
 def average_rank(c: str, *keys: str) -> Column:
     """Rank within keys, from 1; ties get their mean rank."""
-    w = Window.partitionBy(*keys)
-    return F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, c)) - 1) / 2
+    # ties are the rows of the same place in one order: no second shuffle by value
+    w = Window.partitionBy(*keys).orderBy(c)
+    return F.rank().over(w) + (F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow)) - 1) / 2
 
 
 def correlation(df: DataFrame, a: str, b: str, keys: list[str], method: str = "rank", least: int = 3) -> DataFrame:

@@ -20,7 +20,11 @@ def supplier_bars(spark: SparkSession, sf_dir: str, bucket: str = "week") -> Dat
     """date, symbol, OHLCV and amount of each supplier's unit prices per week, month or day."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     price = half_up(F.col("l_extendedprice") / F.col("l_quantity"), 4)
-    key = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    # the order of trades (day, order, line, part, price) as one decimal number: a hash aggregate can hold it, but no struct
+    day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    high = (day * 10**12 + F.col("l_orderkey")).cast("decimal(19,0)")
+    low = F.col("l_linenumber").cast("long") * 10**17 + F.col("l_partkey") * 10**8 + F.round(F.col("l_extendedprice") * 100).cast("long")
+    key = (high * F.lit(10**18).cast("decimal(19,0)") * 10 + low).cast("decimal(38,0)")
     rows = li.where("l_quantity != 0").select(F.date_trunc(bucket, "l_shipdate").cast("date").alias("date"), F.col("l_suppkey").cast("string").alias("symbol"), price.alias("u"), key.alias("k"), "l_quantity", "l_extendedprice")
     return rows.groupBy("date", "symbol").agg(
         F.min_by("u", "k").alias("open"),
