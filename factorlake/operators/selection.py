@@ -164,7 +164,8 @@ class LayeredResult:
 
     def __init__(self, factors: DataFrame, returns: DataFrame, n_groups: int = 5, per_year: int = 252):
         self.n_groups = n_groups
-        self.group_returns = group_returns(factors, returns, n_groups)
+        # a row a group and date, which every measure starts from
+        self.group_returns = group_returns(factors, returns, n_groups).persist()
         self.cumulative_returns = cumulative_returns(self.group_returns)
         self.group_metrics = group_metrics(self.group_returns, per_year)
         self.spread = spread_series(self.group_returns, n_groups)

@@ -43,6 +43,17 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: X.half_up(F.col(c), digits) for c in names})
 
 
+_kept: dict[tuple[str, str], DataFrame] = {}
+
+
+def _calm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars that most queries start from, kept for the session: each of them reads them several times."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _kept:
+        _kept[key] = X.calm_bars(spark, sf_dir).persist()
+    return _kept[key]
+
+
 # --- SQL pieces -------------------------------------------------------------------
 
 
@@ -226,7 +237,7 @@ def reports_point_in_time(spark, sf_dir):
 
 
 def _grid(spark, sf_dir, *cols):
-    return P.densify(X.calm_bars(spark, sf_dir), *(cols or ("close",)))
+    return P.densify(_calm(spark, sf_dir), *(cols or ("close",)))
 
 
 @query(w_(select="SELECT symbol, date_idx, date, close, volume FROM grid"))
@@ -270,7 +281,7 @@ ORACLE_SQL["rolling_corr_20"] = w_(select=f"SELECT symbol, date, {r(f'CASE WHEN
 @query(w_(select=f"""SELECT symbol, date, {r(f"CASE WHEN count(g) {WB[:-1]} ROWS UNBOUNDED PRECEDING) >= 14 THEN sum(g * w) {WB[:-1]} ROWS UNBOUNDED PRECEDING) / sum(CASE WHEN g IS NOT NULL THEN w END) {WB[:-1]} ROWS UNBOUNDED PRECEDING) END")} AS x
 FROM (SELECT *, CASE WHEN d IS NOT NULL THEN greatest(d, 0) END AS g FROM (SELECT date, symbol, close - lag(close) {WB} AS d, pow(1 - 1.0 / 14, -CAST(row_number() {WB} - 1 AS DOUBLE)) AS w FROM calm))"""))
 def ewm_gain_14(spark, sf_dir):
-    df = X.calm_bars(spark, sf_dir).withColumn("g", P.clip_lower(P.diff(F.col("close"))))
+    df = _calm(spark, sf_dir).withColumn("g", P.clip_lower(P.diff(F.col("close"))))
     return rounded(P.with_ewm_mean(df, "g", "x", 1 / 14, 14), "x").select("symbol", "date", "x")
 
 
@@ -311,7 +322,7 @@ def _factor(f, sql: str, name: str | None = None):
     key = name or f.name
     digits = 6
     timing = isinstance(f, FA.BaseTimingFactor)
-    QUERIES[key] = lambda s, d: f.generate_signals(X.calm_bars(s, d)) if timing else rounded(f.generate_signals(X.calm_bars(s, d)), "value", digits=digits)
+    QUERIES[key] = lambda s, d: f.generate_signals(_calm(s, d)) if timing else rounded(f.generate_signals(_calm(s, d)), "value", digits=digits)
     ORACLE_SQL[key] = w_(select=sql if timing else f"SELECT date, symbol, {r('value', digits)} AS value FROM ({sql})")
 
 
@@ -326,7 +337,7 @@ _factor(FA.RSI(), RSI)
 
 
 def _panel(spark, sf_dir):
-    return FA.factor_panel(X.calm_bars(spark, sf_dir), FACTORS)
+    return FA.factor_panel(_calm(spark, sf_dir), FACTORS)
 
 
 @query(w_(FACTOR_SQL, select=f"SELECT date, symbol, factor, {r('value')} AS value FROM fac"))
@@ -345,7 +356,7 @@ def factor_outer_join(spark, sf_dir):
 
 
 def _returns(spark, sf_dir, price="close", periods=SE.PERIODS):
-    return SE.forward_returns(X.calm_bars(spark, sf_dir), periods, price)
+    return SE.forward_returns(_calm(spark, sf_dir), periods, price)
 
 
 @query(w_(fwd_sql("close"), select=f"SELECT date, symbol, period, {r('ret')} AS ret FROM fwd"))
@@ -400,7 +411,7 @@ def qcut_groups(spark, sf_dir):
 
 
 def _groups(spark, sf_dir, price="close"):
-    return SE.group_returns(_panel(spark, sf_dir), _returns(spark, sf_dir, price))
+    return SE.group_returns(_panel(spark, sf_dir), _returns(spark, sf_dir, price)).persist()
 
 
 @query(w_(FACTOR_SQL, fwd_sql("close"), QCUT, select=f"SELECT factor, period, date, CAST(grp AS INTEGER) AS grp, {r('ret')} AS ret FROM gret"))
@@ -437,7 +448,7 @@ _REPORT = ["ic_mean", "ic_std", "icir", "t_stat", "ic_positive", "turnover", *_S
 
 @query(w_(FACTOR_SQL, fwd_sql("open"), ic_sql("rank"), STATS, QCUT, SPREAD, TURN, select=f"SELECT factor, period, {', '.join(f'{r(c)} AS {c}' for c in _REPORT)} FROM st LEFT JOIN (SELECT factor, avg(turnover) AS turnover FROM turn GROUP BY factor) USING (factor) LEFT JOIN spread_metrics USING (factor, period)"))
 def factor_report(spark, sf_dir):
-    bars = X.calm_bars(spark, sf_dir)
+    bars = _calm(spark, sf_dir)
     report = SE.FactorReport(FA.factor_panel(bars, FACTORS), bars)
     return rounded(report.summary(12, p_values=False), *_REPORT)
 
@@ -463,7 +474,7 @@ bench AS (SELECT date, price / nullif(lag(price) OVER (ORDER BY date), 0) - 1 AS
 
 
 def _trows(spark, sf_dir):
-    bars = X.calm_bars(spark, sf_dir)
+    bars = _calm(spark, sf_dir)
     return T.joined(FA.factor_panel(bars, [FA.MACross(), FA.RSI()]), bars)
 
 
@@ -479,12 +490,12 @@ def timing_nav(spark, sf_dir):
 
 @query(w_(TROWS, select=f"SELECT date, {r('b')} AS ret, {r('bnav')} AS nav FROM bench"))
 def benchmark_nav(spark, sf_dir):
-    return rounded(T.buy_and_hold(T.benchmark_close(X.calm_bars(spark, sf_dir))), "ret", "nav")
+    return rounded(T.buy_and_hold(T.benchmark_close(_calm(spark, sf_dir))), "ret", "nav")
 
 
 @query(w_(TROWS, select=f"SELECT factor, symbol, date, {r('sret - b')} AS excess FROM tnav JOIN bench USING (date) WHERE b IS NOT NULL"))
 def excess_returns(spark, sf_dir):
-    bench = T.buy_and_hold(T.benchmark_close(X.calm_bars(spark, sf_dir)))
+    bench = T.buy_and_hold(T.benchmark_close(_calm(spark, sf_dir)))
     return rounded(T.excess_returns(T.strategy_returns(_trows(spark, sf_dir)), bench), "excess")
 
 
@@ -499,7 +510,7 @@ def _tm(ret: str, n: str, name: str, src: str) -> str:
   {r('e.annual', 4)} AS excess_annual_return, {r('e.annual / nullif(e.mdd, 0)', 4)} AS excess_calmar FROM ma_ a LEFT JOIN (SELECT * FROM me_ WHERE n >= 2) e ON e.factor = a.factor AND e.symbol = a.symbol
   LEFT JOIN (SELECT factor, symbol, avg(CASE WHEN sign(signal) = sign(ret) THEN 1 ELSE 0 END) AS v FROM trows WHERE ret IS NOT NULL AND signal <> 0 GROUP BY ALL) w ON w.factor = a.factor AND w.symbol = a.symbol"""))
 def timing_summary(spark, sf_dir):
-    bars = X.calm_bars(spark, sf_dir)
+    bars = _calm(spark, sf_dir)
     out = T.summary(FA.factor_panel(bars, [FA.MACross(), FA.RSI()]), bars, bars)
     return rounded(out, *out.columns[2:], digits=4)
 
@@ -516,12 +527,12 @@ held AS (SELECT g.symbol, g.date_idx, g.date, coalesce(last_value(CASE WHEN p.we
 
 @query(w_(select="SELECT date, symbol, (close IS NOT NULL AND coalesce(volume, 0) > 0) AS tradable FROM calm"))
 def tradable_mask(spark, sf_dir):
-    return PF.tradable(X.calm_bars(spark, sf_dir))
+    return PF.tradable(_calm(spark, sf_dir))
 
 
 @query(w_(REB, select="SELECT date FROM reb"))
 def rebalance_dates(spark, sf_dir):
-    return PF.rebalance_dates(X.calm_bars(spark, sf_dir), "ME")
+    return PF.rebalance_dates(_calm(spark, sf_dir), "ME")
 
 
 @query(f"WITH u AS ({USER_SQL}) SELECT max(date) AS date FROM (SELECT DISTINCT date FROM u) GROUP BY date_trunc('week', date + 2)")
@@ -530,7 +541,7 @@ def rebalance_dates_weekly(spark, sf_dir):
 
 
 def _weights(spark, sf_dir):
-    bars = X.calm_bars(spark, sf_dir)
+    bars = _calm(spark, sf_dir)
     return PF.TopKPortfolio(5, 0.0, "ME").generate_target_weights(FA.Momentum(20).generate_signals(bars), bars)
 
 
@@ -547,12 +558,12 @@ def target_shifted(spark, sf_dir):
 
 @query()
 def topk_dropout(spark, sf_dir):
-    bars = X.calm_bars(spark, sf_dir)
+    bars = _calm(spark, sf_dir)
     return rounded(PF.topk_dropout(FA.Momentum(20).generate_signals(bars), bars, 10, 2), "weight")
 
 
 def _simulation(spark, sf_dir):
-    bars = X.calm_bars(spark, sf_dir)
+    bars = _calm(spark, sf_dir)
     return CashAccountEngine(initial_capital=1_000_000.0).run_simulation(_weights(spark, sf_dir), bars)
 
 
@@ -592,7 +603,7 @@ sim(i, date, cash, shares, equity) AS (
       greatest(least(CAST(floor((s.cash + s.shares * d.price) / (d.price * 1.002)) AS BIGINT) - s.shares, CAST(floor(s.cash / (d.price * 1.002)) AS BIGINT)), 0) AS bought FROM sim s JOIN days d ON d.i = s.i + 1))
 SELECT date, shares, {r('equity', 4)} AS equity FROM sim""")
 def simulate_single(spark, sf_dir):
-    one = X.calm_bars(spark, sf_dir)
+    one = _calm(spark, sf_dir)
     days = one.select("date").distinct()
     first = one.where("symbol = '1'").agg(F.min("date").alias("_d"))
     own = one.where("symbol = '1'").unionByName(days.crossJoin(first).where("date >= _d").join(one.where("symbol = '1'").select("date"), "date", "left_anti").select("date", F.lit("1").alias("symbol"), *[F.lit(None).cast("double").alias(c) for c in one.columns[2:]]))
@@ -603,7 +614,7 @@ def simulate_single(spark, sf_dir):
 
 
 def _analyzer(spark, sf_dir):
-    return A.StrategyAnalyzer(_simulation(spark, sf_dir), A.equal_weight_benchmark(X.calm_bars(spark, sf_dir)))
+    return A.StrategyAnalyzer(_simulation(spark, sf_dir), A.equal_weight_benchmark(_calm(spark, sf_dir)))
 
 
 @query()
@@ -638,23 +649,23 @@ EW = "ew AS (SELECT date, coalesce(m / nullif(lag(m) OVER (ORDER BY date), 0) -
 
 @query(w_(EW, select=f"SELECT date, {r('ret')} AS ret FROM ew"))
 def benchmark_equal_weight(spark, sf_dir):
-    return rounded(A.equal_weight_benchmark(X.calm_bars(spark, sf_dir)), "ret").select("date", "ret")
+    return rounded(A.equal_weight_benchmark(_calm(spark, sf_dir)), "ret").select("date", "ret")
 
 
 @query(w_(select=f"SELECT date, symbol, {r(f'coalesce({chg(chr(112) + chr(99), 1)}, 0.0)')} AS ret FROM grid"))
 def benchmark_returns(spark, sf_dir):
-    return rounded(A.benchmark_returns(X.calm_bars(spark, sf_dir)), "ret")
+    return rounded(A.benchmark_returns(_calm(spark, sf_dir)), "ret")
 
 
 @query(w_(EW, select=f"SELECT CAST(date_trunc('month', date) AS DATE) AS month, {r('product(1 + ret) - 1')} AS ret FROM ew GROUP BY 1"))
 def monthly_returns(spark, sf_dir):
-    r_ = A.equal_weight_benchmark(X.calm_bars(spark, sf_dir))
+    r_ = A.equal_weight_benchmark(_calm(spark, sf_dir))
     return rounded(r_.groupBy(F.trunc("date", "month").alias("month")).agg((F.product(1 + F.col("ret")) - 1).alias("ret")), "ret")
 
 
 @query(w_(EW, select=f"SELECT date, {r('CASE WHEN count(ret) OVER w = 60 THEN avg(ret) OVER w / nullif(stddev_pop(ret) OVER w, 0) * sqrt(252) END')} AS sharpe FROM ew WINDOW w AS (ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"))
 def rolling_sharpe_60(spark, sf_dir):
-    e = A.equal_weight_benchmark(X.calm_bars(spark, sf_dir))
+    e = A.equal_weight_benchmark(_calm(spark, sf_dir))
     x = F.try_divide(P.rolling_mean(F.col("ret"), 60), P.rolling_std(F.col("ret"), 60, 0)) * F.sqrt(F.lit(252.0))
     return rounded(e.withColumn("sharpe", x), "sharpe").select("date", "sharpe")
 
@@ -707,21 +718,21 @@ def valuation_parse(spark, sf_dir):
 
 
 def _model_data(spark, sf_dir):
-    bars = X.calm_bars(spark, sf_dir)
+    bars = _calm(spark, sf_dir)
     return FA.factor_grid(bars, FACTORS).join(SE.forward_returns(bars, [5], "close").select("date", "symbol", F.col("ret").alias("target")), ["date", "symbol"]).dropna()
 
 
 @query(w_("n AS (SELECT date, symbol, row_number() OVER (ORDER BY date, symbol) - 1 AS i, count(*) OVER () AS n FROM calm)", "s AS (SELECT *, n // 6 AS size, n - 5 * (n // 6) AS first FROM n)",
     select="SELECT fold, part, count(*) AS n, min(i) AS low, max(i) AS high, min(date) AS first_date, max(date) AS last_date FROM (SELECT *, CASE WHEN i < first + (fold - 1) * size THEN 'train' WHEN i < first + fold * size THEN 'val' END AS part FROM s CROSS JOIN (SELECT unnest(range(1, 6)) AS fold)) WHERE part IS NOT NULL GROUP BY ALL"))
 def ts_cv_folds(spark, sf_dir):
-    f = time_folds(X.calm_bars(spark, sf_dir).select("date", "symbol"))
+    f = time_folds(_calm(spark, sf_dir).select("date", "symbol"))
     out = f.groupBy("fold", "part").agg(F.count(F.lit(1)).alias("n"), F.min("_i").alias("low"), F.max("_i").alias("high"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
     return out.withColumn("fold", F.col("fold").cast("long"))
 
 
 @query(w_(select="SELECT date, symbol, row_number() OVER (ORDER BY date, symbol) - 1 AS i FROM calm"))
 def time_row_numbers(spark, sf_dir):
-    return row_numbers(X.calm_bars(spark, sf_dir).select("date", "symbol")).withColumnRenamed("_i", "i")
+    return row_numbers(_calm(spark, sf_dir).select("date", "symbol")).withColumnRenamed("_i", "i")
 
 
 @query()
