@@ -15,7 +15,10 @@ bound is cut into chunks, and pairs of chunks are searched by separate tasks.
 
 An audit compares link counts of a bounded set of vectors with brute force over
 all rows; where the graph has found too few, the overlap is doubled and the
-graph built anew.
+graph built anew. Where that doesn't help, or would cost more than comparing
+all, an exact pass follows: every vector lies in the cell of its nearest centre,
+and meets each cell whose angular radius, widened by the threshold's angle,
+reaches it. By the triangle inequality no link lies elsewhere.
 """
 
 from __future__ import annotations
@@ -39,8 +42,12 @@ SAMPLE_EACH, MOST_SAMPLE = 24, 262_144
 POOL, DEGREE, ALPHA, BEAM = 48, 24, 1.2, 24
 #: Below the threshold by so much, a vertex is still spread from.
 SLACK = 0.04
-#: Audited vectors, and the share of their links that must be found.
+#: Audited vectors, and the mean share of a vector's links that must be found.
 AUDITED, LEAST_RECALL = 256, 0.98
+#: Shards of a vector beyond which the exact pass follows.
+MOST_OVERLAP = 64
+#: Radians by which the exact pass looks further, for rounding.
+ROUNDING = 1e-6
 
 
 def centres(sample: np.ndarray, k: int, rounds: int = 6, seed: int = 5) -> np.ndarray:
@@ -186,7 +193,11 @@ def _shard_links(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
         keep[at : at + 200_000] = (low == shard) & (cos >= least)
     a, b = a[keep], b[keep]
     links = np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))
-    # every member of a group points to its first
+    return _link_rows(ids, a, b, links)
+
+
+def _link_rows(ids: np.ndarray, a: np.ndarray, b: np.ndarray, links: np.ndarray) -> pd.DataFrame:
+    """(id, other or null, links) rows of the links between places a and b: every member of a group points to its first."""
     label = np.arange(len(ids))
     while True:
         new = label.copy()
@@ -201,13 +212,18 @@ def _shard_links(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
     return pd.DataFrame({"id": ids[on], "other": other, "links": links[on].astype(np.int64)})
 
 
+def _sampled_centres(vectors: DataFrame, k: int, n: int) -> np.ndarray:
+    """k centres of a bounded sample of vectors."""
+    want = min(MOST_SAMPLE, n, max(1_024, SAMPLE_EACH * k))
+    some = vectors.select("id", "v").orderBy(F.xxhash64("id")).limit(want).toPandas().sort_values("id", kind="stable")
+    return centres(_unit(np.stack(some["v"].to_numpy()).astype(np.float64)).astype(np.float32), k)
+
+
 def _links(vectors: DataFrame, least: float, overlap: int, n: int) -> DataFrame:
     """id, other (a vector of the same group, or null) and links, a row for each shard in which id has links. vectors: id, v, copies."""
     spark = vectors.sparkSession
     k = max(1, min(MOST_CENTRES, n * overlap // SHARD_ROWS))
-    want = min(MOST_SAMPLE, n, max(1_024, SAMPLE_EACH * k))
-    some = vectors.select("id", "v").orderBy(F.xxhash64("id")).limit(want).toPandas().sort_values("id", kind="stable")
-    c = centres(_unit(np.stack(some["v"].to_numpy()).astype(np.float64)).astype(np.float32), k)
+    c = _sampled_centres(vectors, k, n)
     sent, own = spark.sparkContext.broadcast(c), min(overlap, k)
 
     @F.pandas_udf("array<long>")
@@ -237,8 +253,66 @@ def _links(vectors: DataFrame, least: float, overlap: int, n: int) -> DataFrame:
     return rows.groupBy("shard", "i", "j").applyInPandas(lambda pdf: _shard_links(pdf, least), "id long, other long, links long")
 
 
+def _block_links(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
+    """All links inside a block (i = j), or between two: (id, other or null, links) rows."""
+    pdf = pdf.sort_values(["block", "id"], kind="stable")
+    ids, copies, block = pdf["id"].to_numpy(), pdf["copies"].to_numpy(), pdf["block"].to_numpy()
+    unit = _unit(np.stack(pdf["v"].to_numpy()).astype(np.float64))
+    i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    a, b = np.nonzero(unit[left] @ unit[right].T >= least)
+    a, b = left[a], right[b]
+    if i == j:
+        a, b = a[a < b], b[a < b]
+    links = np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))
+    return _link_rows(ids, a, b, links)
+
+
+def _exact_links(vectors: DataFrame, least: float, n: int) -> DataFrame:
+    """Like _links, with every link: a pair is looked at in the task of both vectors' blocks. vectors: id, v, copies."""
+    k = max(1, min(MOST_CENTRES, n // CHUNK))
+    c = _unit(_sampled_centres(vectors, k, n).astype(np.float64))
+    sent, reach = vectors.sparkSession.sparkContext.broadcast(c), math.acos(max(-1.0, min(1.0, least))) + ROUNDING
+
+    def angles(part: pd.Series, c: np.ndarray) -> Iterator[np.ndarray]:
+        for at in range(0, len(part), 256):
+            yield np.arccos(np.clip(_unit(np.stack(part.iloc[at : at + 256].to_numpy()).astype(np.float64)) @ c.T, -1, 1))
+
+    @F.pandas_udf("cell long, angle double")
+    def home(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = [(x.argmin(axis=1), x.min(axis=1)) for x in angles(part, sent.value)]
+            none = [(np.empty(0, np.int64), np.empty(0))]
+            yield pd.DataFrame({"cell": np.concatenate([f[0] for f in none + found]), "angle": np.concatenate([f[1] for f in none + found])})
+
+    placed = materialize(vectors.withColumn("home", home("v")).select("id", "v", "copies", "home.cell", "home.angle"), "vectors-cells")
+    cells = materialize(placed.groupBy("cell").agg(F.max("angle").alias("radius"), F.ceil(F.count("*") / CHUNK).alias("chunks")), "vectors-radii")  # at most MOST_CENTRES rows
+    radius = np.full(len(c), -np.inf)  # an empty cell meets nothing
+    for r in cells.collect():
+        radius[r["cell"]] = r["radius"]
+    wide = vectors.sparkSession.sparkContext.broadcast(radius + reach)
+
+    @F.pandas_udf("array<long>")
+    def meets(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield pd.Series([np.flatnonzero(row) for x in angles(part, sent.value) for row in x <= wide.value])
+
+    # a block is a cell, or a chunk of a large one
+    name = lambda cell, chunk: cell * F.lit(1 << 32) + chunk
+    own = placed.join(F.broadcast(cells.select("cell", "chunks")), "cell")
+    own = own.withColumn("block", name(F.col("cell"), F.pmod(F.xxhash64("id", F.lit(3)), F.col("chunks")))).drop("chunks")
+    rows = own.withColumn("met", F.explode(F.array_union(meets("v"), F.array("cell"))))
+    rows = rows.join(F.broadcast(cells.select(F.col("cell").alias("met"), F.col("chunks"))), "met")
+    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).withColumn("with", name(F.col("met"), F.col("chunk")))
+    rows = rows.select(F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "v", "copies")
+    return rows.groupBy("i", "j").applyInPandas(lambda pdf: _block_links(pdf, least), "id long, other long, links long")
+
+
 def audit_recall(vectors: DataFrame, links: DataFrame, least: float, audited: int = AUDITED) -> float:
-    """Share of the links of `audited` vectors, those with the lowest hashes, that `links` (id, n_links) holds; by brute force over all rows."""
+    """Mean share of a vector's links that `links` (id, n_links) holds, over those of `audited` vectors that have any; by brute force over all rows.
+
+    The audited vectors are those with the lowest hashes.
+    """
     some = vectors.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(audited).toPandas()
     q, own = _unit(np.stack(some["v"].to_numpy()).astype(np.float64)), some["copies"].to_numpy()
 
@@ -254,7 +328,8 @@ def audit_recall(vectors: DataFrame, links: DataFrame, least: float, audited: in
     true = vectors.select("v", "copies").mapInPandas(count, "k long, n double").groupBy("k").agg(F.sum("n").alias("n")).toPandas().set_index("k")["n"]
     true = true.reindex(range(len(q))).to_numpy() - own
     got = links.where(F.col("id").isin(some["id"].tolist())).toPandas().set_index("id")["n_links"].reindex(some["id"]).fillna(0).to_numpy()
-    return float(np.minimum(got, true).sum() / true.sum()) if true.sum() else 1.0
+    some_links = true > 0
+    return float((np.minimum(got, true)[some_links] / true[some_links]).mean()) if some_links.any() else 1.0
 
 
 def near_vectors(rows: DataFrame, least: float = 0.95, overlap: int = 4, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -281,9 +356,13 @@ def near_vectors(rows: DataFrame, least: float = 0.95, overlap: int = 4, id_col:
         while True:
             found = materialize(_links(own, least, wide, n), "vectors-links")
             counts = found.groupBy("id").agg(F.sum("links").alias("n_links"))
-            if audit_recall(own, counts, least) >= LEAST_RECALL or wide >= 64:
+            if audit_recall(own, counts, least) >= LEAST_RECALL:
                 break
             wide *= 2
+            # too few: a wider graph while it compares fewer pairs than there are, then all pairs that may link
+            if wide > MOST_OVERLAP or 2 * wide * SHARD_ROWS >= n:
+                found = materialize(_exact_links(own, least, n), "vectors-links")
+                break
         parts.append(found)
     if not parts:
         none = base.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
