@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factorlake.llm import embedding_dedup as ED
+from factorlake.llm import mixing as MX
 
 
 # --- vectors ---
@@ -37,3 +38,19 @@ def test_audit_counts_each_vector_alike(spark):
     own = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "id long, v array<double>, copies long")
     links = spark.createDataFrame([(i, 19) for i in range(20)], "id long, n_links long")
     assert ED.audit_recall(own, links, 0.95) == pytest.approx(20 / 24)
+
+
+# --- mixing ---
+
+
+def test_small_sources_give_their_targets_beside_a_large_one(spark):
+    sizes = {"a": 40_000_000, "b": 150, "c": 90, "d": 611, "e": 7, None: 45}
+    rows = [(i, "a", 400_000) for i in range(100)]
+    for s, n in sizes.items():
+        rows += [(len(rows), s, min(13, n - at)) for at in range(0, n, 13)] if s != "a" else []
+    df = spark.createDataFrame(rows, "doc_id long, source string, n int").select("doc_id", "source", F.repeat(F.lit("w "), F.col("n")).alias("text"))
+    out = MX.mix(df).toPandas()
+    assert out["size"].sum() == sum(sizes.values()) and (out.taken <= 3 * out["size"]).all()
+    for s, g in out.groupby("source", dropna=False):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= 0.5, s
+    assert (out[out.source != "a"].taken == 3 * out[out.source != "a"]["size"]).all()
