@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from factorlake.llm import embedding_dedup as ED
 from factorlake.llm import mixing as MX
+from factorlake.llm import pii
 
 
 # --- vectors ---
@@ -54,3 +55,17 @@ def test_small_sources_give_their_targets_beside_a_large_one(spark):
     for s, g in out.groupby("source", dropna=False):
         assert abs(g.taken.sum() - g.target.iloc[0]) <= 0.5, s
     assert (out[out.source != "a"].taken == 3 * out[out.source != "a"]["size"]).all()
+
+
+# --- personal data ---
+
+
+def test_spelled_out_addresses_lie_in_windows_in_any_case():
+    for t in ["write to anna at example.com today", "to Anna AT Example.Com", "anna (At) mail", "anna [At] mail", "anna at mail Dot com", "anna at example . com"]:
+        assert pii.stretches(t) == [(0, len(t))], t
+    for t in ["he sat at home. Then they left", "look at this", "see it at www.example.com", "a new data format"]:
+        assert pii.stretches(t) == [], t
+    long = "x at " + "1a." * 30 + "com" + " y" * 40
+    assert pii.stretches(long) == [(0, 98 - 2 + 24)]
+    for t, form in [("mail jo_lee at host.example.com, thanks", "jo_lee at host.example.com"), ("contact anna [At] example.com for more", "anna [At] example.com")]:
+        assert [(k, t[a:b]) for a, k, b in pii.model_spans([t], pii.trained())[0]] == [(0, form)]
