@@ -14,11 +14,17 @@ HEAVY_PARTS = 1000
 _own_dirs: dict[str, str] = {}
 
 
+#: Tables written by materialize() and not yet deleted, by application.
+_written: dict[str, list[str]] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one where that is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one where that is unset and Spark runs on one machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
@@ -31,15 +37,46 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     Cuts the lineage like checkpoint(), but keeps column pruning and filter
     pushdown for the readers, and survives the loss of executors.
     """
-    path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def written(spark: SparkSession) -> list[str]:
+    """Paths of the tables that materialize() has written and drop_written() hasn't deleted."""
+    return list(_written.get(spark.sparkContext.applicationId, []))
+
+
+def drop_written(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that materialize() wrote. Call it only when every result that reads them is stored elsewhere."""
+    own = _written.get(spark.sparkContext.applicationId, [])
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    for path in [p for p in paths if p in own]:
+        where = hadoop.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+        own.remove(path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_hashes(text: Column) -> Column:
+    """128 bits by which texts are told apart, as an array of two numbers."""
+    return F.array(F.xxhash64(text), F.xxhash64(F.lit(7), text))
+
+
+def repeated(df: DataFrame, times: str, number: str, at_once: int = 10_000) -> DataFrame:
+    """Each row `times` times, numbered from 0 by a column `number`; rows with many copies are made by several tasks."""
+    few = df.where(F.col(times).between(1, at_once)).withColumn(number, F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1)))
+    many = df.where(F.col(times) > at_once).withColumn("_stretch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / at_once)))).repartition("_stretch")
+    last = F.least(F.col(times), (F.col("_stretch") + 1) * at_once) - 1
+    many = many.withColumn(number, F.explode(F.sequence(F.col("_stretch") * at_once, last))).drop("_stretch")
+    return few.unionByName(many)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row, for use inside higher-order functions."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -119,18 +119,24 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: int =
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, n_grades: int, sample_rows: int = SAMPLE_ROWS) -> Ordinal | None:
-    """Fit on at most sample_rows rows of labels (doc_id, grade), those with the lowest hashes; None without any."""
-    some = labels.where("grade is not null and doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample_rows)
+    """Fit on at most sample_rows rows of labels (doc_id, grade), those with the lowest hashes; None without any.
+
+    Of documents that repeat an id, and of an id labelled twice, each pair is a
+    row; there are at most sample_rows of these too, again those with the lowest hashes.
+    """
+    some = labels.where("grade is not null and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("grade").alias("_grade"))
+    some = some.orderBy(F.xxhash64("_id"), "_id", "_grade").limit(sample_rows)
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "grade": pdf["grade"], "ids": [features(t).tolist() for t in pdf["text"]]})
+            yield pd.DataFrame({"id": pdf["_id"], "t": pdf["_t"], "grade": pdf["_grade"], "ids": [features(t).tolist() for t in pdf["_text"]]})
 
-    # at most sample_rows labels go to the executors
-    joined = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "grade", "text")
-    rows = joined.mapInPandas(hashed, "doc_id long, grade int, ids array<int>").toPandas().sort_values(["doc_id", "grade"], kind="stable")
+    # at most sample_rows labels go to the executors; where ids repeat, more rows than that may meet them
+    rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.xxhash64("text").alias("_t")).join(F.broadcast(some), "_id")
+    rows = rows.mapInPandas(hashed, "id long, t long, grade int, ids array<int>").orderBy(F.xxhash64("id"), "id", "grade", "t").limit(sample_rows).toPandas()
     if rows.empty:
         return None
+    rows = rows.sort_values(["id", "grade", "t"], kind="stable")
     return fit([np.array(x, np.int32) for x in rows["ids"]], rows["grade"].to_numpy(), n_grades)
 
 
@@ -139,11 +145,15 @@ def score(docs: DataFrame, model: Ordinal | None, keep_grade: int, id_col: str =
 
     A null text counts as empty and is judged by its shape alone. Without a
     model (no labelled row), the scores are null and everything is kept.
-    Repeated rows are scored each for itself; no rows give no rows.
+    Repeated rows are scored each for itself; no rows give no rows. A column of
+    docs with a name that is added here is replaced.
     """
+    names = [c for c in docs.columns if c not in ("expected_grade", "tail_probability", "kept")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_d"))
+    back = [F.col("_d")[c].alias(c) for c in names]
     if model is None:
         none = F.lit(None).cast("double")
-        return docs.select("*", none.alias("expected_grade"), none.alias("tail_probability"), F.lit(True).alias("kept"))
+        return rows.select(*back, none.alias("expected_grade"), none.alias("tail_probability"), F.lit(True).alias("kept"))
     on = np.flatnonzero(model.weights)
     sent = docs.sparkSession.sparkContext.broadcast((on.astype(np.int32), model.weights[on], model.thresholds))
 
@@ -152,19 +162,21 @@ def score(docs: DataFrame, model: Ordinal | None, keep_grade: int, id_col: str =
         places, values, thresholds = sent.value
         weights = np.zeros(WIDTH + 128)
         weights[places] = values
-        by_word = Remembered(lambda w: float(weights[zlib.crc32(w) % WIDTH]))
+        # where each word's weight stands; all without weight stand together, where there is none
+        by_word = Remembered(lambda w: zlib.crc32(w) % WIDTH if weights[zlib.crc32(w) % WIDTH] else WIDTH + 127)
         own = Ordinal(weights, thresholds)
         for batch in texts:
             s = []
             for t in batch:
                 raw, words = _words(t or "")
                 distinct = set(words)
-                s.append(sum(map(by_word.__getitem__, distinct | stems(distinct))) + float(weights[shape(raw, words, len(distinct))].sum()))
+                # words that share a hash count once, as in features()
+                s.append(float(weights[list(set(map(by_word.__getitem__, distinct | stems(distinct))))].sum() + weights[shape(raw, words, len(distinct))].sum()))
             above = own.above(np.array(s))
             yield pd.DataFrame({"expected_grade": above.sum(axis=1), "tail_probability": above[:, keep_grade - 1]})
 
-    out = docs.withColumn("_q", run(F.col(text_col)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "_q.expected_grade", "_q.tail_probability", (F.col("_q.tail_probability") >= least).alias("kept"))
+    out = rows.withColumn("_q", run(F.col("_d")[text_col]))
+    return out.select(*back, "_q.expected_grade", "_q.tail_probability", (F.col("_q.tail_probability") >= least).alias("kept"))
 
 
 def grades(labels: DataFrame) -> DataFrame:

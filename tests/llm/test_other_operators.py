@@ -99,6 +99,26 @@ def test_mixed_documents(spark):
     assert {i: n for i, (_, n) in plan.items() if n} == dict(got)
 
 
+def test_mix_of_rows_that_repeat(spark):
+    cols = "doc_id long, text string, lang string, source string, n_chars long, _r string, n long"
+    row = lambda i, t, s="a": (i, t, "en", s, len(t or ""), "clash", 7)
+    rows = [row(1, "x y z")] * 50 + [row(1, "other words here")] * 3 + [row(None, "no id at all")] * 20 + [row(5, None), row(6, ""), row(7, " \n")] + [row(9, "b c", "b")] * 5 + [row(3, "d", None)]
+    df = spark.createDataFrame(rows, cols)
+    plan = MX.mix(df).toPandas()
+    assert len(plan) == len(rows) and (plan.taken <= 3 * plan["size"]).all()
+    for _, g in plan.groupby("source", dropna=False):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= 0.5
+    out = MX.mixed_documents(df)
+    assert out.columns == df.columns
+    words = Counter()
+    for r in out.collect():
+        assert r.n_chars == len(r.text) and len(r.text.split()) > 0
+        words[r.source] += len(r.text.split())
+    assert dict(words) == {s: int(g.taken.sum()) for s, g in ((None if s != s else s, g) for s, g in plan.groupby("source", dropna=False))}
+    assert MX.mixed_documents(df.where("false")).count() == 0
+    assert MX.mixed_documents(df.where("doc_id > 4 and doc_id < 8")).count() == 0
+
+
 # --- URLs ---
 
 
@@ -164,8 +184,65 @@ def test_classifier_orders_grades():
     assert (np.round(above.sum(axis=1)) == x).mean() > 0.95
 
 
+def test_classifier_scores_and_gradient_against_plain_python(spark):
+    import math
+    import re
+    import zlib
+
+    def plain_features(text):
+        raw = text.encode()
+        words = re.sub(rb"[.,;:?\"()]", b"", bytes(c + 32 if 65 <= c <= 90 else c for c in raw)).split()
+        kinds = set(words)
+        hashed = {zlib.crc32(w) % QL.WIDTH for w in kinds} | {zlib.crc32(b"^" + w[:5]) % QL.WIDTH for w in kinds if len(w) > 5}
+        n, size = max(1, len(words)), max(1, len(raw))
+        count = lambda chars: sum(raw.count(bytes([c])) for c in set(chars))
+        over = lambda x, cuts: len([c for c in cuts if x > c])
+        levels = [
+            over(len(kinds) / n, [0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7]) if n >= 20 else 9,
+            over(count(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ") / size, [0.01, 0.03, 0.06, 0.1, 0.2, 0.4]),
+            over(count(b"!#$%&*+/<=>@[\\]^_`{|}~") / size, [0.0, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1]),
+            over(count(b"0123456789") / size, [0.0, 0.01, 0.03, 0.1, 0.3]),
+            over(size / n, [2, 4, 5, 6, 7, 8, 10, 15]),
+            over(n, [0, 5, 20, 100, 500, 2000]),
+        ]
+        return sorted(hashed) + [QL.WIDTH + 16 * i + x for i, x in enumerate(levels)]
+
+    t = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{t}/documents.parquet"), QL.grades(spark.read.parquet(f"{t}/labels.parquet"))
+    model = QL.fit_on(docs, labels, 3)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert all(QL.features(x).tolist() == plain_features(x) for x in texts.values())
+    for r in QL.score(docs, model, 2).collect():
+        s = sum(model.weights[i] for i in plain_features(texts[r.doc_id]))
+        above = [1 / (1 + math.exp(c - s)) for c in model.thresholds]
+        assert r.expected_grade == pytest.approx(sum(above), abs=1e-9) and r.tail_probability == pytest.approx(above[1], abs=1e-9)
+        assert r.kept == (r.tail_probability >= 0.5)
+    # one step of the fit follows the gradient of the plain likelihood, by differences
+    rows, y = [np.array([3, 4]), np.array([4]), np.array([3])] * 3, np.array([0, 1, 2, 1, 2, 0, 2, 0, 1])
+
+    def loss(w, theta):
+        total = 0.0
+        for x, g in zip(rows, y):
+            s = sum(w[i] for i in x)
+            cdf = [0.0] + [1 / (1 + math.exp(s - c)) for c in theta] + [1.0]
+            total -= math.log(cdf[g + 1] - cdf[g])
+        return total / len(y)
+
+    first = QL.fit(rows, y, 3, steps=1, batch=9, rate=1e-6, l1=0.0)
+    start = [math.log(1 / 2), math.log(2)]
+    for i in (3, 4):
+        up = {3: 0.0, 4: 0.0} | {i: 1e-5}
+        g = (loss(up, start) - loss({k: -v for k, v in up.items()}, start)) / 2e-5
+        assert first.weights[i] == pytest.approx(-1e-6 * g / math.sqrt(1e-4 + g * g), rel=1e-3, abs=1e-12)
+    for k in range(2):
+        up, down = list(start), list(start)
+        up[k], down[k] = up[k] + 1e-5, down[k] - 1e-5
+        g = (loss({3: 0, 4: 0}, up) - loss({3: 0, 4: 0}, down)) / 2e-5
+        assert first.thresholds[k] - start[k] == pytest.approx(-1e-6 * g / math.sqrt(1e-4 + g * g), rel=1e-3, abs=1e-12)
+
+
 def test_classifier_edges(spark):
-    df = spark.createDataFrame([(1, None, 1), (2, "", 1), (None, "x " * 20_000, 2), (2, "", 1)], "doc_id long, text string, kept int").withColumnRenamed("kept", "expected")
+    df = spark.createDataFrame([(1, None, 1), (2, "", 1), (None, "x " * 20_000, 2), (2, "", 1)], "doc_id long, text string, kept int").withColumn("_q", F.lit(1)).withColumn("grade", F.lit(9))
     none = QL.score(df, None, 2)
     assert none.where("kept").count() == 4 and none.where("tail_probability is null").count() == 4
     lab = spark.createDataFrame([(1, 0), (2, 2), (None, 1), (2, None)], "doc_id long, grade int")
@@ -174,6 +251,10 @@ def test_classifier_edges(spark):
     assert out.count() == 4 and out.where("tail_probability between 0 and 1").count() == 4
     assert QL.score(df.where("false"), model, 2).count() == 0
     assert QL.fit_on(df, lab.where("false"), 3) is None
+    assert set(out.columns) == {*df.columns, "expected_grade", "tail_probability"} and dict(out.dtypes)["kept"] == "boolean"
+    # an id that repeats brings no more rows than the bound
+    many = df.unionByName(spark.createDataFrame([(2, f"t {i}", 1, 1, 1) for i in range(300)], df.schema))
+    assert QL.fit_on(many, lab, 3, sample_rows=50) is not None
     g = QL.grades(spark.createDataFrame([(1, 1, None), (2, None, 1), (3, 1, 1), (4, 0, 0)], "doc_id long, quality int, toxic int"))
     assert [r.grade for r in g.orderBy("doc_id").collect()] == [2, None, 1, 0]
 

@@ -144,12 +144,12 @@ def plain_components(fps, ids, most):
 
 
 def test_simhash(spark, docs):
-    assert plain_fingerprint("Only three Words") == SH.fingerprint("only three words")
+    assert plain_fingerprint("Only three Words") == SH.fingerprint("only three words")[0]
     for df in (docs.where("length(text) < 3000"), frame(spark, [t for t in EDGES if t != "word " * 3000])):
         rows = df.select("doc_id", "text").collect()
         fps = [plain_fingerprint(r.text) for r in rows]
         want = sorted(zip([r.doc_id for r in rows], [f"{f:016x}" for f in fps], plain_components(fps, [r.doc_id for r in rows], 4)))
-        assert sorted(map(tuple, SH.near_duplicates(df).collect())) == want
+        assert sorted(map(tuple, SH.near_duplicates(df).select("doc_id", "fingerprint", "component_id").collect())) == want
 
 
 def test_simhash_links_chains_and_large_buckets(spark):
@@ -165,7 +165,7 @@ def test_simhash_links_chains_and_large_buckets(spark):
     fps += [base ^ (1 << int(r.integers(0, 64))) ^ (1 << int(r.integers(0, 64))) for _ in range(80)]
     fps = sorted(set(fps))
     signed = [f - 2**64 if f >= 2**63 else f for f in fps]
-    df = spark.createDataFrame([(f, f, 0, i) for i, f in enumerate(signed)], "node long, fp long, fp2 long, first long")
+    df = spark.createDataFrame([(f, [f]) for f in signed], "node long, fps array<long>")
     want = plain_components(fps, range(len(fps)), 4)
     from factorlake.llm.graph import components
 
@@ -183,25 +183,64 @@ def test_simhash_links_chains_and_large_buckets(spark):
 
 def test_gray_index_finds_all_within_reach():
     r = np.random.default_rng(1)
-    x = r.integers(0, 2**63, 500).astype(np.uint64)
-    x = np.concatenate([x, x[:200] ^ (np.uint64(1) << r.integers(0, 64, 200).astype(np.uint64))])
-    index = SH.GrayIndex(x)
-    got = {(int(q), int(index.order[m])) for qs, ms in index.search(x, 4) for q, m in zip(qs, ms)}
-    near = np.argwhere(np.bitwise_count(x[:, None] ^ x) <= 4)
-    assert got == set(map(tuple, near.tolist()))
+    x = r.integers(0, 2**63, 1500, dtype=np.int64).view(np.uint64)
+    flip = lambda n: np.uint64(1) << r.integers(0, 64, n).astype(np.uint64)
+    x[800:1200] = x[0] ^ flip(400) ^ flip(400)
     assert (SH.gray_rank(x ^ (x >> np.uint64(1))) == x).all()
+    for most, size in [(0, 1500), (2, 7), (4, 1500), (4, 90), (8, 400)]:
+        key = np.arange(1500) // size
+        order = np.lexsort((SH.gray_rank(x), key))
+        v, k = x[order], key[order]
+        index = SH.GrayIndex(v, np.bincount(key))
+        # a bit stands in one node above a member, or is left for the member
+        held = index.loose.copy()
+        at = np.arange(1500)
+        for first, many, _, own in index.levels:
+            up = np.empty(len(at), np.int64)
+            parent = np.repeat(np.arange(len(first)), many)
+            up = parent[at]
+            assert not (held & own[up]).any()
+            held |= own[up]
+            at = up
+        assert (held == np.uint64(2**64 - 1)).all()
+        q, m = index.search(v, k, most, np.arange(1500))
+        near = (np.bitwise_count(v[:, None] ^ v) <= most) & (k[:, None] == k)
+        assert sorted(zip(q, m)) == sorted(map(tuple, np.argwhere(np.triu(near, 1))))
+        if size == 1500:
+            a, b = SH.chunk_edges(v[:700, None], v[700:, None], most)
+            got, want = np.arange(1500), np.arange(1500)
+            SH._unite(got, a, b)
+            SH._unite(want, *(p[(p0 < 700) & (p1 >= 700)] for p0, p1 in [np.nonzero(near)] for p in (p0, p1)))
+            assert (got == want).all() and len(a) < 1500
+
+
+def test_stretches_follow_from_the_number_of_fingerprints():
+    assert [SH.stretches_to_agree(n, 4) for n in (10**3, 10**6, 10**8, 10**11)] == sorted(SH.stretches_to_agree(n, 4) for n in (10**3, 10**6, 10**8, 10**11))
+    assert SH.stretches_to_agree(10**3, 4) == 1 and SH.stretches_to_agree(10**11, 4) > 2
 
 
 def test_simhash_second_check_and_empty(spark):
     words = [f"w{i}" for i in range(200)]
     near = words[:100] + ["changed"] + words[101:]
     df = frame(spark, [" ".join(words), " ".join(near), " ".join(reversed(words)), None, ""])
-    out = {r.doc_id: r.component_id for r in SH.near_duplicates(df, 8, 5, check_bits=19).collect()}
+    out = {r.doc_id: r.component_id for r in SH.near_duplicates(df, 8, 5, more=2, total_bits=30).collect()}
     assert out == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3}
     assert SH.near_duplicates(frame(spark, [])).count() == 0
     assert [r.component_id for r in SH.near_duplicates(frame(spark, ["a b c d e", "a b c d e"], [None, 5])).collect()] == [5, 5]
 
 
+def test_near_copies_go_by_row_and_not_by_id(spark):
+    a, b, c = ("".join(f"{x}{i} " for i in range(60)) for x in "abc")
+    df = frame(spark, [a, b, b, c, c, a, None, "", " "], [1, 1, 2, 3, 3, None, 7, 7, 8])
+    kept = sorted(((r.doc_id, r.text) for r in SH.drop_near_duplicates(df).collect()), key=str)
+    # of id 1 both texts stay: each is the first of its own copies; the equal rows of id 3 become one
+    assert kept == sorted([(1, a), (1, b), (3, c), (7, None), (7, ""), (8, " ")], key=str)
+    assert SH.drop_near_duplicates(df).columns == df.columns
+    nulls = SH.drop_near_duplicates(frame(spark, [a, a, b], [None, None, None])).collect()
+    assert sorted(r.text for r in nulls) == [a, b]
+    assert SH.drop_near_duplicates(frame(spark, [])).count() == 0
+
+
 # --- personal data ---
 
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
@@ -280,26 +319,26 @@ def i64(x):
     return int.from_bytes(x.to_bytes(8, "little"), "little", signed=True)
 
 
-def plain_chunks(s):
+def plain_chunks(s, words=None):
     lines = s.split("\n")
     h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in lines]
     n = len(lines)
     two = lambda a, b: i64(xxhash.xxh64_intdigest(b.to_bytes(8, "little"), xxhash.xxh64_intdigest(a.to_bytes(8, "little"), 42)))
     r = [two(h[i], h[min(i + 1, n - 1)]) for i in range(n)]
-    w = [x.count(" ") >= 50 for x in lines]
+    w = [words is not None and x.count(" ") >= words for x in lines]
     cut = [0] + [i for i in range(1, n) if (2 <= i < n - 1 and r[i] < r[i - 1] and r[i] < r[i + 1]) or w[i] or w[i - 1]]
     return ["\n".join(lines[a:b]) for a, b in zip(cut, [*cut[1:], n])]
 
 
-def plain_dedup(rows):
+def plain_dedup(rows, words=None):
     seen, out = set(), {}
     for i, t in sorted(rows):
         if t is None:
             out[i] = None
             continue
         keep = []
-        for c in plain_chunks(t):
-            if "\n" in c or c.count(" ") >= 50:
+        for c in plain_chunks(t, words):
+            if "\n" in c or (words is not None and c.count(" ") >= words):
                 if c in seen:
                     continue
                 seen.add(c)
@@ -312,22 +351,42 @@ def test_line_dedup(spark, docs):
     passage = "\n".join(f"shared line number {i} of the passage" for i in range(12))
     own = [f"{'own %d\n' % i * (i % 3)}start {i}\n{passage}\nend {i}" for i in range(40)] + [" ".join(["w"] * 60)] * 3
     for df in (docs, frame(spark, own), frame(spark, EDGES)):
-        rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
-        got = LD.dedup_lines(df).collect()
-        assert {r.doc_id: r.text for r in got} == plain_dedup(rows) and len(got) == len(rows)
-        assert all(r.n_removed <= r.n_lines for r in got)
+        for words in (None, 50):
+            rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+            got = LD.dedup_lines(df, passage_words=words).collect()
+            assert {r.doc_id: r.text for r in got} == plain_dedup(rows, words) and len(got) == len(rows)
+            assert all(r.n_removed <= r.n_lines for r in got)
     cleaned = LD.dedup_lines(frame(spark, own))
     assert cleaned.agg(F.sum("n_removed")).first()[0] > 39 * 6
     assert cleaned.columns == [*SCHEMA.replace(" long", "").replace(" string", "").split(", "), "n_lines", "n_removed", "n_chunks_removed"]
 
 
+@pytest.mark.parametrize("kinds", [1, 3])
+def test_line_dedup_compares_bytes_where_hashes_collide(spark, docs, kinds):
+    some = docs.limit(40).unionByName(docs.limit(5).withColumn("doc_id", F.col("doc_id") + 10**6)).select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in some.collect()]
+    collide = lambda c: F.pmod(F.xxhash64(c), F.lit(kinds))
+    assert {r.doc_id: r.text for r in LD.dedup_lines(some, hashed=collide).collect()} == plain_dedup(rows)
+    alone = frame(spark, ["a\nb", "c\nd", "e\nf\ng", "a\nb"])
+    assert [r.text for r in LD.dedup_lines(alone, hashed=collide).orderBy("doc_id").collect()] == ["a\nb", "c\nd", "e\nf\ng", ""]
+
+
+def test_line_dedup_with_clashing_names(spark):
+    names = ["n_lines", "n_removed", "n_chunks_removed", "_text", "_d", "_k", "_h", "_id", "_ks", "_goes"]
+    df = frame(spark, ["a\nb", "a\nb"]).select("*", *[F.lit("own").alias(n) for n in names])
+    out = LD.dedup_lines(df).orderBy("doc_id").collect()
+    assert [(r.text, r.n_removed, r._text, r._goes) for r in out] == [("a\nb", 0, "own", "own"), ("", 2, "own", "own")]
+
+
 def test_line_dedup_of_nothing_and_of_clean_texts(spark):
     assert LD.dedup_lines(frame(spark, [])).count() == 0
     clean = frame(spark, ["a\nb\nc", "d\ne", "f"])
     assert [r.text for r in LD.dedup_lines(clean).orderBy("doc_id").collect()] == ["a\nb\nc", "d\ne", "f"]
-    # rows of one id keep the same; a null id comes after all others
+    # equal rows of one id keep the same; a null id comes after all others
     twice = frame(spark, ["x y\nz w\nq"] * 3, [1, 1, None])
     assert {(r.doc_id, r.text) for r in LD.dedup_lines(twice).collect()} == {(1, "x y\nz w\nq"), (None, "")}
-    part = "same line a\nsame line b"
-    mixed = frame(spark, [part, "first\n" + " ".join(["w"] * 60) + "\nlast", part], [1, 1, 2])
-    assert [r.text for r in LD.dedup_lines(mixed).orderBy("doc_id", "text").collect()] == ["first\n" + " ".join(["w"] * 60) + "\nlast", part, ""]
+    # of different texts of one id, one is the first place
+    part, long = "same line a\nsame line b", " ".join(["w"] * 60)
+    mixed = frame(spark, [f"{long}\n{part}", f"{part}\n{long}", f"{long}\n{part}"], [1, 1, 2])
+    texts = [r.text for r in LD.dedup_lines(mixed, passage_words=50).orderBy("doc_id").collect()]
+    assert sorted(texts, key=len) in ([["", "", f"{long}\n{part}"]] + [["", "", f"{part}\n{long}"]])
