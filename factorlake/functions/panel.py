@@ -7,6 +7,8 @@ factors count the symbol's own rows and use the bars as they are.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -24,14 +26,14 @@ def calendar(df: DataFrame) -> DataFrame:
     return days.agg(F.sort_array(F.collect_list("date")).alias("d")).select(F.posexplode("d").alias("date_idx", "date"))
 
 
-def densify(df: DataFrame, *values: str) -> DataFrame:
-    """symbol, date_idx, date and values of every (calendar day, symbol); null where df has no row.
+def densify(df: DataFrame, *values: str, days_of: DataFrame | None = None) -> DataFrame:
+    """symbol, date_idx, date and values of every (calendar day, symbol); null where df has no row. The days are those of days_of, or of df.
 
     The calendar is one row with an array, sent to every task and exploded per
     symbol. The only shuffle is that of the join, by symbol and date.
     """
     values = values or tuple(c for c in df.columns if c not in ("date", "symbol"))
-    days = df.select("date").where("date is not null").distinct().agg(F.sort_array(F.collect_list("date")).alias("_d"))
+    days = (df if days_of is None else days_of).select("date").where("date is not null").distinct().agg(F.sort_array(F.collect_list("date")).alias("_d"))
     grid = df.select("symbol").distinct().crossJoin(F.broadcast(days)).select("symbol", F.posexplode("_d").alias("date_idx", "date"))
     return grid.join(df.select("date", "symbol", *values), ["symbol", "date"], "left").select("symbol", "date_idx", "date", *values)
 
@@ -102,40 +104,43 @@ def rolling_corr(a: Column, b: Column, n: int, w: WindowSpec | None = None) -> C
     return F.when(F.count(a).over(part) == n, r)
 
 
-def ewm_mean(c: Column, alpha: float, min_periods: int, w: WindowSpec | None = None) -> Column:
-    """Exponentially weighted mean with normalised weights, from two running sums.
+def with_ewm_mean(df: DataFrame, value: str, out: str, alpha: float, min_periods: int, w: WindowSpec | None = None, keys: tuple[str, ...] = ("symbol",), segment: int | None = None) -> DataFrame:
+    """df with column out: exponentially weighted mean with normalised weights over each key's rows, for histories of any length.
 
-    Weights are powers of 1 / (1 - alpha) counted within the row's own history;
-    they overflow a double after about 700 / -ln(1 - alpha) rows (9,000 days at
-    alpha 1/14). Use `ewm_mean_scan` beyond that.
+    Two running sums with weights that grow by 1 / (1 - alpha) a row. They would
+    overflow a double, so that they begin anew every `segment` rows; what earlier
+    segments leave, a mean and a weight each, is folded into one pair. Gaps count
+    as rows. Null until min_periods values are there, then never.
     """
-    w = w or by_date()
-    own = w.rowsBetween(FAR, 0)
-    weight = F.pow(F.lit(1.0 - alpha), -(F.row_number().over(w) - 1).cast("double"))
-    return weight, own, F.count(c).over(own) >= min_periods
-
-
-def with_ewm_mean(df: DataFrame, value: str, out: str, alpha: float, min_periods: int, w: WindowSpec | None = None) -> DataFrame:
-    """df with column out, the ewm mean of value (see ewm_mean)."""
-    w = w or by_date()
-    weight, own, enough = ewm_mean(F.col(value), alpha, min_periods, w)
-    df = df.withColumn("_w", weight)
-    top, bottom = F.sum(F.col(value) * F.col("_w")).over(own), F.sum(F.when(F.col(value).isNotNull(), F.col("_w"))).over(own)
-    return df.withColumn(out, F.when(enough, F.try_divide(top, bottom))).drop("_w")
-
-
-def ewm_mean_scan(df: DataFrame, value: str, out: str, alpha: float, min_periods: int) -> DataFrame:
-    """The same for histories of any length: one pass over each symbol's rows in an Arrow group."""
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
-
-    def run(pdf):
-        pdf = pdf.sort_values("date", kind="stable")
-        pdf[out] = pdf[value].astype(float).ewm(alpha=alpha, adjust=True, min_periods=min_periods).mean()
-        return pdf
-
-    return df.groupBy("symbol").applyInPandas(run, schema)
+    w = w or by_date(*keys)
+    keep = 1.0 - alpha
+    if keep <= 0:  # only the last value counts
+        return df.withColumn(out, F.when(F.count(value).over(w.rowsBetween(FAR, 0)) >= min_periods, ffill(F.col(value), w)))
+    # at 1e+200 the sums are far from both ends of a double
+    segment = segment or max(1, int(460 / -math.log(keep)))
+    df = df.withColumn("_k", F.row_number().over(w) - 1)
+    df = df.withColumns({"_in": F.col("_k") % segment, "_seg": F.floor(F.col("_k") / segment)})
+    df = df.withColumn("_w", F.pow(F.lit(keep), -F.col("_in").cast("double")))
+    own = Window.partitionBy(*keys, "_seg").orderBy("_k").rowsBetween(FAR, 0)
+    some = F.col(value).isNotNull()
+    df = df.withColumns({"_top": F.coalesce(F.sum(F.col(value) * F.col("_w")).over(own), F.lit(0.0)), "_bottom": F.coalesce(F.sum(F.when(some, F.col("_w"))).over(own), F.lit(0.0))})
+    # a segment's last row tells its mean and what its weight is worth by then
+    ends = F.when(F.col("_in") == segment - 1, F.struct(F.try_divide("_top", "_bottom").alias("mean"), (F.col("_bottom") * F.pow(F.lit(keep), F.lit(float(segment - 1)))).alias("weight")))
+    earlier = F.collect_list(ends).over(Window.partitionBy(*keys).orderBy("_k").rowsBetween(FAR, -1))
+    none = F.struct(F.lit(None).cast("double").alias("mean"), F.lit(0.0).alias("weight"))
+    whole = keep**segment
+
+    def fold(a: Column, x: Column) -> Column:
+        weight = a["weight"] * whole + x["weight"]
+        mean = F.when(x["weight"] > 0, (F.coalesce(a["mean"] * a["weight"], F.lit(0.0)) * whole + x["mean"] * x["weight"]) / weight).otherwise(a["mean"])
+        return F.struct(mean.alias("mean"), weight.alias("weight"))
+
+    df = df.withColumn("_c", F.aggregate(earlier, none, fold))
+    left = F.col("_c.weight") * keep
+    mean = (F.coalesce(F.col("_c.mean") * left, F.lit(0.0)) + F.col("_top")) / (left + F.col("_bottom"))
+    enough = F.count(value).over(w.rowsBetween(FAR, 0)) >= min_periods
+    df = df.withColumn(out, F.when(enough, F.when(F.col("_bottom") > 0, mean).otherwise(F.col("_c.mean"))))
+    return df.drop("_k", "_in", "_seg", "_w", "_top", "_bottom", "_c")
 
 
 def cumprod(c: Column, w: WindowSpec | None = None) -> Column:

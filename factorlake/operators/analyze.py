@@ -53,7 +53,7 @@ class StrategyAnalyzer:
 
     def nav(self) -> DataFrame:
         """strategy, date, nav, drawdown."""
-        return self.result.days.select("strategy", "date", "nav").withColumn("drawdown", P.drawdown("nav", _w()))
+        return self.result.trades.select("strategy", "date", "nav").withColumn("drawdown", P.drawdown("nav", _w()))
 
     def summary_stats(self) -> DataFrame:
         """One row a strategy; profit_loss_ratio is null where gains meet no loss."""

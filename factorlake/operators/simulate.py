@@ -1,21 +1,25 @@
 """The cash account: whole shares, costs, targets carried out one day later.
 
-A day depends on the cash and shares that the one before left, so that one
-strategy is one ordered pass (an Arrow group); strategies, and grids of their
-parameters, run beside each other. All else, before and after, is columns.
+What a day does depends on the cash and shares that the one before left. Only
+that is an ordered pass, over one row a day with the few names that have a
+target or may still be held, a strategy by itself. The pass gives the shares
+held before and after; the ledger, the order of trades, costs, cash, values
+and weights are columns of these.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import panel as P
-DAILY = "turnover trade_notional commission_cost slippage_cost total_cost buy_shares sell_shares cash portfolio_value nav net_return".split()
-DETAIL = "symbol string, action string, shares long, price double, notional double, commission_cost double, slippage_cost double, total_cost double, cash_after double, position_after long, portfolio_value_after double"
+from ..functions.scratch import materialize
+
 #: Words for the two sides of a trade. Fixed values.
 SELL, BUY = "卖出", "买入"
 
@@ -28,78 +32,76 @@ def price_column(df: DataFrame, price: str | None = None) -> str:
     raise KeyError(f"no price column {price or 'adj_close or close'}")
 
 
-def account(prices: np.ndarray, targets: np.ndarray, symbols: list[str], capital: float, commission: float, slippage: float):
-    """Per day (daily measures, shares, trades) of prices and target weights (days x symbols); prices may be nan."""
-    shares = np.zeros(len(symbols), np.int64)
-    cash = before = float(capital)
-    unit = 1.0 + commission + slippage
-    for row, want in zip(prices, targets):
-        worth = lambda: float(cash + np.nansum(shares * row))  # noqa: B023, E731
-        equity = worth()
+def affordable(cash: float, need: np.ndarray, unit_cost: np.ndarray) -> np.ndarray:
+    """Shares bought of each name in turn, as many as the cash left allows."""
+    bought = np.zeros(len(need), np.int64)
+    for k in np.flatnonzero(need > 0):
+        bought[k] = min(need[k], max(0, int(cash // unit_cost[k])))
+        cash -= bought[k] * unit_cost[k]
+    return bought
+
+
+def holdings(days: pd.DataFrame, capital: float, cost: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(shares before, shares after) of each day's names. days: one row a day, in order, with arrays symbols, prices and targets."""
+    cash, held = capital, {}
+    for symbols, price, target in zip(days["symbols"], days["prices"], days["targets"]):
+        price, target = np.array(price, float), np.array(target, float)
+        before = np.array([held.get(s, 0) for s in symbols], np.int64)
+        priced, wanted = np.isfinite(price), (price > 0) & (target > 0)
+        worth = cash + np.nan_to_num(price) @ before
         goal = np.zeros(len(symbols), np.int64)
-        on = np.flatnonzero((want > 0) & np.isfinite(row) & (row > 0))
-        goal[on] = np.floor(equity * want[on] / (row[on] * unit)).astype(np.int64)
-        total = {"n": 0.0, "c": 0.0, "s": 0.0, SELL: 0, BUY: 0}
-        trades = []
-
-        def trade(k, qty, side):
-            nonlocal cash
-            price = float(row[k])  # noqa: B023
-            notional = qty * price
-            c, s = notional * commission, notional * slippage
-            cash += notional - c - s if side == SELL else -(notional + c + s)
-            shares[k] += -qty if side == SELL else qty
-            total["n"] += notional  # noqa: B023
-            total["c"] += c  # noqa: B023
-            total["s"] += s  # noqa: B023
-            total[side] += qty  # noqa: B023
-            trades.append((symbols[k], side, qty, price, notional, c, s, c + s, float(cash), int(shares[k]), worth()))  # noqa: B023
-
-        for k in np.flatnonzero((goal < shares) & np.isfinite(row)):  # in order of symbol
-            trade(k, int(shares[k] - goal[k]), SELL)
-        for k in sorted(on, key=lambda k: (-want[k], k)):  # largest weight first, ties by symbol  # noqa: B023
-            need = int(goal[k] - shares[k])
-            if need > 0:
-                qty = min(need, int(cash // (float(row[k]) * unit)))
-                if qty > 0:
-                    trade(k, qty, BUY)
-        after = worth()
-        daily = (total["n"] / equity if equity > 0 else 0.0, total["n"], total["c"], total["s"], total["c"] + total["s"], float(total[BUY]), float(total[SELL]), float(cash), after, after / capital, after / before - 1.0 if before > 0 else 0.0)
-        before = after
-        weights = np.nan_to_num(shares * row / after) if after > 0 else np.zeros(len(symbols))
-        yield daily, shares.copy(), weights, trades
+        goal[wanted] = np.floor(worth * target[wanted] / (price[wanted] * (1 + cost)))
+        after = np.where(priced, np.minimum(before, goal), before)
+        cash += ((before - after)[priced] * price[priced]).sum() * (1 - cost)
+        first = np.lexsort((symbols, -target))  # large targets are bought first, ties by symbol
+        unit = np.where(wanted, price, 1.0) * (1 + cost)
+        bought = affordable(cash, np.where(wanted, goal - after, 0)[first], unit[first])
+        after[first] += bought
+        cash -= bought @ unit[first]
+        held = {s: n for s, n in zip(symbols, after.tolist()) if n}
+        yield before, after
 
 
 @dataclass
 class SimulationResult:
-    """days: one row a strategy and date, with arrays of positions and trades; the other parts are columns of it."""
+    """names: a row a strategy, date and name in play; trades: a row a strategy and date, the daily ledger."""
 
-    days: DataFrame
+    names: DataFrame
+    trades: DataFrame
     meta: dict = field(default_factory=dict)
 
-    @property
-    def trades(self) -> DataFrame:
-        return self.days.select("strategy", "date", *DAILY)
-
     @property
     def equity_curve(self) -> DataFrame:
-        return self.days.select("strategy", "date", F.col("nav").alias("equity"))
+        return self.trades.select("strategy", "date", F.col("nav").alias("equity"))
 
     @property
     def returns(self) -> DataFrame:
-        return self.days.select("strategy", "date", F.col("net_return").alias("ret"))
+        return self.trades.select("strategy", "date", F.col("net_return").alias("ret"))
 
     @property
     def positions(self) -> DataFrame:
-        return self.days.select("strategy", "date", F.explode("positions").alias("p")).select("strategy", "date", "p.symbol", "p.shares", "p.weight")
+        """Names held at the end of a day, with their share of its value."""
+        value = self.trades.select("strategy", "date", "portfolio_value")
+        held = self.names.where("shares > 0").join(value, ["strategy", "date"])
+        return held.select("strategy", "date", "symbol", "shares", F.coalesce(F.try_divide(F.col("shares") * F.col("price"), "portfolio_value"), F.lit(0.0)).alias("weight"))
 
     @property
     def trade_details(self) -> DataFrame:
-        return self.days.select("strategy", "date", F.posexplode("details").alias("seq", "d")).select("strategy", "date", "seq", "d.*")
+        """Every trade in order (seq): a day's sales by symbol, then what is bought, large targets first."""
+        day = Window.partitionBy("strategy", "date").orderBy(F.col("moved") > 0, F.when(F.col("moved") > 0, -F.col("target")), "symbol")
+        all_ = Window.partitionBy("strategy").orderBy("date", "seq").rowsBetween(P.FAR, 0)
+        t = self.names.where("moved != 0").withColumn("seq", F.row_number().over(day) - 1)
+        start = self.trades.select("strategy", "date", (F.col("portfolio_value") + F.col("total_cost")).alias("_start"))
+        t = t.join(start, ["strategy", "date"])
+        so_far = F.sum("total_cost").over(day.rowsBetween(P.FAR, 0))
+        return t.select(
+            "strategy", "date", "seq", "symbol", F.when(F.col("moved") > 0, BUY).otherwise(SELL).alias("action"), F.abs("moved").alias("shares"), "price", "notional", "commission_cost", "slippage_cost", "total_cost",
+            (F.lit(self.meta["initial_capital"]) + F.sum("flow").over(all_)).alias("cash_after"), F.col("shares").alias("position_after"), (F.col("_start") - so_far).alias("portfolio_value_after"),
+        )
 
     def totals(self) -> DataFrame:
-        """One row a strategy: average and total turnover, total costs, first and last value."""
-        return self.days.groupBy("strategy").agg(
+        """One row a strategy: average and total turnover, total costs, last value."""
+        return self.trades.groupBy("strategy").agg(
             F.avg("turnover").alias("avg_turnover"), F.sum("turnover").alias("total_turnover"), F.sum("commission_cost").alias("total_commission"),
             F.sum("slippage_cost").alias("total_slippage"), F.max_by("portfolio_value", "date").alias("ending_value"),
         )
@@ -115,34 +117,61 @@ class CashAccountEngine:
             raise ValueError("initial_capital must be positive")
         self.commission, self.slippage, self.price_col, self.capital = commission, slippage, price_col, float(initial_capital)
 
-    def run_simulation(self, weights: DataFrame, market: DataFrame) -> SimulationResult:
+    def in_play(self, weights: DataFrame, market: DataFrame) -> DataFrame:
+        """strategy, date, symbol, price, target of the names with a target on a day, or on the day before.
+
+        Prices are carried forward, targets too, from the day after on which they
+        are given; only names that ever have a target get rows of the grid.
+        """
         price = price_column(market, self.price_col)
-        grid = P.densify(market.select("date", "symbol", F.col(price).alias("_p")), "_p")
-        grid = grid.withColumn("price", P.ffill(F.col("_p"))).drop("_p")
+        ever = weights.where("weight > 0").select("strategy", "symbol").distinct()
+        own = market.select("date", "symbol", P.clean(F.col(price)).alias("_p")).join(ever.select("symbol").distinct(), "symbol", "left_semi")
+        prices = P.densify(own, "_p", days_of=market).withColumn("price", P.ffill(F.col("_p"))).drop("_p")
+        grid = prices.join(ever, "symbol").join(weights.select("strategy", "date", "symbol", "weight"), ["strategy", "date", "symbol"], "left")
+        w = Window.partitionBy("strategy", "symbol").orderBy("date_idx")
+        given = F.greatest(F.coalesce(F.last("weight", ignorenulls=True).over(w.rowsBetween(P.FAR, -1)), F.lit(0.0)), F.lit(0.0))
+        grid = grid.withColumn("target", given).withColumn("_last", F.lag("target").over(w))
+        return grid.where("target > 0 or _last > 0").select("strategy", "date", "symbol", "price", "target")
+
+    def run_simulation(self, weights: DataFrame, market: DataFrame) -> SimulationResult:
+        """Every date of market and strategy of weights; a strategy without any target stays in cash."""
         if "strategy" not in weights.columns:
             weights = weights.withColumn("strategy", F.lit("strategy"))
-        # targets by day, forward filled, zero before the first, and one day late
-        want = grid.crossJoin(weights.select("strategy").distinct())
-        want = want.join(weights.select("strategy", "date", "symbol", "weight"), ["strategy", "date", "symbol"], "left")
-        w = Window.partitionBy("strategy", "symbol").orderBy("date_idx")
-        held = F.coalesce(F.last("weight", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-        want = want.select("strategy", "date", "symbol", "price", held.alias("weight"))
-        capital, commission, slippage = self.capital, self.commission, self.slippage
-
-        def run(pdf):
-            import pandas as pd
-
-            prices = pdf.pivot(index="date", columns="symbol", values="price").sort_index()
-            prices = prices.reindex(columns=sorted(prices.columns)).astype(float)
-            goals = pdf.pivot(index="date", columns="symbol", values="weight").reindex(index=prices.index, columns=prices.columns).fillna(0.0).clip(lower=0.0)
-            symbols, rows = list(prices.columns), []
-            for date, (daily, shares, share, trades) in zip(prices.index, account(prices.to_numpy(), goals.to_numpy(), symbols, capital, commission, slippage)):
-                own = [{"symbol": s, "shares": int(n), "weight": float(v)} for s, n, v in zip(symbols, shares, share) if n]
-                names = [c.split()[0] for c in DETAIL.split(", ")]
-                rows.append((pdf["strategy"].iloc[0], date, *daily, own, [dict(zip(names, t)) for t in trades]))
-            return pd.DataFrame(rows, columns=["strategy", "date", *DAILY, "positions", "details"])
-
-        inner = DETAIL.replace(" string", ": string").replace(" long", ": bigint").replace(" double", ": double")
-        schema = f"strategy string, date date, {', '.join(f'{c} double' for c in DAILY)}, positions array<struct<symbol: string, shares: bigint, weight: double>>, details array<struct<{inner}>>"
-        days = want.groupBy("strategy").applyInPandas(run, schema)
-        return SimulationResult(days, {"initial_capital": capital, "commission_rate": commission, "slippage_rate": slippage})
+        capital, cost = self.capital, self.commission + self.slippage
+        entry = F.sort_array(F.collect_list(F.struct("symbol", "price", "target")))
+        daily = self.in_play(weights, market).groupBy("strategy", "date").agg(entry.alias("e"))
+        daily = daily.select("strategy", "date", F.col("e.symbol").alias("symbols"), F.col("e.price").alias("prices"), F.col("e.target").alias("targets"))
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("date", kind="stable")
+            both = list(holdings(pdf, capital, cost))
+            return pdf.assign(befores=[b for b, _ in both], afters=[a for _, a in both])
+
+        kept = daily.groupBy("strategy").applyInPandas(run, "strategy string, date date, symbols array<string>, prices array<double>, targets array<double>, befores array<long>, afters array<long>")
+        zipped = F.explode(F.arrays_zip("symbols", "prices", "targets", "befores", "afters")).alias("z")
+        names = kept.select("strategy", "date", zipped).select("strategy", "date", F.col("z.symbols").alias("symbol"), F.col("z.prices").alias("price"), F.col("z.targets").alias("target"), F.col("z.befores").alias("held"), F.col("z.afters").alias("shares"))
+        names = names.withColumn("moved", F.col("shares") - F.col("held"))
+        names = names.withColumn("notional", F.coalesce(F.abs("moved") * F.col("price"), F.lit(0.0)))
+        names = names.withColumns({"commission_cost": F.col("notional") * self.commission, "slippage_cost": F.col("notional") * self.slippage})
+        names = names.withColumn("total_cost", F.col("commission_cost") + F.col("slippage_cost"))
+        names = names.withColumn("flow", F.when(F.col("moved") > 0, -F.col("notional")).otherwise(F.col("notional")) - F.col("total_cost"))
+        names = materialize(names, "account-names")  # every part of the result reads it
+
+        total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+        side = lambda sign: F.sum(F.when(F.col("moved") * sign > 0, F.abs("moved")).otherwise(0)).cast("double")
+        sums = names.groupBy("strategy", "date").agg(
+            total("notional").alias("trade_notional"), total("commission_cost").alias("commission_cost"), total("slippage_cost").alias("slippage_cost"), total("total_cost").alias("total_cost"),
+            side(1).alias("buy_shares"), side(-1).alias("sell_shares"), total("flow").alias("_flow"), total(F.col("shares") * F.col("price")).alias("_worth"),
+        )
+        days = weights.select("strategy").distinct().crossJoin(F.broadcast(market.select("date").where("date is not null").distinct()))
+        sums = days.join(sums, ["strategy", "date"], "left").na.fill(0.0)
+        w = Window.partitionBy("strategy").orderBy("date")
+        sums = sums.withColumn("cash", F.lit(capital) + F.sum("_flow").over(w.rowsBetween(P.FAR, 0)))
+        sums = sums.withColumn("portfolio_value", F.col("cash") + F.col("_worth"))
+        before = F.coalesce(F.lag("portfolio_value").over(w), F.lit(capital))
+        start = F.col("portfolio_value") + F.col("total_cost")  # trades change the value by their costs only
+        trades = sums.select(
+            "strategy", "date", F.when(start > 0, F.col("trade_notional") / start).otherwise(0.0).alias("turnover"), "trade_notional", "commission_cost", "slippage_cost", "total_cost",
+            "buy_shares", "sell_shares", "cash", "portfolio_value", (F.col("portfolio_value") / capital).alias("nav"), F.when(before > 0, F.col("portfolio_value") / before - 1).otherwise(0.0).alias("net_return"),
+        )
+        return SimulationResult(names, trades, {"initial_capital": capital, "commission_rate": self.commission, "slippage_rate": self.slippage})

@@ -57,15 +57,42 @@ def test_rolling(grid, bars):
     same(wide(grid.withColumn("x", P.rolling_std(F.col("close"), 5, 0)), "x"), p.rolling(5).std(ddof=0))
 
 
-def test_ewm_both_ways(bars):
+def test_ewm(bars):
     df = bars.withColumn("d", P.diff(F.col("close")))
     want = df.toPandas().sort_values(["symbol", "date"])
     want["x"] = want.groupby("symbol")["d"].transform(lambda s: s.ewm(alpha=1 / 14, adjust=True, min_periods=14).mean())
-    for got in (P.with_ewm_mean(df, "d", "x", 1 / 14, 14), P.ewm_mean_scan(df, "d", "x", 1 / 14, 14)):
-        g = got.toPandas().sort_values(["symbol", "date"])
+    for segment in (None, 7, 1):
+        g = P.with_ewm_mean(df, "d", "x", 1 / 14, 14, segment=segment).toPandas().sort_values(["symbol", "date"])
         np.testing.assert_allclose(g["x"].astype(float), want["x"], atol=1e-12)
 
 
+@pytest.mark.parametrize("alpha", [1 / 14, 0.5, 1.0])
+def test_ewm_of_long_histories_and_gaps(spark, alpha):
+    r = np.random.default_rng(0)
+    x = pd.Series(100 + 10 * np.sin(np.arange(20_000) / 3) + r.normal(size=20_000))
+    x[r.random(20_000) < 0.1] = np.nan
+    x[5000:13_000] = np.nan
+    days = pd.date_range("1950-01-01", periods=len(x)).date
+    df = spark.createDataFrame([(d, "a", None if v != v else float(v)) for d, v in zip(days, x)], "date date, symbol string, v double")
+    got = P.with_ewm_mean(df, "v", "x", alpha, 14).orderBy("date").toPandas()["x"].astype(float)
+    np.testing.assert_allclose(got, x.ewm(alpha=alpha, adjust=True, min_periods=14).mean(), rtol=1e-9)
+
+
+def test_rsi_of_a_long_history(spark):
+    from factorlake.operators.factors import RSI
+
+    r = np.random.default_rng(1)
+    p = 100 + 10 * np.sin(np.arange(20_000) / 5) + r.normal(size=20_000)
+    days = pd.date_range("1950-01-01", periods=len(p)).date
+    df = spark.createDataFrame([(d, "a", float(v)) for d, v in zip(days, p)], "date date, symbol string, close double")
+    got = RSI().generate_signals(df).orderBy("date").toPandas()["value"]
+    d = pd.Series(p).diff()
+    up, down = (s.ewm(alpha=1 / 14, adjust=True, min_periods=14).mean() for s in (d.clip(lower=0), (-d).clip(lower=0)))
+    rsi = 100 - 100 / (1 + up / down)
+    want = np.select([rsi < 30, rsi > 70], [1, -1], 0)
+    assert got.tolist() == want.tolist() and set(want[12_000:]) == {-1, 0, 1}
+
+
 def test_cumprod_keeps_gaps(grid, bars):
     r = wide(bars, "close").pct_change(fill_method=None)
     df = P.pct_change(grid, "close", "r", 1, None)

@@ -64,6 +64,18 @@ def test_account_against_plain_python(market):
     np.testing.assert_allclose(got.portfolio_value, want, rtol=1e-10)
     trades = [(pd.Timestamp(r.date), r.symbol, r.action, r.shares) for r in res.trade_details.orderBy("date", "seq").collect()]
     assert trades == log
+    # what the ledger, the trades and the positions say agrees
+    d = res.trade_details.toPandas()
+    by_day = d.groupby("date")[["notional", "commission_cost", "total_cost"]].sum()
+    g = got.set_index("date").loc[by_day.index]
+    np.testing.assert_allclose(by_day["notional"], g.trade_notional)
+    np.testing.assert_allclose(by_day["total_cost"], g.total_cost)
+    last = d.sort_values("seq").groupby("date").last()
+    np.testing.assert_allclose(last.cash_after, g.cash, atol=1e-6)
+    np.testing.assert_allclose(last.portfolio_value_after, g.portfolio_value)
+    assert got.cash.min() >= -1e-6
+    share = res.positions.toPandas().groupby("date").weight.sum()
+    np.testing.assert_allclose(share, 1 - (got.cash / got.portfolio_value).set_axis(got.date).loc[share.index], atol=1e-9)
     assert res.totals().first()["ending_value"] == pytest.approx(want[-1])
 
 
