@@ -7,11 +7,14 @@ factors and periods. Frames: factors (date, symbol, factor, value), returns
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import panel as P
 from ..functions import stats as S
+from ..functions.scratch import materialize
 
 KEY = ["factor", "period"]
 PERIODS = (1, 5, 10, 20)
@@ -74,17 +77,26 @@ def t_stat(ic: DataFrame) -> DataFrame:
     return with_p_value(s.select(*KEY, "n", "t"), "t")
 
 
-def ic_decay(factors: DataFrame, returns: DataFrame, max_lag: int = 20, method: str = "rank") -> DataFrame:
+def ic_decay(factors: DataFrame, returns, max_lag: int = 20, method: str = "rank") -> DataFrame:
     """factor, lag, ic: mean IC with one-period returns moved back lag - 1 of the returns' dates.
 
-    All lags are one join: the returns' rows are multiplied by lag, as shifted dates.
+    returns: a frame (date, symbol, ret); or a mapping or a function of the lag
+    that gives such a frame for each. A frame's leads are one array a row, made in
+    one pass by symbol, and the factor's rows, joined to it once, are exploded after.
     """
-    grid = P.densify(returns.select("date", "symbol", "ret"), "ret")
-    lagged = grid.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(max_lag)))).withColumn("_at", F.col("date_idx") - F.col("lag") + 1).where("ret is not null and _at >= 0")
-    days = P.calendar(returns).select(F.col("date_idx").alias("_at"), "date")
-    moved = lagged.select("symbol", "lag", "_at", "ret").join(days, "_at").select("date", "symbol", F.col("lag").alias("period"), "ret")
-    s = ic_series(factors, moved, method).groupBy("factor", "period").agg(F.avg("ic").alias("ic"))
-    return s.select("factor", F.col("period").alias("lag"), "ic")
+    if not isinstance(returns, DataFrame):
+        give = returns if callable(returns) else returns.__getitem__
+        frames = [give(k).select("date", "symbol", F.lit(k).alias("period"), "ret") for k in range(1, max_lag + 1)]
+        moved = reduce(DataFrame.unionByName, frames)
+        both = factors.join(moved, ["date", "symbol"])
+    else:
+        grid = P.densify(returns.select("date", "symbol", "ret"), "ret")
+        w = Window.partitionBy("symbol").orderBy("date_idx")
+        leads = F.array(*[F.struct(F.lit(k).alias("period"), F.lead("ret", k - 1).over(w).alias("ret")) for k in range(1, max_lag + 1)])
+        leads = grid.select("date", "symbol", F.filter(leads, lambda x: x["ret"].isNotNull()).alias("_l"))
+        both = factors.join(leads, ["date", "symbol"]).withColumn("_x", F.explode("_l")).select("factor", "date", "value", F.col("_x.period").alias("period"), F.col("_x.ret").alias("ret"))
+    s = S.correlation(both, "value", "ret", [*KEY, "date"], method)
+    return s.groupBy("factor", F.col("period").alias("lag")).agg(F.avg("corr").alias("ic"))
 
 
 def turnover(factors: DataFrame, quantiles: int = 5) -> DataFrame:
@@ -112,8 +124,13 @@ def turnover(factors: DataFrame, quantiles: int = 5) -> DataFrame:
 
 def group_returns(factors: DataFrame, returns: DataFrame, n_groups: int = 5) -> DataFrame:
     """factor, period, date, grp, ret: mean return of each quantile group, spread over the period's days; dates with under n_groups pairs are left out."""
+    return groups_of(factors.join(returns, ["date", "symbol"]), n_groups)
+
+
+def groups_of(pairs: DataFrame, n_groups: int = 5) -> DataFrame:
+    """group_returns() of factors and returns that are joined already."""
     keys = [*KEY, "date"]
-    both = factors.join(returns, ["date", "symbol"]).where("value is not null and ret is not null")
+    both = pairs.where("value is not null and ret is not null")
     both = both.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where(F.col("_n") >= n_groups)
     both = S.quantile_groups(both, "value", keys, n_groups).where("grp is not null")
     return both.groupBy(*keys, "grp").agg((F.avg("ret") / F.first("period")).alias("ret"))
@@ -162,10 +179,10 @@ def spread_metrics(spread: DataFrame, per_year: int = 252) -> DataFrame:
 class LayeredResult:
     """Quantile portfolios of one or more (factor, period)s, each part a DataFrame."""
 
-    def __init__(self, factors: DataFrame, returns: DataFrame, n_groups: int = 5, per_year: int = 252):
+    def __init__(self, factors: DataFrame, returns: DataFrame | None, n_groups: int = 5, per_year: int = 252):
+        """factors and returns, or the two joined and None."""
         self.n_groups = n_groups
-        # a row a group and date, which every measure starts from
-        self.group_returns = group_returns(factors, returns, n_groups).persist()
+        self.group_returns = groups_of(factors if returns is None else factors.join(returns, ["date", "symbol"]), n_groups)
         self.cumulative_returns = cumulative_returns(self.group_returns)
         self.group_metrics = group_metrics(self.group_returns, per_year)
         self.spread = spread_series(self.group_returns, n_groups)
@@ -192,8 +209,12 @@ class FactorReport:
             self._made[name] = make()
         return self._made[name]
 
+    def pairs(self) -> DataFrame:
+        """Factors and returns joined, from which IC and groups are taken; written once, as each measure reads it."""
+        return self._once("pairs", lambda: materialize(self.factors.join(self.returns, ["date", "symbol"]).where("value is not null and ret is not null").repartition(*KEY, "date"), "report-pairs"))
+
     def ic_series(self) -> DataFrame:
-        return self._once("ic", lambda: ic_series(self.factors, self.returns, self.method))
+        return self._once("ic", lambda: S.correlation(self.pairs(), "value", "ret", [*KEY, "date"], self.method).select(*KEY, "date", F.col("corr").alias("ic")))
 
     def icir(self) -> DataFrame:
         return ic_stats(self.ic_series()).select(*KEY, "icir")
@@ -209,7 +230,7 @@ class FactorReport:
         return ic_decay(self.factors, self.returns.where(F.col("period") == first), max_lag, self.method)
 
     def layered(self) -> LayeredResult:
-        return self._once("layered", lambda: LayeredResult(self.factors, self.returns, self.n_groups))
+        return self._once("layered", lambda: LayeredResult(self.pairs(), None, self.n_groups))
 
     def summary(self, digits: int = 4, p_values: bool = True) -> DataFrame:
         """One row a factor and period, rounded."""

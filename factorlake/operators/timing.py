@@ -65,6 +65,19 @@ def excess_curve(excess: DataFrame) -> DataFrame:
     return excess.select(*KEY, "date", (100 * P.cumprod(1 + F.col("excess"), _w())).alias("value"))
 
 
+def underwater(strategy: DataFrame) -> DataFrame:
+    """factor, symbol, date, drawdown of the strategy's curve, which starts at 1."""
+    peak = F.greatest(F.lit(1.0), F.max("nav").over(_w().rowsBetween(P.FAR, 0)))
+    return strategy.select(*KEY, "date", (F.col("nav") / peak - 1).alias("drawdown"))
+
+
+def trades(rows: DataFrame) -> DataFrame:
+    """factor, symbol, date, price, position (after), action: where the position, the sign of the signal of the row before, changes."""
+    own = rows.withColumn("position", F.coalesce(F.signum(F.lag("signal").over(_w())), F.lit(0.0)).cast("int"))
+    own = own.withColumn("_before", F.coalesce(F.lag("position").over(_w()), F.lit(0)))
+    return own.where("position != _before").select(*KEY, "date", "price", "position", F.when(F.col("position") > F.col("_before"), "buy").otherwise("sell").alias("action"))
+
+
 def _metrics(df: DataFrame, ret: str, prefix: str, per_year: int, more_bars: int, risk_free: float = 0.0) -> DataFrame:
     nav = P.cumprod(1 + F.col(ret), _w())
     peak_from_start = lambda: F.try_divide("_nav", F.greatest(F.lit(1.0), F.max("_nav").over(_w().rowsBetween(P.FAR, 0)))) - 1

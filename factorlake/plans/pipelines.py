@@ -55,11 +55,12 @@ class SelectionPipeline:
         return self
 
     def run(self, symbols=None, start=None, end=None, load_fundamental: bool = False) -> dict:
-        """Factor mode: {"report": FactorReport}. With a model: also "cv", "predictions" and "importance"."""
+        """Factor mode: {"report": FactorReport}. With a model: also "cv", "predictions" and "importance" (the 20 largest). ValueError without factors."""
         if self.market is None:
             self.load_data(symbols, start, end, load_fundamental)
-        factors = self.factors or [self.registry.get(n) for n in self.registry.list()]
-        e = self.config["evaluation"]
+        if not self.factors:
+            raise ValueError("add a factor first")
+        factors, e = self.factors, self.config["evaluation"]
         if self.model is None:
             panel = factor_panel(self.market, factors, self.fundamental)
             return {"report": FactorReport(panel, self.market, e["forward_periods"], e["ic_method"], e["n_groups"])}
@@ -71,7 +72,7 @@ class SelectionPipeline:
         self.model.fit(data, names, "target")
         predicted = self.model.predict(data).select("date", "symbol", F.lit("model").alias("factor"), F.col("prediction").alias("value"))
         report = FactorReport(predicted, self.market, e["forward_periods"], e["ic_method"], e["n_groups"])
-        return {"report": report, "cv": cv, "predictions": predicted, "importance": self.model.get_feature_importance(data.sparkSession)}
+        return {"report": report, "cv": cv, "predictions": predicted, "importance": self.model.get_feature_importance(data.sparkSession).limit(20)}
 
 
 class TimingPipeline:

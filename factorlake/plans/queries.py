@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import codes as C
 from ..functions import panel as P
 from ..functions import stats as S
+from ..functions.scratch import scratch_dir
 from ..operators import analyze as A
 from ..operators import factors as FA
 from ..operators import portfolio as PF
@@ -20,6 +21,7 @@ from ..operators import selection as SE
 from ..operators import timing as T
 from ..operators.ml import Lasso, Ridge, row_numbers, time_folds
 from ..operators.simulate import CashAccountEngine
+from ..schema import RAW_BARS, TABLES
 from ..sources import etl, loaders
 from ..sources import fixtures as X
 
@@ -43,15 +45,9 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: X.half_up(F.col(c), digits) for c in names})
 
 
-_kept: dict[tuple[str, str], DataFrame] = {}
-
-
 def _calm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bars that most queries start from, kept for the session: each of them reads them several times."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _kept:
-        _kept[key] = X.calm_bars(spark, sf_dir).persist()
-    return _kept[key]
+    """The bars that most queries start from."""
+    return X.calm_bars(spark, sf_dir)
 
 
 # --- SQL pieces -------------------------------------------------------------------
@@ -383,7 +379,15 @@ def t_stat(spark, sf_dir):
     return rounded(SE.t_stat(_ic(spark, sf_dir)).drop("p_value"), "t")
 
 
-@query()
+#: Two-sided p of Student's t for whole degrees of freedom, as a finite sum over powers of cos(atan(t / sqrt(v))).
+P_VALUE = """tt AS (SELECT factor, period, count(ic) AS n, CASE WHEN count(ic) > 1 THEN avg(ic) / nullif(stddev_samp(ic) / sqrt(count(ic)), 0) END AS t FROM ic GROUP BY factor, period),
+ang AS (SELECT *, n - 1 AS v, atan(abs(t) / sqrt(n - 1)) AS th FROM tt WHERE t IS NOT NULL),
+term AS (SELECT factor, period, k, pow(cos(th), 2 * k + v % 2) * product(CASE WHEN k = 0 THEN 1.0 WHEN v % 2 = 0 THEN (2.0 * k - 1) / (2 * k) ELSE 2.0 * k / (2 * k + 1) END) OVER (PARTITION BY factor, period ORDER BY k) AS x
+  FROM (SELECT *, unnest(range(0, (v + 1) // 2 + 1)) AS k FROM ang) WHERE k <= (v - 2 - v % 2) / 2),
+pv AS (SELECT a.factor, a.period, 1 - CASE WHEN v % 2 = 0 THEN sin(th) * coalesce(s, 0) ELSE 2 / pi() * (th + sin(th) * coalesce(s, 0)) END AS p_value FROM ang a LEFT JOIN (SELECT factor, period, sum(x) AS s FROM term GROUP BY ALL) USING (factor, period))"""
+
+
+@query(w_(FACTOR_SQL, fwd_sql("close"), ic_sql("rank"), P_VALUE, select=f"SELECT factor, period, tt.n, {r('t')} AS t, {r('p_value')} AS p_value FROM tt LEFT JOIN pv USING (factor, period)"))
 def p_value(spark, sf_dir):
     return rounded(SE.t_stat(_ic(spark, sf_dir)), "t", "p_value")
 
@@ -411,7 +415,7 @@ def qcut_groups(spark, sf_dir):
 
 
 def _groups(spark, sf_dir, price="close"):
-    return SE.group_returns(_panel(spark, sf_dir), _returns(spark, sf_dir, price)).persist()
+    return SE.group_returns(_panel(spark, sf_dir), _returns(spark, sf_dir, price))
 
 
 @query(w_(FACTOR_SQL, fwd_sql("close"), QCUT, select=f"SELECT factor, period, date, CAST(grp AS INTEGER) AS grp, {r('ret')} AS ret FROM gret"))
@@ -464,6 +468,34 @@ def ic_chart(spark, sf_dir):
     return rounded(SE.ic_chart(_ic(spark, sf_dir)), "ic", "ma")
 
 
+@query(w_(FACTOR_SQL, fwd_sql("close"), "whole AS (SELECT factor, period, DATE '2000-01-01' AS date, value, ret FROM fac JOIN fwd USING (date, symbol))",
+    select=f"SELECT factor, period, {r('covar_samp(a, b) / nullif(stddev_samp(a) * stddev_samp(b), 0)')} AS ic FROM (SELECT factor, period, rank() OVER (PARTITION BY factor, period ORDER BY value) + (count(*) OVER (PARTITION BY factor, period, value) - 1) / 2.0 AS a, rank() OVER (PARTITION BY factor, period ORDER BY ret) + (count(*) OVER (PARTITION BY factor, period, ret) - 1) / 2.0 AS b FROM whole) GROUP BY factor, period"))
+def ic_of_all_rows(spark, sf_dir):
+    return rounded(SE.ic_at(_panel(spark, sf_dir), _returns(spark, sf_dir)), "ic")
+
+
+@query(w_(FACTOR_SQL, fwd_sql("close"), QCUT, select=f"SELECT factor, period, date, {', '.join(f'{r(f"max(CASE WHEN grp = {g} THEN ret END)")} AS g{g}' for g in range(1, 6))} FROM gret GROUP BY factor, period, date"))
+def layered_wide(spark, sf_dir):
+    wide = SE.LayeredResult(_panel(spark, sf_dir), _returns(spark, sf_dir)).wide()
+    return rounded(wide.withColumnsRenamed({str(g): f"g{g}" for g in range(1, 6)}), *[f"g{g}" for g in range(1, 6)])
+
+
+@query(w_(FACTOR_SQL, fwd_sql("close"), QCUT, SPREAD, select=f"SELECT factor, period, date, {r('wl - 1')} AS long_short_cumulative FROM wealth"))
+def long_short_cumulative(spark, sf_dir):
+    return rounded(SE.LayeredResult(_panel(spark, sf_dir), _returns(spark, sf_dir)).spread_cumulative, "long_short_cumulative")
+
+
+@query(w_(FACTOR_SQL, fwd_sql("open"), ic_sql("rank"), STATS, select=f"""SELECT factor, period, {r('icir')} AS icir, {r('tp')} AS t, CASE WHEN abs(ic_mean) >= 0.05 THEN 'strong' WHEN abs(ic_mean) >= 0.03 THEN 'good' WHEN abs(ic_mean) >= 0.02 THEN 'weak' ELSE 'none' END AS ic_label
+FROM st JOIN (SELECT factor, period, avg(ic) / nullif(stddev_samp(ic) / sqrt(count(ic)), 0) AS tp FROM ic GROUP BY factor, period) USING (factor, period)"""))
+def report_accessors(spark, sf_dir):
+    """The report's parts by themselves, and the label of the mean IC's strength."""
+    bars = _calm(spark, sf_dir)
+    report = SE.FactorReport(FA.factor_panel(bars, FACTORS), bars)
+    label = SE.grade(SE.ic_stats(report.ic_series())).select("factor", "period", "ic_label")
+    out = report.icir().join(report.t_stat().select("factor", "period", "t"), ["factor", "period"]).join(label, ["factor", "period"])
+    return rounded(out, "icir", "t")
+
+
 # --- timing ----------------------------------------------------------------------------------
 
 TROWS = f"""sig AS (SELECT 'ma_cross_timing' AS factor, * FROM ({MA}) UNION ALL SELECT 'rsi_timing', * FROM ({RSI})),
@@ -499,6 +531,26 @@ def excess_returns(spark, sf_dir):
     return rounded(T.excess_returns(T.strategy_returns(_trows(spark, sf_dir)), bench), "excess")
 
 
+@query(w_(TROWS, select=f"SELECT factor, symbol, date, {r('100 * product(1 + sret - b) OVER (PARTITION BY factor, symbol ORDER BY date ROWS UNBOUNDED PRECEDING)')} AS value FROM tnav JOIN bench USING (date) WHERE b IS NOT NULL"))
+def excess_curve(spark, sf_dir):
+    bench = T.buy_and_hold(T.benchmark_close(_calm(spark, sf_dir)))
+    return rounded(T.excess_curve(T.excess_returns(T.strategy_returns(_trows(spark, sf_dir)), bench)), "value")
+
+
+UNDER = """tdd AS (SELECT *, nav / greatest(1.0, max(nav) OVER (PARTITION BY factor, symbol ORDER BY date ROWS UNBOUNDED PRECEDING)) - 1 AS dd FROM tnav)"""
+
+
+@query(w_(TROWS, UNDER, select=f"SELECT factor, symbol, date, {r('dd')} AS drawdown FROM tdd"))
+def timing_underwater(spark, sf_dir):
+    return rounded(T.underwater(T.strategy_returns(_trows(spark, sf_dir))), "drawdown")
+
+
+@query(w_(TROWS, select=f"""SELECT factor, symbol, date, {r('price')} AS price, CAST(sign(pos) AS INTEGER) AS position, CASE WHEN pos > before THEN 'buy' ELSE 'sell' END AS action FROM (
+  SELECT *, coalesce(lag(pos) OVER (PARTITION BY factor, symbol ORDER BY date), 0.0) AS before FROM (SELECT *, coalesce(sign(lag(signal) OVER (PARTITION BY factor, symbol ORDER BY date)), 0.0) AS pos FROM trows)) WHERE pos <> before"""))
+def timing_trades(spark, sf_dir):
+    return rounded(T.trades(_trows(spark, sf_dir)), "price")
+
+
 def _tm(ret: str, n: str, name: str, src: str) -> str:
     return f"""{name}0 AS (SELECT factor, symbol, date, {ret} AS x, product(1 + {ret}) OVER (PARTITION BY factor, symbol ORDER BY date ROWS UNBOUNDED PRECEDING) AS v FROM {src}),
 {name}1 AS (SELECT *, v / greatest(1.0, max(v) OVER (PARTITION BY factor, symbol ORDER BY date ROWS UNBOUNDED PRECEDING)) - 1 AS d FROM {name}0),
@@ -587,64 +639,107 @@ def trade_details(spark, sf_dir):
     return _simulation(spark, sf_dir).trade_details
 
 
-#: One symbol, fully invested from the second day on: the account as a recursion over days.
-ONE = f"""one AS (SELECT date_idx, date, pc AS price FROM grid WHERE symbol = '1' AND pc IS NOT NULL),
-days AS (SELECT row_number() OVER (ORDER BY date_idx) AS i, date, price FROM one)"""
+#: Every symbol as a strategy of its own, fully invested from its second day on: the account as a recursion over days.
+SINGLES = """days AS (SELECT symbol, date, pc AS price, row_number() OVER (PARTITION BY symbol ORDER BY date_idx) AS i FROM grid WHERE pc IS NOT NULL),
+sim(symbol, i, date, price, cash, shares, equity, moved) AS (
+  SELECT symbol, i, date, price, 10000.0::DOUBLE, 0::BIGINT, 10000.0::DOUBLE, 0::BIGINT FROM days WHERE i = 1
+  UNION ALL
+  SELECT symbol, i, date, price, c, shares + moved, c + (shares + moved) * price, moved FROM (SELECT *, CASE WHEN moved < 0 THEN cash - moved * price * (1 - 0.002) ELSE cash - moved * price * 1.002 END AS c
+  FROM (SELECT *, CASE WHEN goal < shares THEN goal - shares ELSE greatest(least(goal - shares, CAST(floor(cash / (price * 1.002)) AS BIGINT)), 0) END AS moved
+    FROM (SELECT d.symbol, d.i, d.date, d.price, s.cash, s.shares, CAST(floor((s.cash + s.shares * d.price) / (d.price * 1.002)) AS BIGINT) AS goal FROM sim s JOIN days d ON d.symbol = s.symbol AND d.i = s.i + 1)))),
+book AS (SELECT s.symbol AS strategy, c.date, coalesce(x.equity, 10000.0) AS value, coalesce(x.moved, 0) AS moved, x.price, coalesce(x.shares, 0) AS shares, coalesce(x.cash, 10000.0) AS cash, x.i
+  FROM (SELECT DISTINCT symbol FROM calm) s CROSS JOIN cal c LEFT JOIN sim x ON x.symbol = s.symbol AND x.date = c.date),
+led AS (SELECT *, value / lag(value, 1, 10000.0) OVER w - 1 AS ret, value / 10000.0 AS nav, abs(moved) * coalesce(price, 0) AS notional, abs(moved) * coalesce(price, 0) / (value + abs(moved) * coalesce(price, 0) * 0.002) AS turn FROM book WINDOW w AS (PARTITION BY strategy ORDER BY date)),
+ldd AS (SELECT *, nav / max(nav) OVER (PARTITION BY strategy ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM led)"""
+
 
+def sim_(*parts: str, select: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join([CALM, SINGLES, *parts]) + "\n" + select
 
-@query(f"""WITH RECURSIVE {CALM}, {ONE},
-sim(i, date, cash, shares, equity) AS (
-  SELECT i, date, 10000.0::DOUBLE, 0::BIGINT, 10000.0::DOUBLE FROM days WHERE i = 1
-  UNION ALL
-  SELECT i, date, CASE WHEN goal < shares THEN cash + (shares - goal) * price * (1 - 0.002) ELSE cash - bought * price * 1.002 END,
-    CASE WHEN goal < shares THEN goal ELSE shares + bought END,
-    CASE WHEN goal < shares THEN cash + (shares - goal) * price * (1 - 0.002) + goal * price ELSE cash - bought * price * 1.002 + (shares + bought) * price END
-  FROM (SELECT d.i, d.date, d.price, s.cash, s.shares, CAST(floor((s.cash + s.shares * d.price) / (d.price * 1.002)) AS BIGINT) AS goal,
-      greatest(least(CAST(floor((s.cash + s.shares * d.price) / (d.price * 1.002)) AS BIGINT) - s.shares, CAST(floor(s.cash / (d.price * 1.002)) AS BIGINT)), 0) AS bought FROM sim s JOIN days d ON d.i = s.i + 1))
-SELECT date, shares, {r('equity', 4)} AS equity FROM sim""")
+
+def _singles(spark, sf_dir):
+    bars = _calm(spark, sf_dir)
+    weights = bars.select("date", "symbol", F.col("symbol").alias("strategy"), F.lit(1.0).alias("weight"))
+    return CashAccountEngine(0.001, 0.001, initial_capital=10_000.0).run_simulation(weights, bars)
+
+
+@query(sim_(select=f"SELECT strategy, date, shares, {r('value', 4)} AS equity FROM led WHERE i IS NOT NULL"))
 def simulate_single(spark, sf_dir):
-    one = _calm(spark, sf_dir)
-    days = one.select("date").distinct()
-    first = one.where("symbol = '1'").agg(F.min("date").alias("_d"))
-    own = one.where("symbol = '1'").unionByName(days.crossJoin(first).where("date >= _d").join(one.where("symbol = '1'").select("date"), "date", "left_anti").select("date", F.lit("1").alias("symbol"), *[F.lit(None).cast("double").alias(c) for c in one.columns[2:]]))
-    w = own.select("date", "symbol", F.lit(1.0).alias("weight"))
-    run = CashAccountEngine(0.001, 0.001, initial_capital=10_000.0).run_simulation(w, own)
-    held = run.days.select("date", F.coalesce(F.get("positions", 0)["shares"], F.lit(0)).alias("shares"), F.col("portfolio_value").alias("equity"))
-    return rounded(held, "equity", digits=4)
+    first = _calm(spark, sf_dir).groupBy(F.col("symbol").alias("strategy")).agg(F.min("date").alias("_from"))
+    run = _singles(spark, sf_dir)
+    held = run.trades.join(run.names.select("strategy", "date", "shares"), ["strategy", "date"], "left").join(first, "strategy").where("date >= _from")
+    return rounded(held.select("strategy", "date", F.coalesce("shares", F.lit(0)).alias("shares"), F.col("portfolio_value").alias("equity")), "equity", digits=4)
+
+
+@query(sim_(select=f"SELECT strategy, date, {r('turn')} AS turnover, {r('notional', 4)} AS trade_notional, {r('notional * 0.002', 4)} AS total_cost, CAST(greatest(moved, 0) AS DOUBLE) AS buy_shares, CAST(greatest(-moved, 0) AS DOUBLE) AS sell_shares, {r('cash', 4)} AS cash, {r('ret')} AS net_return FROM led"))
+def ledger_by_symbol(spark, sf_dir):
+    t = _singles(spark, sf_dir).trades
+    t = rounded(rounded(t, "turnover", "net_return"), "trade_notional", "total_cost", "cash", digits=4)
+    return t.select("strategy", "date", "turnover", "trade_notional", "total_cost", "buy_shares", "sell_shares", "cash", "net_return")
+
+
+@query(sim_(select=f"SELECT strategy, date, strategy AS symbol, shares, {r('shares * price / value')} AS weight FROM led WHERE shares > 0"))
+def positions_by_symbol(spark, sf_dir):
+    return rounded(_singles(spark, sf_dir).positions, "weight")
 
 
 def _analyzer(spark, sf_dir):
-    return A.StrategyAnalyzer(_simulation(spark, sf_dir), A.equal_weight_benchmark(_calm(spark, sf_dir)))
+    return A.StrategyAnalyzer(_singles(spark, sf_dir), A.equal_weight_benchmark(_calm(spark, sf_dir)))
 
 
-@query()
+_ANNUAL = lambda p, n: f"CASE WHEN {p} <= 0 THEN -1.0 ELSE pow({p}, 252.0 / ({n})) - 1 END"
+_SHARPE = lambda m, sd: f"CASE WHEN {sd} > 0 THEN {m} / {sd} * sqrt(252) ELSE 0.0 END"
+
+
+@query(sim_("runs AS (SELECT strategy, max(n) AS longest FROM (SELECT strategy, island, sum(CASE WHEN dd < 0 THEN 1 ELSE 0 END) AS n FROM (SELECT *, sum(CASE WHEN dd < 0 THEN 0 ELSE 1 END) OVER (PARTITION BY strategy ORDER BY date ROWS UNBOUNDED PRECEDING) AS island FROM ldd) GROUP BY ALL) GROUP BY strategy)",
+    f"""agg AS (SELECT strategy, arg_max(value, date) AS ending_value, arg_max(nav, date) - 1 AS total_return, {_ANNUAL('product(1 + ret)', 'count(*)')} AS annual_return, stddev_pop(ret) * sqrt(252) AS annual_volatility,
+  {_SHARPE('avg(ret)', 'stddev_pop(ret)')} AS sharpe_ratio, abs(min(dd)) AS max_drawdown, avg(CASE WHEN ret > 0 THEN 1 ELSE 0 END) AS win_rate,
+  CASE WHEN avg(CASE WHEN ret > 0 THEN ret END) IS NULL THEN 0.0 ELSE avg(CASE WHEN ret > 0 THEN ret END) / nullif(abs(avg(CASE WHEN ret < 0 THEN ret END)), 0) END AS profit_loss_ratio, avg(turn) AS turnover FROM ldd GROUP BY strategy)""",
+    select=f"""SELECT strategy, 10000.0::DOUBLE AS initial_capital, {r('ending_value', 4)} AS ending_value, {', '.join(f"{r(c)} AS {c}" for c in ('total_return', 'annual_return', 'annual_volatility', 'sharpe_ratio'))},
+  {r('CASE WHEN max_drawdown > 0 THEN annual_return / max_drawdown ELSE 0.0 END')} AS calmar_ratio, {r('max_drawdown')} AS max_drawdown, CAST(longest AS BIGINT) AS max_drawdown_duration, {', '.join(f"{r(c)} AS {c}" for c in ('win_rate', 'profit_loss_ratio', 'turnover'))} FROM agg JOIN runs USING (strategy)"""))
 def strategy_stats(spark, sf_dir):
     s = _analyzer(spark, sf_dir).summary_stats()
-    return rounded(s, *[c for c, k in s.dtypes if k == "double"])
+    names = [c for c, k in s.dtypes if k == "double" and c not in ("ending_value", "initial_capital")]
+    return rounded(rounded(s, *names), "ending_value", digits=4)
 
 
-@query()
+EW = "ew AS (SELECT date, coalesce(m / nullif(lag(m) OVER (ORDER BY date), 0) - 1, 0.0) AS ret FROM (SELECT date, avg(close) AS m FROM calm GROUP BY date))"
+
+
+@query(sim_(EW, "ex AS (SELECT l.strategy, l.date, l.ret - coalesce(e.ret, 0.0) AS e FROM led l LEFT JOIN ew e USING (date))", "exn AS (SELECT *, product(1 + e) OVER (PARTITION BY strategy ORDER BY date ROWS UNBOUNDED PRECEDING) AS v FROM ex)",
+    "exd AS (SELECT *, v / max(v) OVER (PARTITION BY strategy ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS d FROM exn)",
+    select=f"SELECT strategy, 'EW' AS benchmark, {r(_ANNUAL('product(1 + e)', 'count(*) + 1'))} AS excess_annual_return, {r(_SHARPE('avg(e)', 'stddev_pop(e)'))} AS information_ratio, {r('abs(min(d))')} AS excess_max_drawdown FROM exd GROUP BY strategy"))
 def strategy_benchmark_stats(spark, sf_dir):
     s = _analyzer(spark, sf_dir).benchmark_stats()
     return rounded(s, *[c for c, k in s.dtypes if k == "double"])
 
 
-@query()
+@query(sim_(select=f"SELECT strategy, date, 0 AS seq, strategy AS symbol, CASE WHEN moved > 0 THEN '买入' ELSE '卖出' END AS action, abs(moved) AS shares, {r('price')} AS price, {r('notional', 4)} AS notional, {r('cash', 4)} AS balance FROM led WHERE moved <> 0"))
 def rebalance_records(spark, sf_dir):
-    return _analyzer(spark, sf_dir).rebalance_records()
+    return rounded(rounded(_analyzer(spark, sf_dir).rebalance_records(), "price"), "notional", "balance", digits=4)
 
 
-@query()
+@query(sim_(select=f"SELECT strategy, CAST(date_trunc('month', date) AS DATE) AS month, {r('product(1 + ret) - 1')} AS ret FROM led GROUP BY ALL"))
 def strategy_monthly(spark, sf_dir):
     return rounded(_analyzer(spark, sf_dir).monthly_returns(), "ret")
 
 
-@query()
-def strategy_rolling_sharpe(spark, sf_dir):
-    return rounded(_analyzer(spark, sf_dir).rolling_sharpe(), "sharpe")
+_MONTH = lambda m: r(f"product(CASE WHEN month(date) = {m} THEN 1 + ret END) - 1")
 
 
-EW = "ew AS (SELECT date, coalesce(m / nullif(lag(m) OVER (ORDER BY date), 0) - 1, 0.0) AS ret FROM (SELECT date, avg(close) AS m FROM calm GROUP BY date))"
+@query(sim_(select=f"SELECT strategy, CAST(year(date) AS BIGINT) AS year, {', '.join(f'{_MONTH(m)} AS m{m}' for m in range(1, 13))} FROM led GROUP BY ALL"))
+def strategy_monthly_table(spark, sf_dir):
+    t = _analyzer(spark, sf_dir).monthly_table().withColumnsRenamed({str(m): f"m{m}" for m in range(1, 13)})
+    return rounded(t, *[f"m{m}" for m in range(1, 13)]).withColumn("year", F.col("year").cast("long"))
+
+
+@query(sim_(select=f"SELECT strategy, date, {r('CASE WHEN count(ret) OVER w = 60 AND stddev_pop(ret) OVER w > 1e-9 THEN avg(ret) OVER w / stddev_pop(ret) OVER w * sqrt(252) END', 4)} AS sharpe FROM led WINDOW w AS (PARTITION BY strategy ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"))
+def strategy_rolling_sharpe(spark, sf_dir):
+    # a window without any change has no ratio; its deviation may be the last bits of a sum
+    a = _analyzer(spark, sf_dir)
+    still = a._returns().withColumn("_sd", P.rolling_std(F.col("ret"), 60, 0, P.by_date("strategy"))).select("strategy", "date", "_sd")
+    out = a.rolling_sharpe().join(still, ["strategy", "date"]).withColumn("sharpe", F.when(F.col("_sd") > 1e-9, F.col("sharpe"))).drop("_sd")
+    return rounded(out, "sharpe", digits=4)
 
 
 @query(w_(EW, select=f"SELECT date, {r('ret')} AS ret FROM ew"))
@@ -714,6 +809,93 @@ def valuation_parse(spark, sf_dir):
     return etl.parse_valuation(raw)
 
 
+# --- stored tables ---------------------------------------------------------------------------------------
+
+
+def _lake(spark, sf_dir):
+    """A fresh folder with the bars written in two batches, of which the second repeats a part of the first with other prices; with securities."""
+    import uuid
+
+    root = f"{scratch_dir(spark)}/lake-{uuid.uuid4().hex}"
+    raw = X.supplier_bars(spark, sf_dir).withColumnRenamed("date", "trade_date").withColumn("adjust_flag", F.lit("2")).select(*RAW_BARS.names)
+    etl.create_tables(spark, root)
+    etl.upsert_bars(spark, raw, root)
+    again = raw.where("trade_date between date'1994-03-01' and date'1995-06-30'").withColumn("close", F.col("close") * 2)
+    etl.upsert_bars(spark, again, root)
+    etl.upsert_table(spark, _securities(spark, sf_dir).select(*TABLES["securities"].names), root, "securities")
+    return root
+
+
+TWICE = f"b AS (SELECT date, symbol, open, high, low, CASE WHEN date BETWEEN DATE '1994-03-01' AND DATE '1995-06-30' THEN close * 2 ELSE close END AS close, volume, amount FROM ({bars_sql()}))"
+
+
+@query(f"WITH {TWICE}, {SEC} SELECT b.date, b.symbol, open, high, low, close, volume, amount, '2' AS adjust_flag FROM b JOIN sec USING (symbol) WHERE asset_type = 'stock' AND list_date <= DATE '1996-12-31' AND (delist_date IS NULL OR delist_date >= DATE '1994-01-01') AND b.date BETWEEN DATE '1994-01-01' AND DATE '1996-12-31'")
+def lake_load(spark, sf_dir):
+    """Bars stored by year, upserted, and loaded for some years and active securities."""
+    return loaders.LakeLoader(spark, _lake(spark, sf_dir)).load_market_data(None, "1994-01-01", "1996-12-31")
+
+
+@query(f"WITH {TWICE} SELECT CAST(year(date) AS BIGINT) AS y, count(*) AS n, {r('sum(close)', 4)} AS total FROM b GROUP BY 1")
+def lake_years(spark, sf_dir):
+    df = spark.read.parquet(f"{_lake(spark, sf_dir)}/market_data")
+    return rounded(df.groupBy(F.col("year").cast("long").alias("y")).agg(F.count("*").alias("n"), F.sum("close").alias("total")), "total", digits=4)
+
+
+@query("""WITH v AS (SELECT CAST(p_partkey AS VARCHAR) AS symbol, CASE WHEN p_size % 4 <> 0 THEN p_retailprice END AS pe_ttm, CAST(p_size AS DOUBLE) AS pb FROM part)
+SELECT symbol, DATE '2024-01-05' AS date, CASE WHEN CAST(symbol AS BIGINT) % 3 = 0 THEN -1.0 ELSE pe_ttm END AS pe_ttm, pb FROM v WHERE CAST(symbol AS BIGINT) % 2 = 0""")
+def valuation_load(spark, sf_dir):
+    """Valuation rows upserted by key, and loaded for a list of symbols."""
+    import uuid
+
+    root = f"{scratch_dir(spark)}/lake-{uuid.uuid4().hex}"
+    rows = valuation_parse(spark, sf_dir)
+    etl.upsert_table(spark, rows, root, "daily_valuation")
+    etl.upsert_table(spark, rows.where(F.col("symbol").cast("long") % 3 == 0).withColumn("pe_ttm", F.lit(-1.0)), root, "daily_valuation")
+    even = rows.where(F.col("symbol").cast("long") % 2 == 0).select("symbol")
+    return loaders.LakeLoader(spark, root).load_fundamental_data(even, "2024-01-01", "2024-12-31").select("symbol", "date", "pe_ttm", "pb")
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS symbol, CAST(o_orderdate AS DATE) AS report_date, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderdate AS DATE) + 30 END AS publish_date, o_totalprice AS revenue, CAST(NULL AS DOUBLE) AS eps, CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice / 4 END AS roe FROM orders WHERE o_orderkey % 7 > 0")
+def reports_parse(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    day = F.col("o_orderdate").cast("date")
+    raw = o.select(F.col("o_custkey").cast("string").alias("symbol"), F.when(F.col("o_orderkey") % 7 == 0, "unknown").otherwise(day.cast("string")).alias("报告期"), F.when(F.col("o_orderkey") % 3 > 0, F.date_add(day, 30).cast("string")).alias("公告日期"),
+        F.col("o_totalprice").cast("string").alias("营业收入"), F.lit("--").alias("基本每股收益"), F.when(F.col("o_orderkey") % 5 > 0, (F.col("o_totalprice") / 4).cast("string")).alias("净资产收益率"))
+    return etl.parse_reports(raw).select("symbol", "report_date", "publish_date", "revenue", "eps", "roe")
+
+
+@query("SELECT DISTINCT CAST(o_orderdate AS DATE) AS trade_date, 'A_stock' AS market, isodow(CAST(o_orderdate AS DATE)) < 6 AS is_open FROM orders")
+def calendar_parse(spark, sf_dir):
+    day = F.col("o_orderdate").cast("date")
+    raw = spark.read.parquet(f"{sf_dir}/orders.parquet").select(day.cast("string").alias("calendar_date"), F.when(F.weekday(day) < 5, "1").otherwise("0").alias("is_trading_day")).distinct()
+    return etl.parse_calendar(raw)
+
+
+@query(f"WITH {SEC} SELECT symbol FROM sec WHERE asset_type = 'stock' AND list_date <= DATE '1998-09-01' AND (delist_date IS NULL OR delist_date >= DATE '1998-09-01') ORDER BY symbol LIMIT 20")
+def universe_first(spark, sf_dir):
+    """The first 20 active securities: a limit is what the operator is for."""
+    return loaders.universe(_securities(spark, sf_dir), "1998-09-01", "1998-09-01", 20)
+
+
+@query(f"WITH {SEC} SELECT symbol, 'A_stock' AS market, asset_type, list_date FROM sec WHERE CAST(symbol AS INTEGER) % 2 = 0")
+def market_refresh(spark, sf_dir):
+    """One market's rows replaced in full, another's kept."""
+    import uuid
+
+    root, rows = f"{scratch_dir(spark)}/lake-{uuid.uuid4().hex}", _securities(spark, sf_dir)
+    etl.replace_market(spark, rows, root, "securities")
+    etl.replace_market(spark, rows.withColumn("market", F.lit("US")), root, "securities", "US")
+    etl.replace_market(spark, rows.where(F.col("symbol").cast("int") % 2 == 0), root, "securities")
+    return spark.read.parquet(f"{root}/securities").where("market = 'A_stock'").select("symbol", "market", "asset_type", "list_date")
+
+
+@query("SELECT CAST(ts AS DATE) AS date, CAST(user_id AS VARCHAR) AS symbol, value AS close, event_type FROM events")
+def panel_standardize(spark, sf_dir):
+    """Columns renamed by a mapping, text dates and numeric symbols made DATE and STRING."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").cast("string").alias("when"), F.col("user_id").alias("code"), F.col("value").alias("last"), "event_type")
+    return loaders.standardize(e, {"when": "date", "code": "symbol", "last": "close"})
+
+
 # --- models ---------------------------------------------------------------------------------------------
 
 

@@ -30,10 +30,12 @@ def format_value(v) -> str:
 
 def table(df: DataFrame, limit: int = 2000) -> str:
     names = df.columns
-    rows = df.limit(limit).collect()
+    rows = df.limit(limit + 1).collect()
+    more = f"<p>The first {limit} rows; the CSV file beside this page has all.</p>" if len(rows) > limit else ""
+    rows = rows[:limit]
     head = "".join(f"<th>{html.escape(c)}</th>" for c in names)
     body = "".join("<tr>" + "".join(f"<td>{format_value(r[c])}</td>" for c in names) + "</tr>" for r in rows)
-    return f"<table><thead><tr>{head}</tr></thead><tbody>{body}</tbody></table>" if rows else "<p>No rows.</p>"
+    return f"{more}<table><thead><tr>{head}</tr></thead><tbody>{body}</tbody></table>" if rows else "<p>No rows.</p>"
 
 
 def line_chart(df: DataFrame, x: str, y: str, title: str, width: int = 860, height: int = 240) -> str:

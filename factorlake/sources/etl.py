@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import datetime
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import as_date, from_vendor_code, safe_double, soft_date
+from ..functions.scratch import drop_written, materialize, written
 from ..schema import DAILY_VALUATION, FINANCIAL_REPORTS, KEYS, RAW_BARS, TABLES
 
 
@@ -32,8 +32,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
         return False
 
 
-def upsert_bars(spark: SparkSession, new: DataFrame, root: str, market: str = "A_stock") -> None:
-    """Merge bars into market_data/market=M/year=Y: only the years that new touches are read and rewritten."""
+def upsert_bars(spark: SparkSession, new: DataFrame, root: str, market: str = "A_stock", files: int = 8) -> None:
+    """Merge bars into market_data/market=M/year=Y: only the years that new touches are read and rewritten, in about `files` files each."""
     path = f"{root}/market_data"
     new = new.withColumns({"market": F.lit(market), "year": F.year("trade_date")})
     old = None
@@ -41,20 +41,22 @@ def upsert_bars(spark: SparkSession, new: DataFrame, root: str, market: str = "A
         years = [r.year for r in new.select("year").distinct().collect()]  # one row a year
         old = spark.read.parquet(path).where((F.col("market") == market) & F.col("year").isin(years)).select(*new.columns)
     merged = keep_last(old, new, ["market", "year", "symbol", "trade_date"])
-    # the old files can't be overwritten while they are read
-    staged = f"{root}/_staged/{uuid.uuid4().hex}"
-    merged.write.parquet(staged)
-    out = spark.read.parquet(staged).repartition("market", "year").sortWithinPartitions("symbol", "trade_date")
+    # the old files can't be overwritten while they are read; should the overwrite fail, the staged table is left
+    staged = materialize(merged, "staged-bars")
+    made = written(spark)[-1:]
+    out = staged.repartition("market", "year", F.pmod(F.xxhash64("symbol"), F.lit(files))).sortWithinPartitions("symbol", "trade_date")
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("market", "year").parquet(path)
+    drop_written(spark, made)
 
 
 def upsert_table(spark: SparkSession, new: DataFrame, root: str, name: str) -> None:
     """INSERT OR REPLACE by the table's key."""
     path = f"{root}/{name}"
     old = spark.read.parquet(path) if _exists(spark, path) else None
-    staged = f"{root}/_staged/{uuid.uuid4().hex}"
-    keep_last(old, new, KEYS[name]).write.parquet(staged)
-    spark.read.parquet(staged).write.mode("overwrite").parquet(path)
+    staged = materialize(keep_last(old, new, KEYS[name]), f"staged-{name}")
+    made = written(spark)[-1:]
+    staged.write.mode("overwrite").parquet(path)
+    drop_written(spark, made)
 
 
 def replace_market(spark: SparkSession, new: DataFrame, root: str, name: str, market: str = "A_stock") -> None:
