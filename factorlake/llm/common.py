@@ -2,63 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scratch import drop_written, materialize, scratch_dir, written  # noqa: F401
+
 #: Keys with more than this share of the rows are "heavy": there are at most HEAVY_PARTS of them, whatever the data's size.
 HEAVY_PARTS = 1000
 
-_own_dirs: dict[str, str] = {}
-
-
-#: Tables written by materialize() and not yet deleted, by application.
-_written: dict[str, list[str]] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one where that is unset and Spark runs on one machine."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
-    return _own_dirs[app]
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back.
-
-    Cuts the lineage like checkpoint(), but keeps column pruning and filter
-    pushdown for the readers, and survives the loss of executors.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def written(spark: SparkSession) -> list[str]:
-    """Paths of the tables that materialize() has written and drop_written() hasn't deleted."""
-    return list(_written.get(spark.sparkContext.applicationId, []))
-
-
-def drop_written(spark: SparkSession, paths: list[str]) -> None:
-    """Delete tables that materialize() wrote. Call it only when every result that reads them is stored elsewhere."""
-    own = _written.get(spark.sparkContext.applicationId, [])
-    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
-    for path in [p for p in paths if p in own]:
-        where = hadoop.Path(path)
-        where.getFileSystem(conf).delete(where, True)
-        own.remove(path)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import heavy_join, materialize, read_table, usable_vector
 from .graph import components
 
-#: Rows that a shard holds about, members of a chunk at most, and centres at most.
-SHARD_ROWS, CHUNK, MOST_CENTRES = 512, 1_024, 65_536
+#: Rows that a shard holds about, members of a chunk at most, and centres at most, in number and in bytes (they are broadcast).
+SHARD_ROWS, CHUNK, MOST_CENTRES, MOST_BYTES = 512, 1_024, 65_536, 64 << 20
 #: Sampled vectors a centre, and sampled vectors at most.
 SAMPLE_EACH, MOST_SAMPLE = 24, 262_144
 #: Candidates and degree of a vertex, its slack in pruning, and the width of a search.
@@ -91,54 +91,62 @@ def robust_prune(sims: np.ndarray, alpha: float = ALPHA, pool: int = POOL, degre
     return out
 
 
-def range_search(sims: np.ndarray, adjacency: np.ndarray, entries: np.ndarray, queries: np.ndarray, least: float) -> np.ndarray:
-    """Boolean (vertices x vertices): for each query row, the vertices with similarity >= least that the graph leads to."""
-    n, q = len(sims), len(queries)
-    found = np.zeros((n, n), bool)
-    if not q:
-        return found
-    s = sims[queries]
-    visited = np.zeros((q, n), bool)
-    visited[:, entries] = True
+def range_search(v: np.ndarray, adjacency: np.ndarray, entries: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Places (a, b) of the pairs with similarity >= least that the graph leads to from each of the unit vectors, and how many pairs were compared.
+
+    Only pairs that the walk meets are compared: each vector's way from the
+    entries towards itself, and the neighbours of what lies in its range.
+    """
+    n = len(v)
+    s = np.full((n, n), -np.inf, np.float32)
+    visited = np.zeros((n, n), bool)
+
+    def compare(q: np.ndarray, c: np.ndarray) -> None:
+        visited[q, c] = True
+        for at in range(0, len(q), 1 << 16):
+            i, j = q[at : at + (1 << 16)], c[at : at + (1 << 16)]
+            s[i, j] = np.einsum("ij,ij->i", v[i], v[j])
+
+    row = np.arange(n)
+    compare(np.repeat(row, len(entries)), np.tile(entries, n))
     width = max(BEAM, len(entries))
-    beam = np.full((q, width), -1, np.int64)
+    beam = np.full((n, width), -1, np.int64)
     beam[:, : len(entries)] = entries
     done = beam < 0
-    row = np.arange(q)
     for _ in range(4 * BEAM):
         near = np.where(done, -np.inf, np.take_along_axis(s, np.maximum(beam, 0), axis=1))
         at = near.argmax(axis=1)
-        live = np.flatnonzero(near[row, at] > -np.inf)
+        # a vector that has met itself has arrived
+        live = np.flatnonzero((near[row, at] > -np.inf) & ~visited[row, row])
         if not len(live):
             break
         done[live, at[live]] = True
         nxt = adjacency[beam[live, at[live]]]
         fresh = (nxt >= 0) & ~visited[live[:, None], np.maximum(nxt, 0)]
         r, c = np.nonzero(fresh)
-        visited[live[r], nxt[r, c]] = True
+        compare(live[r], nxt[r, c])
         nxt = np.where(fresh, nxt, -1)
         all_ids, all_done = np.concatenate([beam[live], nxt], axis=1), np.concatenate([done[live], nxt < 0], axis=1)
         worth = np.where(all_ids < 0, -np.inf, np.take_along_axis(s[live], np.maximum(all_ids, 0), axis=1))
         best = np.argpartition(-worth, width - 1, axis=1)[:, :width]
         beam[live], done[live] = np.take_along_axis(all_ids, best, axis=1), np.take_along_axis(all_done, best, axis=1)
-    # spread from what is in range, or nearly; a query lies in its own range
-    visited[row, queries] = True
+    # spread from what is in range, or nearly; a vector lies in its own range
+    compare(row, row)
     edges = np.zeros((n, n), np.float32)
     a, b = np.nonzero(adjacency >= 0)
     edges[a, adjacency[a, b]] = 1
     edges = np.maximum(edges, edges.T)
-    near = s >= least - SLACK
-    front = visited & near
+    front = s >= least - SLACK
     on = np.flatnonzero(front.any(axis=1))
     while len(on):
-        step = (front[on].astype(np.float32) @ edges) > 0
-        new = step & ~visited[on]
-        visited[on] |= new
+        new = ((front[on].astype(np.float32) @ edges) > 0) & ~visited[on]
+        r, c = np.nonzero(new)
+        compare(on[r], c)
         front = np.zeros_like(front)
-        front[on] = new & near[on]
+        front[on] = new & (s[on] >= least - SLACK)
         on = on[front[on].any(axis=1)]
-    found[queries] = visited & (s >= least - 1e-5)
-    return found
+    a, b = np.nonzero((s >= least - 1e-5) | (s.T >= least - 1e-5))
+    return a, b, int(np.count_nonzero(visited))
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -148,7 +156,7 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 def _shard_graph(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Robust-pruned lists within one chunk of a shard."""
+    """Robust-pruned lists within one chunk of a shard, of at most some CHUNK vectors, of which each one's pool is looked for among all."""
     pdf = pdf.sort_values("id", kind="stable")
     ids, v = pdf["id"].to_numpy(), _unit(np.stack(pdf["v"].to_numpy()).astype(np.float64)).astype(np.float32)
     out = robust_prune(v @ v.T)
@@ -163,7 +171,6 @@ def _shard_links(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
     exact = np.stack(pdf["v"].to_numpy()).astype(np.float64)
     unit = _unit(exact)
     v = unit.astype(np.float32)
-    sims = v @ v.T
     place = pd.Index(ids)
     lists = pdf["near"].to_numpy()
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -176,8 +183,7 @@ def _shard_links(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
         own = np.flatnonzero(chunk == part)
         if len(own):
             entries.append(own[(v[own] @ v[own].mean(axis=0)).argmax()])
-    found = range_search(sims, adjacency, np.array(entries), np.arange(len(ids)), least)
-    a, b = np.nonzero(found | found.T)
+    a, b, _ = range_search(v, adjacency, np.array(entries), least)
     keep = a < b
     if i != j:
         keep &= chunk[a] != chunk[b]
@@ -213,7 +219,8 @@ def _link_rows(ids: np.ndarray, a: np.ndarray, b: np.ndarray, links: np.ndarray)
 
 
 def _sampled_centres(vectors: DataFrame, k: int, n: int) -> np.ndarray:
-    """k centres of a bounded sample of vectors."""
+    """At most k centres of a bounded sample of vectors."""
+    k = max(1, min(k, MOST_BYTES // (4 * (vectors.select(F.size("v")).first()[0] or 1))))
     want = min(MOST_SAMPLE, n, max(1_024, SAMPLE_EACH * k))
     some = vectors.select("id", "v").orderBy(F.xxhash64("id")).limit(want).toPandas().sort_values("id", kind="stable")
     return centres(_unit(np.stack(some["v"].to_numpy()).astype(np.float64)).astype(np.float32), k)
@@ -224,7 +231,7 @@ def _links(vectors: DataFrame, least: float, overlap: int, n: int) -> DataFrame:
     spark = vectors.sparkSession
     k = max(1, min(MOST_CENTRES, n * overlap // SHARD_ROWS))
     c = _sampled_centres(vectors, k, n)
-    sent, own = spark.sparkContext.broadcast(c), min(overlap, k)
+    sent, own = spark.sparkContext.broadcast(c), min(overlap, len(c))
 
     @F.pandas_udf("array<long>")
     def homes(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -332,9 +339,12 @@ def audit_recall(vectors: DataFrame, links: DataFrame, least: float, audited: in
     return float((np.minimum(got, true)[some_links] / true[some_links]).mean()) if some_links.any() else 1.0
 
 
-def near_vectors(rows: DataFrame, least: float = 0.95, overlap: int = 4, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_vectors(rows: DataFrame, least: float = 0.95, overlap: int = 4, id_col: str = "vec_id", vector_col: str = "embedding", audits: list | None = None) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row.
 
+    audits, if given, gets a dict of each graph that was built: the vectors'
+    length, the overlap, the recall found, and whether an exact pass followed.
+
     Two vectors link at cosine >= least; only vectors of one length meet.
     Vectors that are null, zero, or hold null or non-finite components link
     with nothing. A row with a null id is left alone (n_links 0, component null,
@@ -356,7 +366,10 @@ def near_vectors(rows: DataFrame, least: float = 0.95, overlap: int = 4, id_col:
         while True:
             found = materialize(_links(own, least, wide, n), "vectors-links")
             counts = found.groupBy("id").agg(F.sum("links").alias("n_links"))
-            if audit_recall(own, counts, least) >= LEAST_RECALL:
+            recall = audit_recall(own, counts, least)
+            if audits is not None:
+                audits.append({"dim": dim, "overlap": wide, "recall": recall, "exact": recall < LEAST_RECALL and (2 * wide > MOST_OVERLAP or 4 * wide * SHARD_ROWS >= n)})
+            if recall >= LEAST_RECALL:
                 break
             wide *= 2
             # too few: a wider graph while it compares fewer pairs than there are, then all pairs that may link
@@ -391,3 +404,13 @@ def near_vectors(rows: DataFrame, least: float = 0.95, overlap: int = 4, id_col:
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+#: All pairs by cosine, and what links reach, in DuckDB.
+OP2_SQL = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS size FROM v),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.95),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
+SELECT m.vec_id, coalesce(n.n, 0) AS n_links, least(m.vec_id, coalesce(c.c, m.vec_id)) AS component_id, m.vec_id <= coalesce(c.c, m.vec_id) AS kept FROM embeddings m
+LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) n ON n.a = m.vec_id LEFT JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) c ON c.a = m.vec_id"""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .ann import op9_ann
-from .embedding_dedup import op2_embedding_dedup
+from .embedding_dedup import OP2_SQL, op2_embedding_dedup
 from .line_dedup import op1_line_dedup
 from .mixing import op4_mixing
 from .packing import op10_packing
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_ann": op9_ann,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL = {"op6_url_filter": OP6_SQL}
+ORACLE_SQL = {"op2_embedding_dedup": OP2_SQL, "op6_url_filter": OP6_SQL}

@@ -367,11 +367,23 @@ def test_queries_agree_with_sql(spark, sf):
     import duckdb
 
     c = duckdb.connect()
-    c.execute(f"create view pages as select * from '{sf}/pages.parquet'")
-    want = c.execute(LQ.ORACLE_SQL["op6_url_filter"]).fetchdf()
-    got = LQ.QUERIES["op6_url_filter"](spark, sf).toPandas()
+    for t in ("pages", "embeddings"):
+        c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     key = lambda d: sorted(json.dumps([None if v != v else v for v in r], default=int) for r in d[sorted(d.columns)].astype(object).where(d[sorted(d.columns)].notna(), None).values.tolist())
-    assert key(got) == key(want)
+    for name, sql in LQ.ORACLE_SQL.items():
+        assert key(LQ.QUERIES[name](spark, sf).toPandas()) == key(c.execute(sql).fetchdf()), name
+
+
+def test_near_vectors_agree_with_sql_where_there_are_links(spark, tmp_path):
+    import duckdb
+
+    df, _ = vectors(spark, 300)
+    df.select("vec_id", "embedding").coalesce(1).write.parquet(str(tmp_path / "embeddings"))
+    c = duckdb.connect()
+    c.execute(f"create view embeddings as select * from '{tmp_path}/embeddings/*.parquet'")
+    want = {r[0]: r[1:] for r in c.execute(ED.OP2_SQL).fetchall()}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in ED.near_vectors(df).collect()}
+    assert got == want and sum(n for n, _, _ in want.values()) > 1000
 
 
 @pytest.mark.parametrize("name", sorted(LQ.QUERIES))
@@ -401,6 +413,76 @@ def test_pipeline(spark, sf, tmp_path):
     assert sorted(map(tuple, CP.run(spark, sf).select("doc_id", "start", "length", "ids_crc32").collect())) == sorted(map(tuple, pieces.select("doc_id", "start", "length", "ids_crc32").collect()))
 
 
+def test_pipeline_against_plain_python(spark, tmp_path):
+    from itertools import groupby
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as CP
+    from factorlake.llm import simhash as SH
+
+    from .test_text_operators import plain_components, plain_dedup
+
+    r = np.random.default_rng(3)
+    text = lambda n: " ".join(f"w{i}" for i in r.integers(0, 5000, n))
+    passage = "\n".join(text(8) for _ in range(9))
+    own = [text(int(r.integers(5, 200))) for _ in range(25)]
+    texts = own + [f"{text(6)}\n{passage}\n{text(6)}" for _ in range(5)] + own[:6] + [None, "", "  "]
+    rows = [(i, t, "en", "ab"[i % 2] if i % 7 else None, len(t or "")) for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    pieces = CP.run(spark, str(tmp_path)).collect()
+
+    clean = plain_dedup([(r[0], r[1]) for r in rows], 50)
+    clean = {i: t for i, t in clean.items() if t == texts[i] or t.strip()}
+    worded = sorted(i for i, t in clean.items() if t and t.strip())
+    prints = [[int(f) for f in SH.fingerprint(clean[i], 5, 42, 2)] for i in worded]
+    near = lambda a, b: min(bin(x ^ y).count("1") for x, y in zip(a, b)) <= 8 and sum(bin(x ^ y).count("1") for x, y in zip(a, b)) <= 30
+    low = {i: i for i in worded}
+    for a, i in enumerate(worded):
+        for b in range(a):
+            if near(prints[a], prints[b]):
+                x, y = sorted((low[i], low[worded[b]]))
+                low = {k: x if v == y else v for k, v in low.items()}
+    stays = [(i, clean[i], "en", rows[i][3], len(clean[i])) for i in worded if low[i] == i]
+    assert len(stays) < len(worded)
+    mixed = MX.mixed_documents(spark.createDataFrame(stays, schema)).collect()
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = Counter()
+    for m in mixed:
+        want[m.doc_id] += len(t.encode(m.text, add_special_tokens=False).ids) + 1
+    got = Counter()
+    for p in pieces:
+        got[p.doc_id] += p.length
+    assert got == want
+    for _, g in groupby(sorted(pieces, key=lambda p: (p.sequence_id, p.offset)), key=lambda p: p.sequence_id):
+        n = 0
+        for p in g:
+            assert p.offset == n
+            n += p.length
+        assert n <= 4096
+
+
+@pytest.mark.parametrize("stage", ["quality", "line dedup", "simhash", "mixing", "packing"])
+def test_pipeline_stages_on_odd_rows(spark, sf, stage):
+    import corpus_pipeline as CP
+
+    run = dict(CP.STAGES)[stage]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, _d string, n_removed string, _r string, n string"
+    row = lambda i, t, s="s": (i, t, "en", s, len(t or ""), "k", "d", "r", "r", "n")
+    rows = [row(1, "same words here and there\nand a second line"), row(1, "other words of the same id\nand its second line"), row(1, "same words here and there\nand a second line"), row(2, None), row(3, ""), row(None, "without an id"), row(None, None, None), row(4, "long " * 20_000), row(5, "x")]
+    docs = spark.createDataFrame(rows, schema)
+    out = run(spark, docs, sf)
+    if stage != "packing":
+        assert out.columns == docs.columns and out.count() <= 3 * len(rows)
+    else:
+        assert out.count() >= len(rows)
+    assert run(spark, docs.where("false"), sf).count() == 0
+
+
 def test_pipeline_stages_on_planted_cases(spark, tmp_path):
     import corpus_pipeline as CP
 

@@ -307,9 +307,39 @@ def test_gradients():
         assert g[k][at] == pytest.approx((up - down) / 2e-5, rel=1e-4)
 
 
-def test_a_very_long_stretch_is_tagged_in_parts():
-    text = "1 " * 60_000
-    assert isinstance(pii.model_spans([text], pii.trained(), at_once=256)[0], list)
+def test_training_lowers_the_loss_and_the_weights_are_stored():
+    x, y = pii.windows_of(pii.labelled_texts(60, 5))
+    losses = pii.BiLstmCrf().train(x, y, 3)
+    assert losses[2] < losses[0] / 2
+    assert {k: v.shape for k, v in pii.trained().p.items()} == {k: v.shape for k, v in pii.BiLstmCrf().p.items()}
+
+
+def test_reading_agrees_with_training():
+    m = pii.trained()
+    x, _ = pii.windows_of(pii.labelled_texts(6, 8))
+    s, _ = m.scores(x)
+    np.testing.assert_allclose(m.states(x.T), s.transpose(1, 0, 2), atol=1e-3)
+    # the best path of all, by brute force over a short stretch
+    s = m.states(x[:3].T)[20:24]
+    best = m.viterbi(s)
+    trans = m.p["t"] + m.allowed
+    from itertools import product
+
+    for w in range(3):
+        def worth(path):
+            first = -1e4 if path[0] and path[0] % 2 == 0 else 0
+            return first + sum(s[i, w, k] for i, k in enumerate(path)) + sum(trans[i, j] for i, j in zip(path, path[1:]))  # noqa: B023
+
+        assert worth(best[w].tolist()) >= max(map(worth, product(range(pii.TAGS), repeat=4))) - 1e-3
+
+
+def test_a_text_of_many_addresses():
+    text = "".join(f"user{i} at host.com, " for i in range(20_000))
+    assert len(pii.model_spans([text], pii.trained(), at_once=256)[0]) > 19_900
+    spans, base = [(i, 0, i + 2) for i in range(0, 300_000, 3)], [(i, 1, i + 4) for i in range(0, 300_000, 9)]
+    assert len(pii.untouched(spans, base)) == len([s for s in spans if s[0] % 9 == 6])
+    assert pii.untouched([(0, 0, 5), (7, 0, 9)], [(1, 1, 2), (0, 2, 6)][::-1]) == [(7, 0, 9)]
+    assert pii.untouched([(0, 0, 5)], []) == [(0, 0, 5)]
 
 
 # --- line dedup ---
