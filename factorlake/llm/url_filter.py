@@ -31,6 +31,8 @@ class ShiftAnd:
 
     def __init__(self, patterns: Sequence[str]):
         states, start, final = 0, [], []
+        # ASCII, then one code for all other letters, then those of them that patterns hold
+        self.code = {c: 129 + i for i, c in enumerate(sorted({c for p in patterns for c in p if ord(c) > 127}))}
         char: dict[int, list[int]] = {}
         loops, anything = [], []
         for p in patterns:
@@ -44,7 +46,7 @@ class ShiftAnd:
                 if c == "?":
                     anything.append(at)
                 else:
-                    char.setdefault(min(ord(c), 128), []).append(at)
+                    char.setdefault(self.code.get(c, ord(c)), []).append(at)
             final.append(at)
             states = at + 1
         self.words = states // 64 + 1
@@ -52,7 +54,7 @@ class ShiftAnd:
         self.start, self.loop, self.ends = bits(start), bits(loops), bits(final)
         self.final = final
         # a state before a new pattern's start must not shift into it
-        self.table = np.stack([bits(char.get(c, []) + anything) for c in range(129)])
+        self.table = np.stack([bits(char.get(c, []) + anything) for c in range(129 + len(self.code))])
 
     def _mask(self, on: list[int]) -> np.ndarray:
         out = np.zeros(self.words, np.uint64)
@@ -61,7 +63,7 @@ class ShiftAnd:
         return out
 
     def match(self, texts: Sequence[str]) -> np.ndarray:
-        """Boolean (texts x patterns): which patterns fit the whole text. Characters beyond ASCII only fit wildcards."""
+        """Boolean (texts x patterns): which patterns fit the whole text."""
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
         lengths = np.array([len(texts[i]) for i in order], dtype=np.int64)
         state = np.tile(self.start, (len(texts), 1))
@@ -70,11 +72,10 @@ class ShiftAnd:
         block = 256
         for begin in range(0, longest, block):
             live = int(np.searchsorted(-lengths, -begin, side="left"))  # texts longer than begin
-            codes = np.full((live, block), 128, np.uint8)
+            codes = np.full((live, block), 128, np.uint16)
             for row, i in enumerate(order[:live]):
                 part = texts[i][begin : begin + block]
-                raw = part.encode("ascii", "replace") if part.isascii() else bytes(min(ord(c), 128) for c in part)
-                codes[row, : len(raw)] = np.frombuffer(raw, np.uint8)
+                codes[row, : len(part)] = np.frombuffer(part.encode(), np.uint8) if part.isascii() else [self.code.get(c, min(ord(c), 128)) for c in part]
             for k in range(min(block, longest - begin)):
                 n = int(np.searchsorted(-lengths, -(begin + k), side="left"))
                 if not n:
