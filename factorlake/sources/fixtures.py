@@ -20,6 +20,7 @@ def supplier_bars(spark: SparkSession, sf_dir: str, bucket: str = "week") -> Dat
     """date, symbol, OHLCV and amount of each supplier's unit prices per week, month or day."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     price = half_up(F.col("l_extendedprice") / F.col("l_quantity"), 4)
+    # part keys below 1e9 and prices below 1e6 keep their digits apart
     # the order of trades (day, order, line, part, price) as one decimal number: a hash aggregate can hold it, but no struct
     day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
     high = (day * 10**12 + F.col("l_orderkey")).cast("decimal(19,0)")
