@@ -104,9 +104,11 @@ class BoostedTrees(BaseModel):
 
 
 class Network(BaseModel):
-    """A small multilayer perceptron, averaged over partitions: each partition fits its own rows, predictions are their mean.
+    """A small multilayer perceptron, averaged over members: each fits rows of its own, predictions are their mean.
 
-    params: hidden (64, 32), epochs 30, rate 1e-3, batch 256, members 4.
+    params: hidden (64, 32), epochs 30, rate 1e-3, batch 256, members 4, and rows
+    (200,000), which a member fits at most: of a larger table each member gets a
+    share by hash, so that neither its task nor the driver grows with the table.
     """
 
     def estimator(self, df: DataFrame, target: str):
@@ -184,8 +186,9 @@ class _NetworkFit:
 
         from pyspark.ml.functions import vector_to_array
 
-        members = p.get("members", 4)
-        rows = df.select(vector_to_array("_x").alias("_v"), F.col(target).cast("double").alias(target), F.pmod(F.xxhash64("date", "symbol"), F.lit(members)).alias("_m"), "date", "symbol")
+        members, most = p.get("members", 4), p.get("rows", 200_000)
+        parts = members * max(1, -(-df.count() // (members * most)))
+        rows = df.select(vector_to_array("_x").alias("_v"), F.col(target).cast("double").alias(target), F.pmod(F.xxhash64("date", "symbol"), F.lit(parts)).alias("_m"), "date", "symbol").where(F.col("_m") < members)
         fitted = rows.groupBy("_m").applyInPandas(lambda pdf: train(pdf.sort_values(["date", "symbol"])), "m binary").collect()  # a few kilobytes a member
         return _NetworkModel([pickle.loads(r.m) for r in fitted])
 

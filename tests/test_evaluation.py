@@ -68,6 +68,15 @@ def test_rising_asset(spark):
 def test_decay_has_every_lag(spark):
     f, r = make(spark, link=True)
     out = {x.lag: x.ic for x in SE.ic_decay(f, r, 5).collect()}
+    # returns given for each lag, by a function or a mapping, are taken as they are
+    days = [d.date for d in r.select("date").distinct().orderBy("date").collect()]
+
+    def moved(lag):
+        pairs = spark.createDataFrame([(a, b) for a, b in zip(days, days[lag - 1 :])], "date date, _later date")
+        return pairs.join(r.withColumnRenamed("date", "_later"), "_later").select("date", "symbol", "ret")
+
+    for given in (moved, {k: moved(k) for k in range(1, 6)}):
+        assert {x.lag: x.ic for x in SE.ic_decay(f, given, 5).collect()} == pytest.approx(out)
     assert sorted(out) == [1, 2, 3, 4, 5] and out[1] > 0.5 > abs(out[2])
 
 
