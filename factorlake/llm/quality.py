@@ -121,23 +121,23 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: int =
 def fit_on(docs: DataFrame, labels: DataFrame, n_grades: int, sample_rows: int = SAMPLE_ROWS) -> Ordinal | None:
     """Fit on at most sample_rows rows of labels (doc_id, grade), those with the lowest hashes; None without any.
 
-    Of documents that repeat an id, and of an id labelled twice, each pair is a
-    row; there are at most sample_rows of these too, again those with the lowest hashes.
+    Of documents that repeat an id, the one whose text has the lowest hash is fitted on.
     """
     some = labels.where("grade is not null and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("grade").alias("_grade"))
     some = some.orderBy(F.xxhash64("_id"), "_id", "_grade").limit(sample_rows)
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["_id"], "t": pdf["_t"], "grade": pdf["_grade"], "ids": [features(t).tolist() for t in pdf["_text"]]})
+            yield pd.DataFrame({"id": pdf["_id"], "grade": pdf["_grade"], "t": pdf["_t"], "ids": [features(t).tobytes() for t in pdf["_text"]]})
 
-    # at most sample_rows labels go to the executors; where ids repeat, more rows than that may meet them
+    # at most sample_rows labels go to the executors, and one row for each comes back
     rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.xxhash64("text").alias("_t")).join(F.broadcast(some), "_id")
-    rows = rows.mapInPandas(hashed, "id long, t long, grade int, ids array<int>").orderBy(F.xxhash64("id"), "id", "grade", "t").limit(sample_rows).toPandas()
+    rows = rows.mapInPandas(hashed, "id long, grade int, t long, ids binary")
+    rows = rows.groupBy("id", "grade").agg(F.min(F.struct("t", "ids")).alias("x")).select("id", "grade", "x.ids").toPandas()
     if rows.empty:
         return None
-    rows = rows.sort_values(["id", "grade", "t"], kind="stable")
-    return fit([np.array(x, np.int32) for x in rows["ids"]], rows["grade"].to_numpy(), n_grades)
+    rows = rows.sort_values(["id", "grade"], kind="stable")
+    return fit([np.frombuffer(x, np.int32) for x in rows["ids"]], rows["grade"].to_numpy(), n_grades)
 
 
 def score(docs: DataFrame, model: Ordinal | None, keep_grade: int, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
