@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .scratch import stored
+
 FAR = Window.unboundedPreceding
 
 
@@ -30,9 +32,12 @@ def densify(df: DataFrame, *values: str, days_of: DataFrame | None = None) -> Da
     """symbol, date_idx, date and values of every (calendar day, symbol); null where df has no row. The days are those of days_of, or of df.
 
     The calendar is one row with an array, sent to every task and exploded per
-    symbol. The only shuffle is that of the join, by symbol and date.
+    symbol. The only shuffle is that of the join, by symbol and date. Days, symbols
+    and values are three readings of df: what is more than a stored table with
+    filters is written once before, so that its sources are read once.
     """
     values = values or tuple(c for c in df.columns if c not in ("date", "symbol"))
+    df = stored(df.select("date", "symbol", *values), "bars")
     days = (df if days_of is None else days_of).select("date").where("date is not null").distinct().agg(F.sort_array(F.collect_list("date")).alias("_d"))
     grid = df.select("symbol").distinct().crossJoin(F.broadcast(days)).select("symbol", F.posexplode("_d").alias("date_idx", "date"))
     return grid.join(df.select("date", "symbol", *values), ["symbol", "date"], "left").select("symbol", "date_idx", "date", *values)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +53,29 @@ def drop_written(spark: SparkSession, paths: list[str]) -> None:
         where = hadoop.Path(path)
         where.getFileSystem(conf).delete(where, True)
         own.remove(path)
+
+
+#: Plan nodes that cost no more than reading a file again.
+_CHEAP = {"Project", "Filter", "LogicalRelation", "SubqueryAlias", "LocalRelation", "Range", "View"}
+
+
+def stored(df: DataFrame, label: str = "stored") -> DataFrame:
+    """df itself if it only reads, filters and projects; else written once, for callers that read it several times."""
+    nodes = [df._jdf.queryExecution().analyzed()]
+    while nodes:
+        node = nodes.pop()
+        if node.getClass().getSimpleName() not in _CHEAP:
+            return materialize(df, label)
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    return df
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that materialize() writes inside. Store results elsewhere before it ends: frames made inside can't be read after it."""
+    before = set(written(spark))
+    try:
+        yield
+    finally:
+        drop_written(spark, [p for p in written(spark) if p not in before])

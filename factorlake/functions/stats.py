@@ -9,12 +9,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 
 def corr(a: str, b: str) -> Column:
     """Pearson correlation as an aggregate; null for constant columns."""
     return F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))
 
 
+def settled(c: Column, digits: int = 10) -> Column:
+    """Rounded to so many digits, in arithmetic that every engine does alike: values that should tie do, whatever order their sums were made in."""
+    unit = float(10**digits)
+    return F.floor(c * unit + 0.5) / unit
+
+
 def average_rank(c: str, *keys: str) -> Column:
     """Rank within keys, from 1; ties get their mean rank."""
     # ties are the rows of the same place in one order: no second shuffle by value
@@ -22,12 +30,21 @@ def average_rank(c: str, *keys: str) -> Column:
     return F.rank().over(w) + (F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow)) - 1) / 2
 
 
-def correlation(df: DataFrame, a: str, b: str, keys: list[str], method: str = "rank", least: int = 3) -> DataFrame:
-    """keys, n and corr of a and b per key: Spearman for method "rank", else Pearson; null below `least` rows."""
+def correlation(df: DataFrame, a: str, b: str, keys: list[str], method: str = "rank", least: int = 3, large: bool = False) -> DataFrame:
+    """keys, n and corr of a and b per key: Spearman for method "rank", else Pearson; null below `least` rows.
+
+    Ranks are of values settled to 10 digits. large: a key may hold any number of
+    rows, and its ranks go over many tasks; else each key is ranked in one.
+    """
     df = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     if method == "rank":
-        df = df.select(*keys, average_rank(a, *keys).alias("_a"), average_rank(b, *keys).alias("_b"))
-        a, b = "_a", "_b"
+        df = df.select(*keys, settled(F.col(a)).alias("_a"), settled(F.col(b)).alias("_b"))
+        if large:
+            df = scan.average_rank(df, "_a", keys, "_ra", label="rank-a")
+            df = scan.average_rank(df, "_b", keys, "_rb", label="rank-b")
+        else:
+            df = df.select(*keys, average_rank("_a", *keys).alias("_ra"), average_rank("_b", *keys).alias("_rb"))
+        a, b = "_ra", "_rb"
     out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), corr(a, b).alias("corr"))
     return out.withColumn("corr", F.when(F.col("n") >= least, F.col("corr")))
 
@@ -36,19 +53,20 @@ def quantile_groups(df: DataFrame, value: str, keys: list[str], n_groups: int, o
     """df with out: 1 (low) to n_groups by interpolated quantile edges of the key's values.
 
     Equal edges are dropped and the groups numbered anew; a key with one
-    distinct edge gets null groups. The edges of a key are one aggregate, joined back.
+    distinct edge gets null groups. Values are settled first. The edges of a key are one aggregate, joined back.
     """
+    df = df.withColumn("_v", settled(F.col(value)))
     share = F.array(*[F.lit(k / n_groups) for k in range(n_groups + 1)])
-    edges = df.groupBy(*keys).agg(F.array_distinct(F.percentile(value, share)).alias("_e"))
+    edges = df.groupBy(*keys).agg(F.array_distinct(F.percentile("_v", share)).alias("_e"))
     df = df.join(edges, keys)
-    below = F.size(F.filter("_e", lambda e: e < F.col(value)))
-    return df.withColumn(out, F.when(F.size("_e") > 1, F.greatest(below, F.lit(1)))).drop("_e")
+    below = F.size(F.filter("_e", lambda e: e < F.col("_v")))
+    return df.withColumn(out, F.when(F.size("_e") > 1, F.greatest(below, F.lit(1)))).drop("_e", "_v")
 
 
 def in_top_quantile(value: str, keys: list[str], quantiles: int, tie: str = "symbol") -> Column:
-    """Whether a row is in the top quantile of its key by rank, ties by `tie`: r * q > (q - 1) * (n - 1), r from 0."""
+    """Whether a row is in the top quantile of its key by rank of settled values, ties by `tie`: r * q > (q - 1) * (n - 1), r from 0."""
     w = Window.partitionBy(*keys)
-    r, n = F.row_number().over(w.orderBy(value, tie)) - 1, F.count(F.lit(1)).over(w)
+    r, n = F.row_number().over(w.orderBy(settled(F.col(value)), tie)) - 1, F.count(F.lit(1)).over(w)
     return r * quantiles > (quantiles - 1) * (n - 1)
 
 

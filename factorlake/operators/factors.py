@@ -19,6 +19,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import moments as M
 from ..functions import panel as P
 
 
@@ -82,6 +83,8 @@ class Volatility(BaseFactor):
 
     def apply(self, grid: DataFrame) -> DataFrame:
         grid = P.pct_change(grid, "close", "_ret")
+        if self.n >= M.LONG:
+            return M.with_rolling_moments(grid, "_ret", self.n).withColumn(self.name, M.std_of("_m", self.n)).drop("_ret", "_m")
         return grid.withColumn(self.name, P.rolling_std(F.col("_ret"), self.n)).drop("_ret")
 
 
@@ -95,6 +98,8 @@ class HighLowSpread(BaseFactor):
 
     def apply(self, grid: DataFrame) -> DataFrame:
         grid = grid.withColumn("_s", F.try_divide(F.col("high") - F.col("low"), "close"))
+        if self.n >= M.LONG:
+            return M.with_rolling_moments(grid, "_s", self.n).withColumn(self.name, M.mean_of("_m", self.n)).drop("_s", "_m")
         return grid.withColumn(self.name, P.rolling_mean(F.col("_s"), self.n)).drop("_s")
 
 
@@ -108,6 +113,8 @@ class PriceVolumeCorrelation(BaseFactor):
 
     def apply(self, grid: DataFrame) -> DataFrame:
         grid = P.pct_change(P.pct_change(grid, "close", "_p", self.m), "volume", "_v", self.m)
+        if self.n >= M.LONG:
+            return M.with_rolling_moments(grid, "_p", self.n, y="_v").withColumn(self.name, M.corr_of("_m", self.n)).drop("_p", "_v", "_m")
         return grid.withColumn(self.name, P.rolling_corr(F.col("_p"), F.col("_v"), self.n)).drop("_p", "_v")
 
 

@@ -68,7 +68,7 @@ class BaseModel(ABC):
             own = folds.where(F.col("fold") == k)
             one = type(self)(**self._settings()).fit(own.where("part = 'train'"), features, target).predict(own).select("fold", "part", F.col("prediction"), F.col(target).alias("_t"))
             scored = one if scored is None else scored.unionByName(one)
-        ic = S.correlation(scored, "prediction", "_t", ["fold", "part"], "rank")
+        ic = S.correlation(scored, "prediction", "_t", ["fold", "part"], "rank", large=True)
         return ic.groupBy("fold").agg(F.max(F.when(F.col("part") == "train", F.col("corr"))).alias("train_ic"), F.max(F.when(F.col("part") == "val", F.col("corr"))).alias("val_ic"))
 
     def _settings(self) -> dict:

@@ -31,9 +31,9 @@ def forward_returns(market: DataFrame, periods=PERIODS, price: str = "close") ->
 
 
 def ic_at(factors: DataFrame, returns: DataFrame, method: str = "rank") -> DataFrame:
-    """One IC per (factor, period) over all the rows given, as for one cross-section."""
+    """One IC per (factor, period) over all the rows given, as for one cross-section; ranks of any number of rows go over many tasks."""
     both = factors.join(returns, ["date", "symbol"])
-    return S.correlation(both, "value", "ret", KEY, method).select(*KEY, F.col("corr").alias("ic"))
+    return S.correlation(both, "value", "ret", KEY, method, large=True).select(*KEY, F.col("corr").alias("ic"))
 
 
 def ic_series(factors: DataFrame, returns: DataFrame, method: str = "rank") -> DataFrame:

@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes as C
+from ..functions import moments as M
 from ..functions import panel as P
+from ..functions import scan
 from ..functions import stats as S
-from ..functions.scratch import scratch_dir
+from ..functions.scratch import scratch_dir, stored
 from ..operators import analyze as A
 from ..operators import factors as FA
 from ..operators import portfolio as PF
@@ -24,6 +26,7 @@ from ..operators.simulate import CashAccountEngine
 from ..schema import RAW_BARS, TABLES
 from ..sources import etl, loaders
 from ..sources import fixtures as X
+from ..sources.tablelog import TableLog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -46,8 +49,8 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 
 
 def _calm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bars that most queries start from."""
-    return X.calm_bars(spark, sf_dir)
+    """The bars that most queries start from: derived from the trades once a query, and stored for its several readings."""
+    return stored(X.calm_bars(spark, sf_dir), "bars")
 
 
 # --- SQL pieces -------------------------------------------------------------------
@@ -102,7 +105,7 @@ RSI = f"""SELECT date, symbol, CASE WHEN rsi < 30 THEN 1 WHEN rsi > 70 THEN -1 E
       CASE WHEN count(l) {WB[:-1]} ROWS UNBOUNDED PRECEDING) >= 14 THEN sum(l * w) {WB[:-1]} ROWS UNBOUNDED PRECEDING) / sum(CASE WHEN l IS NOT NULL THEN w END) {WB[:-1]} ROWS UNBOUNDED PRECEDING) END AS al
     FROM (SELECT date, symbol, CASE WHEN d IS NOT NULL THEN greatest(d, 0) END AS g, CASE WHEN d IS NOT NULL THEN greatest(-d, 0) END AS l, w
       FROM (SELECT date, symbol, close - lag(close) {WB} AS d, pow(1 - 1.0 / 14, -CAST(row_number() {WB} - 1 AS DOUBLE)) AS w FROM calm))))"""
-FACTOR_SQL = f"""fac AS (SELECT date, symbol, factor, value FROM (SELECT 'momentum_5' AS factor, * FROM ({MOM(5)}) UNION ALL SELECT 'momentum_20', * FROM ({MOM(20)})
+FACTOR_SQL = f"""fac AS (SELECT date, symbol, factor, floor(value * 1e10 + 0.5) / 1e10 AS value FROM (SELECT 'momentum_5' AS factor, * FROM ({MOM(5)}) UNION ALL SELECT 'momentum_20', * FROM ({MOM(20)})
   UNION ALL SELECT 'volatility_20', * FROM ({VOL(20)}) UNION ALL SELECT 'highlow_spread_20', * FROM ({HLS(20)})) WHERE value IS NOT NULL)"""
 
 
@@ -115,7 +118,7 @@ def ic_sql(method: str, factors: str = "fac", returns: str = "fwd", name: str =
     keys = "factor, period, date"
     if method == "rank":
         rank = lambda c: f"rank() OVER (PARTITION BY {keys} ORDER BY {c}) + (count(*) OVER (PARTITION BY {keys}, {c}) - 1) / 2.0"
-        src = f"(SELECT {keys}, {rank('value')} AS a, {rank('ret')} AS b FROM {factors} JOIN {returns} USING (date, symbol))"
+        src = f"(SELECT {keys}, {rank('value')} AS a, {rank(r('ret', 10))} AS b FROM {factors} JOIN {returns} USING (date, symbol))"
     else:
         src = f"(SELECT {keys}, value AS a, ret AS b FROM {factors} JOIN {returns} USING (date, symbol))"
     return f"{name} AS (SELECT {keys}, CASE WHEN count(*) >= 3 THEN covar_samp(a, b) / nullif(stddev_samp(a) * stddev_samp(b), 0) END AS ic FROM {src} GROUP BY ALL)"
@@ -311,6 +314,53 @@ def drawdown_duration(spark, sf_dir):
     return P.longest_run(df, ["symbol"], "date", F.col("dd") < -1e-9)
 
 
+# --- keys of any size: a return flag holds up to half of all trades ----------------------
+
+#: Rows of a segment here, so that small tables go over several too.
+SEGMENT = 10_000
+TRADES = "trades AS (SELECT l_returnflag, l_orderkey, l_linenumber, l_quantity, 1 + l_discount / 10000 AS growth, floor(l_extendedprice / l_quantity * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS u FROM lineitem WHERE l_quantity <> 0)"
+WT = "OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING)"
+TRADE = ["l_orderkey", "l_linenumber"]
+
+
+def _trades(spark, sf_dir):
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity != 0")
+    return li.select("l_returnflag", *TRADE, "l_quantity", (1 + F.col("l_discount") / 10000).alias("growth"), X.half_up(F.col("l_extendedprice") / F.col("l_quantity"), 4).alias("u"))
+
+
+@query(f"WITH {TRADES} SELECT l_orderkey, l_linenumber, rank() OVER (PARTITION BY l_returnflag ORDER BY u) + (count(*) OVER (PARTITION BY l_returnflag, u) - 1) / 2.0 AS r FROM trades")
+def rank_trades(spark, sf_dir):
+    """Average rank of each trade's price among all trades of its return flag."""
+    return scan.average_rank(_trades(spark, sf_dir).select("l_returnflag", *TRADE, "u"), "u", ["l_returnflag"], "r", SEGMENT).select(*TRADE, "r")
+
+
+@query(f"WITH {TRADES} SELECT l_orderkey, l_linenumber, sum(l_quantity) {WT} AS volume, max(u) {WT} AS peak, {r(f'product(growth) {WT}', 4)} AS nav, {r(f'u / max(u) {WT} - 1', 4)} AS dd FROM trades")
+def running_trades(spark, sf_dir):
+    """Running volume, peak price and product of growth over all trades of a return flag, and the fall from the peak."""
+    values = {"volume": scan.Running("sum", "l_quantity"), "peak": scan.Running("max", "u"), "nav": scan.Running("product", "growth")}
+    df = scan.running(_trades(spark, sf_dir), ["l_returnflag"], TRADE, values, SEGMENT).withColumn("dd", F.col("u") / F.col("peak") - 1)
+    return rounded(df, "nav", "dd", digits=4).select(*TRADE, "volume", "peak", "nav", "dd")
+
+
+@query(f"""WITH {TRADES} SELECT l_orderkey, l_linenumber, CASE WHEN k >= 4 THEN {r(f'sum(u * w) {WT} / sum(w) {WT}', 2)} END AS x
+FROM (SELECT *, pow(0.999, -CAST(k AS DOUBLE)) AS w FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber) - 1 AS k FROM trades))""")
+def ewm_trades(spark, sf_dir):
+    """Exponential mean of price over all trades of a return flag."""
+    df = scan.ewm_mean(_trades(spark, sf_dir).select("l_returnflag", *TRADE, "u"), ["l_returnflag"], TRADE, "u", "x", 0.001, 5, SEGMENT)
+    return rounded(df, "x", digits=2).select(*TRADE, "x")
+
+
+# --- long windows -------------------------------------------------------------------------
+
+
+@query(w_(select=f"SELECT symbol, date, {r(full('avg(close)', 'close', 150))} AS m, {r(full('stddev_samp(close)', 'close', 150))} AS sd FROM (SELECT symbol, date, date_idx, pc AS close FROM grid)"))
+def rolling_long_150(spark, sf_dir):
+    """Mean and deviation over 150 days from merged moments of blocks."""
+    df = _grid(spark, sf_dir).withColumn("close", P.ffill(F.col("close")))
+    df = M.with_rolling_moments(df, "close", 150)
+    return rounded(df.withColumns({"m": M.mean_of("_m", 150), "sd": M.std_of("_m", 150)}), "m", "sd").select("symbol", "date", "m", "sd")
+
+
 # --- factors ----------------------------------------------------------------------------
 
 
@@ -328,6 +378,8 @@ for _n in (5, 20):
     _factor(FA.Volatility(_n), VOL(_n))
 _factor(FA.HighLowSpread(20), HLS(20))
 _factor(FA.PriceVolumeCorrelation(), ALPHA)
+_factor(FA.Volatility(100), VOL(100))
+_factor(FA.PriceVolumeCorrelation(100, 5, "price_volume_100"), ALPHA.replace(win(20), win(100)).replace("= 20 THEN", "= 100 THEN"))
 _factor(FA.MACross(), MA)
 _factor(FA.RSI(), RSI)
 
@@ -468,7 +520,7 @@ def ic_chart(spark, sf_dir):
     return rounded(SE.ic_chart(_ic(spark, sf_dir)), "ic", "ma")
 
 
-@query(w_(FACTOR_SQL, fwd_sql("close"), "whole AS (SELECT factor, period, DATE '2000-01-01' AS date, value, ret FROM fac JOIN fwd USING (date, symbol))",
+@query(w_(FACTOR_SQL, fwd_sql("close"), "whole AS (SELECT factor, period, DATE '2000-01-01' AS date, value, floor(ret * 1e10 + 0.5) / 1e10 AS ret FROM fac JOIN fwd USING (date, symbol))",
     select=f"SELECT factor, period, {r('covar_samp(a, b) / nullif(stddev_samp(a) * stddev_samp(b), 0)')} AS ic FROM (SELECT factor, period, rank() OVER (PARTITION BY factor, period ORDER BY value) + (count(*) OVER (PARTITION BY factor, period, value) - 1) / 2.0 AS a, rank() OVER (PARTITION BY factor, period ORDER BY ret) + (count(*) OVER (PARTITION BY factor, period, ret) - 1) / 2.0 AS b FROM whole) GROUP BY factor, period"))
 def ic_of_all_rows(spark, sf_dir):
     return rounded(SE.ic_at(_panel(spark, sf_dir), _returns(spark, sf_dir)), "ic")
@@ -837,7 +889,7 @@ def lake_load(spark, sf_dir):
 
 @query(f"WITH {TWICE} SELECT CAST(year(date) AS BIGINT) AS y, count(*) AS n, {r('sum(close)', 4)} AS total FROM b GROUP BY 1")
 def lake_years(spark, sf_dir):
-    df = spark.read.parquet(f"{_lake(spark, sf_dir)}/market_data")
+    df = TableLog(spark, f"{_lake(spark, sf_dir)}/market_data").read()
     return rounded(df.groupBy(F.col("year").cast("long").alias("y")).agg(F.count("*").alias("n"), F.sum("close").alias("total")), "total", digits=4)
 
 
@@ -886,7 +938,7 @@ def market_refresh(spark, sf_dir):
     etl.replace_market(spark, rows, root, "securities")
     etl.replace_market(spark, rows.withColumn("market", F.lit("US")), root, "securities", "US")
     etl.replace_market(spark, rows.where(F.col("symbol").cast("int") % 2 == 0), root, "securities")
-    return spark.read.parquet(f"{root}/securities").where("market = 'A_stock'").select("symbol", "market", "asset_type", "list_date")
+    return TableLog(spark, f"{root}/securities_by_market").read().where("market = 'A_stock'").select("symbol", "market", "asset_type", "list_date")
 
 
 @query("SELECT CAST(ts AS DATE) AS date, CAST(user_id AS VARCHAR) AS symbol, value AS close, event_type FROM events")

@@ -8,68 +8,69 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import as_date, from_vendor_code, safe_double, soft_date
-from ..functions.scratch import drop_written, materialize, written
 from ..schema import DAILY_VALUATION, FINANCIAL_REPORTS, KEYS, RAW_BARS, TABLES
+from .tablelog import TableLog
 
 
-def keep_last(old: DataFrame | None, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of old and new with one row a key: new before old, and within new the later (column _seq, if it has one)."""
-    new = new.withColumn("_batch", F.lit(1))
-    if "_seq" not in new.columns:
-        new = new.withColumn("_seq", F.monotonically_increasing_id())
-    both = new if old is None else old.withColumns({"_batch": F.lit(0), "_seq": F.lit(0).cast("long")}).unionByName(new)
-    w = Window.partitionBy(*keys).orderBy(F.col("_batch").desc(), F.col("_seq").desc())
-    return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_batch", "_seq")
+def in_file_order(df: DataFrame) -> DataFrame:
+    """df, read from Parquet files, with _seq: the file and the row's place in it, which don't depend on how the files are dealt to tasks."""
+    return df.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("_seq"))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    from pyspark.errors import AnalysisException
+def keep_last(old: DataFrame | None, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Rows of old and new with one row a key: new before old, and within new the later.
 
-    try:
-        spark.read.parquet(path)
-        return True
-    except AnalysisException:
-        return False
+    Later is the higher by the columns `order`, by default by _seq (which goes,
+    see in_file_order()) if there is one. Rows that tie, or all of a key where
+    there is no order, are told apart by their columns: the greatest stays. So the
+    result never depends on partitions or retries.
+    """
+    names = [c for c in new.columns if c != "_seq"]
+    order = order if order is not None else ["_seq"] if "_seq" in new.columns else []
+    places = [f"_o{i}" for i in range(len(order))]
+    both = new.select(*names, *[F.col(c).alias(o) for c, o in zip(order, places)], F.lit(1).alias("_batch"))
+    if old is not None:
+        before = old.select(*names, *[F.lit(None).cast(both.schema[o].dataType).alias(o) for o in places], F.lit(0).alias("_batch"))
+        both = before.unionByName(both)
+    # the first row of a key is all that a task sends on
+    w = Window.partitionBy(*keys).orderBy(*[F.col(f"`{c}`").desc_nulls_last() for c in ("_batch", *places, *names)])
+    return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*names)
+
+
+def layout_of(files: int):
+    """How bars are dealt before they are written: by market, year and about `files` parts of the symbols, each in order."""
+    return lambda df: df.repartition("market", "year", F.pmod(F.xxhash64("symbol"), F.lit(files))).sortWithinPartitions("market", "year", "symbol", "trade_date")
 
 
-def upsert_bars(spark: SparkSession, new: DataFrame, root: str, market: str = "A_stock", files: int = 8) -> None:
-    """Merge bars into market_data/market=M/year=Y: only the years that new touches are read and rewritten, in about `files` files each."""
-    path = f"{root}/market_data"
+def upsert_bars(spark: SparkSession, new: DataFrame, root: str, market: str = "A_stock", files: int = 8, order: list[str] | None = None) -> int:
+    """Merge bars into the versioned table market_data, by market and year: only the years that new touches are read and rewritten, in about `files` files each; the new version.
+
+    Until that version is in the log, readers see the table before, whole.
+    """
     new = new.withColumns({"market": F.lit(market), "year": F.year("trade_date")})
-    old = None
-    if _exists(spark, path):
-        years = [r.year for r in new.select("year").distinct().collect()]  # one row a year
-        old = spark.read.parquet(path).where((F.col("market") == market) & F.col("year").isin(years)).select(*new.columns)
-    merged = keep_last(old, new, ["market", "year", "symbol", "trade_date"])
-    # the old files can't be overwritten while they are read; should the overwrite fail, the staged table is left
-    staged = materialize(merged, "staged-bars")
-    made = written(spark)[-1:]
-    out = staged.repartition("market", "year", F.pmod(F.xxhash64("symbol"), F.lit(files))).sortWithinPartitions("symbol", "trade_date")
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("market", "year").parquet(path)
-    drop_written(spark, made)
-
-
-def upsert_table(spark: SparkSession, new: DataFrame, root: str, name: str) -> None:
-    """INSERT OR REPLACE by the table's key."""
-    path = f"{root}/{name}"
-    old = spark.read.parquet(path) if _exists(spark, path) else None
-    staged = materialize(keep_last(old, new, KEYS[name]), f"staged-{name}")
-    made = written(spark)[-1:]
-    staged.write.mode("overwrite").parquet(path)
-    drop_written(spark, made)
-
-
-def replace_market(spark: SparkSession, new: DataFrame, root: str, name: str, market: str = "A_stock") -> None:
-    """Full refresh of one market's rows: partitions by market, of which one is overwritten."""
-    new.where(F.col("market") == market).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("market").parquet(f"{root}/{name}")
+    merge = lambda old, rows, keys: keep_last(old, rows, keys, order)
+    return TableLog(spark, f"{root}/market_data").upsert(new, ["market", "year", "symbol", "trade_date"], merge, ["market", "year"], layout_of(files))
+
+
+def upsert_table(spark: SparkSession, new: DataFrame, root: str, name: str, order: list[str] | None = None) -> int:
+    """INSERT OR REPLACE by the table's key; the new version."""
+    return TableLog(spark, f"{root}/{name}").upsert(new, KEYS[name], lambda old, rows, keys: keep_last(old, rows, keys, order))
+
+
+def replace_market(spark: SparkSession, new: DataFrame, root: str, name: str, market: str = "A_stock") -> int:
+    """Full refresh of one market's rows, even to none; the other markets keep their folders. The table is stored by market, in a folder name_by_market of its own."""
+    own = new.where(F.col("market") == market)
+    touched = spark.createDataFrame([(market,)], "market string")
+    return TableLog(spark, f"{root}/{name}_by_market").replace_partitions(own, ["market"], touched)
 
 
 def create_tables(spark: SparkSession, root: str) -> list[str]:
     """Make the stored tables that aren't there yet, empty; safe to repeat."""
     made = []
     for name, schema in TABLES.items():
-        if not _exists(spark, f"{root}/{name}"):
-            spark.createDataFrame([], schema).write.parquet(f"{root}/{name}")
+        log = TableLog(spark, f"{root}/{name}")
+        if not log.exists():
+            log.overwrite(spark.createDataFrame([], schema))
             made.append(name)
     return made
 
@@ -184,4 +185,4 @@ def run_update(spark: SparkSession, root: str, bars: DataFrame, valuation: DataF
         upsert_table(spark, valuation, root, "daily_valuation")
     if reports is not None:
         upsert_table(spark, reports, root, "financial_reports")
-    return {n: spark.read.parquet(f"{root}/{n}").count() for n in ("market_data", *TABLES)}
+    return {n: TableLog(spark, f"{root}/{n}").read().count() for n in ("market_data", *TABLES)}

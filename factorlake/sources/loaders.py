@@ -12,12 +12,16 @@ import warnings
 from abc import ABC, abstractmethod
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.codes import soft_date
 from ..schema import BARS, Col, validate_schema
+from .quarantine import SKIPPED, read_good
 from .sqlite import read_sqlite
+from .tablelog import TableLog, path_exists
 
 
 def standardize(df: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
@@ -128,33 +132,61 @@ class PanelLoader(Loader):
 
 
 class LakeLoader(Loader):
-    """A folder of market_data/market=M/year=Y Parquet and of the tables securities and daily_valuation.
-
-    A date range becomes a range of years too, so that partitions are pruned.
-    A missing folder gives an empty panel, a file that can't be read is skipped.
+    """Stored tables under a folder: market_data by market and year, securities, daily_valuation, financial_reports.
+
+    A table may have a log of versions (tablelog.TableLog) or be a plain Parquet
+    folder. A date range becomes a range of years too, so that partitions are
+    pruned. A missing table gives an empty panel. Files that can't be read, or
+    that a table with a log has lost, are skipped with a warning, and listed with
+    their reasons in `skipped` (a DataFrame) after each load; check_files=False
+    leaves the probing of footers out, and then a bad file raises an error.
     """
 
-    def __init__(self, spark: SparkSession, root: str, market: str = "A_stock"):
-        self.spark, self.root, self.market = spark, root.rstrip("/"), market
-
-    def _table(self, name: str) -> DataFrame | None:
-        from pyspark.errors import AnalysisException
+    def __init__(self, spark: SparkSession, root: str, market: str = "A_stock", check_files: bool = True):
+        self.spark, self.root, self.market, self.check_files = spark, root.rstrip("/"), market, check_files
+        self.skipped = spark.createDataFrame([], SKIPPED)
+
+    def _table(self, name: str, keep: dict | None = None) -> DataFrame | None:
+        path = f"{self.root}/{name}"
+        log = TableLog(self.spark, path)
+        if log.exists():
+            if not self.check_files:
+                return log.read()
+            df, skipped = log.read_checked(keep)
+            self.skipped = self.skipped.unionByName(skipped)
+            return df
+        if not path_exists(self.spark, path):
+            warnings.warn(f"no table {name} under {self.root}", stacklevel=3)
+            return None
+        plain = self._plain_schema(path)
+        if plain is None or not self.check_files:
+            return None if plain is None else self.spark.read.schema(plain).parquet(path)
+        parts = [c for c in ("market", "year") if c in plain.names and name == "market_data"]
+        df, skipped = read_good(self.spark, [path], plain, path, None, StructType([f for f in plain.fields if f.name not in parts]))
+        self.skipped = self.skipped.unionByName(skipped)
+        return df
 
+    def _plain_schema(self, path: str) -> StructType | None:
+        """From the first file whose footer can be read."""
         try:
-            return self.spark.read.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).parquet(f"{self.root}/{name}")
+            return self.spark.read.option("ignoreCorruptFiles", True).parquet(path).schema
         except AnalysisException:
-            warnings.warn(f"no table {name} under {self.root}", stacklevel=3)
+            warnings.warn(f"no readable file under {path}", stacklevel=4)
             return None
 
     def load_market_data(self, symbols=None, start=None, end=None) -> DataFrame:
-        df = self._table("market_data")
+        self.skipped = self.spark.createDataFrame([], SKIPPED)
+        low, high = (int(str(d)[:4]) if d is not None else None for d in (start, end))
+        in_range = lambda y: y.isdigit() and (low is None or int(y) >= low) and (high is None or int(y) <= high)
+        keep = {"market": lambda m: m == self.market} | ({} if low is None and high is None else {"year": in_range})
+        df = self._table("market_data", keep)
         if df is None:
             return self.spark.createDataFrame([], BARS)
         df = df.where(F.col("market") == self.market)
-        if start is not None:
-            df = df.where(F.col("year") >= int(str(start)[:4]))
-        if end is not None:
-            df = df.where(F.col("year") <= int(str(end)[:4]))
+        if low is not None:
+            df = df.where(F.col("year") >= low)
+        if high is not None:
+            df = df.where(F.col("year") <= high)
         df = standardize(df.drop("market", "year"), {"trade_date": "date"})
         df = filter_panel(df, symbols, start, end)
         securities = self._table("securities")

@@ -11,6 +11,7 @@ from factorlake.plans.cli import main
 from factorlake.plans.config import load_config, load_timing_config, merge
 from factorlake.sources import etl, loaders
 from factorlake.sources.fixtures import synthetic_bars
+from factorlake.sources.tablelog import ConcurrentWrite, TableLog
 from factorlake.streaming.bars import event_bars, keep_bars_up_to_date
 
 
@@ -173,6 +174,6 @@ def test_streamed_bars(spark, sf, tmp_path):
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 3).parquet(src)
     q = keep_bars_up_to_date(stream, str(tmp_path / "lake"), str(tmp_path / "ck"))
     q.awaitTermination(120)
-    got = spark.read.parquet(str(tmp_path / "lake" / "market_data")).select("trade_date", "symbol", "open", "close", "volume")
+    got = TableLog(spark, str(tmp_path / "lake" / "market_data")).read().select("trade_date", "symbol", "open", "close", "volume")
     want = event_bars(events).selectExpr("date as trade_date", "symbol", "open", "close", "volume")
     assert got.exceptAll(want).count() == 0 and got.count() == want.count()
