@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import materialize, read_table
 
 #: Bytes of a page's vectors, rows of it at most, children of a node, entries of a leaf, queries that search a page in one task.
-PAGE_BYTES, PAGE_ROWS, FANOUT, LEAF, PAGE_QUERIES = 8_000_000, 32_768, 16, 64, 4_096
+PAGE_BYTES, PAGE_ROWS, FANOUT, LEAF, PAGE_QUERIES = 4_000_000, 16_384, 16, 256, 1_024
 #: Pivots at most, and bytes of them; they are distinct vectors with the least hashes.
 PIVOTS, PIVOT_BYTES = 4_096, 32_000_000
 #: Distances closer than this share of the longest lengths aren't told apart by rounding.
@@ -103,39 +103,51 @@ class Page:
         a = {k: np.frombuffer(row[k], kinds.get(k, "f8")) for k in cls.NAMES}
         return cls(**a | {"x": a["x"].reshape(len(a["ids"]), dim), "pivot": a["pivot"].reshape(-1, dim + 1)})
 
-    def search(self, q: np.ndarray, own: int, top: int, bound: float, longest2: float, exact) -> tuple[np.ndarray, np.ndarray, int]:
-        """(ids, scores, distances computed) of the `top` best rows for q with a distance of at most bound, row `own` left out; best first, ties to the smaller id.
+    def open(self, exact: Scorer) -> Page:
+        """Ready for search(): vectors in the type that the scores are computed in, lengths of the pivots."""
+        self.x, self.scores = exact.rows(self.x), exact.scores
+        self.pivot2 = np.einsum("ij,ij->i", self.pivot, self.pivot)
+        return self
 
-        exact(rows, q) gives the whole-number scores of some rows.
-        """
+    def search(self, q: np.ndarray, own: int, top: int, bound: float, longest2: float) -> tuple[np.ndarray, np.ndarray, int]:
+        """(ids, scores, distances computed) of the `top` best rows for q with a distance of at most bound, row `own` left out; best first, ties to the smaller id. The page is open."""
         z = np.append(q.astype(np.float64), 0.0)
         q2 = float(z @ z)
         slack = ROUNDING * (math.sqrt(longest2) + math.sqrt(q2))
-        self_pivot = np.einsum("ij,ij->i", self.pivot, self.pivot)
 
-        def to_pivots(at: np.ndarray) -> np.ndarray:
-            return np.sqrt(np.maximum(q2 + self_pivot[at] - 2 * (self.pivot[at] @ z), 0))
+        def to_pivots(at) -> np.ndarray:
+            return np.sqrt(np.maximum(q2 + self.pivot2[at] - 2 * (self.pivot[at] @ z), 0))
 
         ids, scores, computed = np.empty(0, np.int64), np.empty(0, np.int64), 1
-        d = float(to_pivots(np.array([0]))[0])
+        d = float(to_pivots(slice(0, 1))[0])
         queue = [(max(0.0, d - float(self.radius[0])), 0, d)]
         while queue and queue[0][0] <= bound + slack:
             _, node, d = heapq.heappop(queue)
-            at = np.arange(self.first[node], self.last[node])
+            first, last = int(self.first[node]), int(self.last[node])
             if self.inner[node]:
-                at = at[np.abs(d - self.to_parent[at]) - self.radius[at] <= bound + slack]
+                at = first + np.flatnonzero(np.abs(d - self.to_parent[first:last]) - self.radius[first:last] <= bound + slack)
                 near = to_pivots(at)
                 computed += len(at)
                 low = np.maximum(near - self.radius[at], 0)
                 for c in np.flatnonzero(low <= bound + slack).tolist():
                     heapq.heappush(queue, (float(low[c]), int(at[c]), float(near[c])))
                 continue
-            at = at[np.abs(d - self.to_leaf[at]) <= bound + slack]
+            within = np.abs(d - self.to_leaf[first:last]) <= bound + slack
+            if within.all():
+                at, x = np.arange(first, last), self.x[first:last]
+            else:
+                at = first + np.flatnonzero(within)
+                x = self.x[at]
             computed += len(at)
-            at = at[self.ids[at] != own]
+            s = self.scores(x, q)
+            if len(ids) == top:  # with what ties with the last
+                better = s >= scores[-1]
+                at, s = at[better], s[better]
+            other = self.ids[at] != own
+            at, s = at[other], s[other]
             if not len(at):
                 continue
-            ids, scores = np.concatenate([ids, self.ids[at]]), np.concatenate([scores, exact(self.x[at], q)])
+            ids, scores = np.concatenate([ids, self.ids[at]]), np.concatenate([scores, s])
             best = np.lexsort((ids, -scores))[:top]
             ids, scores = ids[best], scores[best]
             if len(ids) == top:
@@ -147,13 +159,19 @@ def _stack(column: pd.Series, kind: str) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(kind)
 
 
-def _scorer(largest: int, dim: int):
-    """exact(rows, q): inner products as whole numbers, in doubles where these hold all sums."""
-    if largest * largest * dim >= 2**63:
-        raise ValueError("inner products of these vectors don't fit a long")
-    if largest * largest * dim < 2**53:
-        return lambda rows, q: (rows.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
-    return lambda rows, q: rows.astype(np.int64) @ q.astype(np.int64)
+class Scorer:
+    """Inner products as whole numbers, in doubles where these hold all sums of vectors with components of at most `largest`."""
+
+    def __init__(self, largest: int, dim: int):
+        if largest * largest * dim >= 2**63:
+            raise ValueError("inner products of these vectors don't fit a long")
+        self.kind = np.float64 if largest * largest * dim < 2**53 else np.int64
+
+    def rows(self, x: np.ndarray) -> np.ndarray:
+        return x.astype(self.kind)
+
+    def scores(self, x: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return (x @ q.astype(self.kind)).astype(np.int64)
 
 
 def _one_length(x: DataFrame, q: DataFrame, top: int, dim: int, page_rows: int | None) -> DataFrame:
@@ -165,7 +183,7 @@ def _one_length(x: DataFrame, q: DataFrame, top: int, dim: int, page_rows: int |
     asked, longest_q = q.agg(F.count(F.lit(1)), F.max(F.array_max(F.transform("v", lambda c: F.abs(c))))).first()
     if not n or not asked:
         return spark.createDataFrame([], shape)
-    exact = _scorer(max(largest or 0, longest_q or 0), max(dim, 1))
+    exact = Scorer(max(largest or 0, longest_q or 0), max(dim, 1))
     kind = "i4" if max(largest or 0, longest_q or 0) < 2**31 else "i8"
     page_rows = page_rows or max(LEAF, min(PAGE_ROWS, PAGE_BYTES // (max(dim, 1) * int(kind[1]))))
 
@@ -232,14 +250,15 @@ def _one_length(x: DataFrame, q: DataFrame, top: int, dim: int, page_rows: int |
         def run(asks: pd.DataFrame, page: pd.DataFrame) -> pd.DataFrame:
             names, out = ["query_id", "vec_id", "score", "computed"], []
             if len(asks) and len(page):
-                tree = Page.unpack(page.iloc[0], dim, kind)
+                tree = Page.unpack(page.iloc[0], dim, kind).open(exact)
                 for i, v, bound in zip(asks["id"], asks["v"], asks["bound"]):
-                    ids, scores, computed = tree.search(np.asarray(v, np.int64), int(i), top, bound, longest2, exact)
+                    ids, scores, computed = tree.search(np.asarray(v, np.int64), int(i), top, bound, longest2)
                     out.append(pd.DataFrame({"query_id": int(i), "vec_id": ids, "score": scores, "computed": computed}))
             return pd.concat(out) if out else pd.DataFrame({c: np.empty(0, np.int64) for c in names})
 
-        key = ["cell", "chunk", "part"]
-        return queries.groupBy(*key).cogroup(copies.groupBy(*key)).applyInPandas(run, shape)
+        # small rows, long work: not to be put into few tasks by their size
+        key, n = ["cell", "chunk", "part"], int(spark.conf.get("spark.sql.shuffle.partitions"))
+        return queries.repartition(n, *key).groupBy(*key).cogroup(copies.repartition(n, *key).groupBy(*key)).applyInPandas(run, shape)
 
     far = F.lit(float("inf"))
     q = q.withColumn("cell", first_cell("v")).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(6)), n_chunks).cast("int"))

@@ -198,11 +198,10 @@ def test_mtree_leaves_distances_out():
     x = (r.standard_normal((30, 8))[r.integers(0, 30, 8000)] * 250 + r.standard_normal((8000, 8)) * 10).astype(np.int64)
     longest2 = float((x.astype(float) ** 2).sum(axis=1).max())
     page = MT.Page.build(np.arange(8000), x.astype("i4"), longest2)
-    page = MT.Page.unpack(page.pack(), 8, "i4")
-    exact = MT._scorer(int(abs(x).max()), 8)
+    page = MT.Page.unpack(page.pack(), 8, "i4").open(MT.Scorer(int(abs(x).max()), 8))
     computed = []
     for i in range(0, 8000, 100):
-        ids, scores, n = page.search(x[i], i, 5, float("inf"), longest2, exact)
+        ids, scores, n = page.search(x[i], i, 5, float("inf"), longest2)
         s = x @ x[i]
         s[i] = -(2**62)
         assert ids.tolist() == np.lexsort((np.arange(8000), -s))[:5].tolist()
@@ -214,9 +213,9 @@ def test_mtree_numbers(spark):
     df = spark.createDataFrame([(1, [0.5, -0.001]), (2, [float("nan"), 1.0]), (3, [None, 1.0]), (4, None), (5, [float("inf"), 0.0])], "vec_id long, e array<float>")
     assert [r.v for r in df.select(MT.whole_numbers(F.col("e")).alias("v")).collect()] == [[128, -1], None, None, None, None]
     with pytest.raises(ValueError):
-        MT._scorer(2**31, 2)
-    big = MT._scorer(2**28, 8)
-    assert big(np.array([[2**28] * 8], "i8"), np.array([2**28 - 1] * 8, "i8")).tolist() == [8 * 2**28 * (2**28 - 1)]
+        MT.Scorer(2**31, 2)
+    big = MT.Scorer(2**28, 8)
+    assert big.scores(big.rows(np.array([[2**28] * 8], "i4")), np.array([2**28 - 1] * 8, "i8")).tolist() == [8 * 2**28 * (2**28 - 1)]
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
