@@ -2,19 +2,19 @@
 
 Slot n of the mix stands at the point frac(n / golden ratio) of [0, 1), and the
 source whose stretch of cumulative weight covers that point supplies it. The
-slots of a source are ranked, and slot k takes block k modulo the number of its
-blocks: each source's documents, shuffled by a hash, laid end to end and cut
-into blocks of equal numbers of words. Every prefix of the schedule is close to
-the target weights, and reruns agree.
+slots of a source are ranked, and the slot of rank k takes block k of the
+source: its documents, shuffled by a hash and laid end to end again and again,
+are cut into blocks of equal numbers of words. Blocks meet their slots in a join
+by source and rank. Every prefix of the mix is close to the target weights, and
+reruns agree.
 
-As slots take a source's blocks in turn, all that they take is the source's
-shuffled words from the first on, gone through again and again. How far is
-settled by the source's target and not by whole blocks, so that every source
-gives its target to the word, however small it is beside the others.
+A source has as many slots as its target has blocks. Its last one takes what is
+left of the target, so that every source gives its target to the word; the few
+blocks for which the points leave no slot follow at the end.
 
 All of it is DataFrame operations. Running sums over a source, which may hold
 a third of all rows, go by hash buckets: sums of buckets first, then sums
-within a bucket.
+within a bucket. What is joined has a key for each block.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: The golden ratio's fraction in 32 bits, and the cells of [0, 1) by which points find sources.
 GOLDEN, CELLS = 2_654_435_769, 4_096
-#: Rows that a hash bucket of a source should hold.
-BUCKET_ROWS = 5_000
+#: Rows that a hash bucket of a source should hold; words of a block; times that a text is taken for which it goes through one row.
+BUCKET_ROWS, BLOCK, AT_ONCE = 5_000, 1_024, 1_000
 
 
 def n_words(text: Column) -> Column:
@@ -90,13 +90,31 @@ def schedule(targets: DataFrame, block: int, slots: int) -> DataFrame:
     return hit.select("slot", "source", "rank", (F.col("rank") % F.col("n_blocks")).alias("block_no"), F.floor(F.col("rank") / F.col("n_blocks")).alias("pass_no"))
 
 
-def _places(docs: DataFrame, weights: tuple, most: int, seed: int, id_col: str, source_col: str, text_col: str) -> DataFrame:
-    """One row for rows that agree in source, id and text: doc_id, source, hashes, size, n (rows), source_size, target, and at (words of its source before it)."""
+def filled_slots(targets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """slot, source, rank and need (words of the source's target) of all blocks of all targets (source, source_size, target, need)."""
+    wanted = targets.where("need > 0").select("source", "need", F.ceil(F.col("need") / block).cast("long").alias("_m"))
+    total = wanted.agg(F.coalesce(F.sum("_m"), F.lit(0))).first()[0]
+    points = schedule(targets.where("need > 0"), block, total).select("slot", "source", "rank")
+    same = F.col("p.source").eqNullSafe(F.col("w.source"))
+    held = points.alias("p").join(F.broadcast(wanted.alias("w")) if total < 1_000_000 else wanted.alias("w"), same)
+    held = held.where("rank < _m").select("slot", "p.source", "rank", "need")
+    held = materialize(held, "mix-slots")
+    got = held.groupBy("source").agg(F.count(F.lit(1)).alias("_got"))
+    rest = wanted.alias("w").join(got.alias("g"), F.col("w.source").eqNullSafe(F.col("g.source")), "left").select("w.source", "need", "_m", F.coalesce("_got", F.lit(0)).alias("_got"))
+    rest = rest.where("_got < _m").select("source", "need", F.explode(F.sequence(F.col("_got"), F.col("_m") - 1)).alias("rank"))
+    # a few blocks a source: by how far they are through their target, so that the end is mixed too
+    order = Window.orderBy((F.col("rank") * block) / F.col("need"), F.col("source").isNull(), "source", "rank")
+    return held.unionByName(rest.select((F.row_number().over(order) - 1 + F.lit(total)).cast("long").alias("slot"), "source", "rank", "need"))
+
+
+def _places(docs: DataFrame, weights: tuple, most: int, seed: int, id_col: str, source_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """One row for rows that agree in source, id and text: doc_id, source, hashes, size, n (rows), source_size, target, need, and at (words of its source before it); and the targets."""
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(text).alias("size"), text_hashes(text).alias("hashes"))
     rows = materialize(rows.groupBy("source", "doc_id", "hashes", "size").agg(F.count("*").alias("n")), "mix-sizes")
     sizes = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    targets = materialize(source_targets(sizes, weights, most).coalesce(1), "mix-targets")
+    need = F.least(F.round("target").cast("long"), F.col("source_size") * most)
+    targets = materialize(source_targets(sizes, weights, most).withColumn("need", need).coalesce(1), "mix-targets")
     n_rows = rows.count()
 
     # where each document starts among the words of its source; the hash is of id and text, so that no id is hot
@@ -108,63 +126,79 @@ def _places(docs: DataFrame, weights: tuple, most: int, seed: int, id_col: str,
     earlier = F.sum("_n").over(Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select("source", "_bucket", F.coalesce(earlier, F.lit(0)).alias("_before"))
     # a source's target goes with its buckets, so that its many rows never meet at one key
-    sums = sums.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.*", "t.source_size", "t.target")
+    sums = sums.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.*", "t.source_size", "t.target", "t.need")
     within = F.sum(words).over(Window.partitionBy("source", "_bucket").orderBy("_h", "doc_id", "hashes").rowsBetween(Window.unboundedPreceding, -1))
     at = rows.withColumn("_within", F.coalesce(within, F.lit(0)))
     same = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a._bucket") == F.col("b._bucket"))
-    return at.alias("a").join(sums.alias("b"), same).select("a.doc_id", "a.source", "a.hashes", "a.size", "a.n", "b.source_size", "b.target", (F.col("a._within") + F.col("b._before")).alias("at"))
+    places = at.alias("a").join(sums.alias("b"), same).select("a.doc_id", "a.source", "a.hashes", "a.size", "a.n", "b.source_size", "b.target", "b.need", (F.col("a._within") + F.col("b._before")).alias("at"))
+    return places, targets
 
 
-def _passes(most: int) -> tuple[Column, Column]:
-    """Whole passes through the source, and the words of it that one more pass takes: rounded to words, and exact in whole numbers."""
-    need = F.least(F.round("target").cast("long"), F.col("source_size") * most)
-    size = F.nullif(F.col("source_size"), F.lit(0).cast("long"))
-    return F.floor((need - need % size) / size), need % size
+def _taken(places: DataFrame, most: int) -> DataFrame:
+    """A row for each time that the source's words, gone through again and again, come to a row: its columns, _i (which of equal rows), first and last (words of the source before and with it, as far as the target goes)."""
+    rows = repeated(places.where("size > 0"), "n", "_i")
+    start = F.col("at") + F.col("_i") * F.col("size")
+    passes = [F.struct((F.col("source_size") * p + start).alias("first"), F.least(F.col("source_size") * p + start + F.col("size"), F.col("need")).alias("last")) for p in range(most)]
+    return rows.withColumn("_p", F.explode(F.filter(F.array(*passes), lambda x: x["first"] < x["last"]))).select("*", "_p.first", "_p.last").drop("_p")
+
+
+def _on_slots(rows: DataFrame, slots: DataFrame, rank) -> DataFrame:
+    """rows with the slot of their source's block `rank`: as many rows a key as lie in a block."""
+    same = F.col("r.source").eqNullSafe(F.col("s.source")) & (F.col("r.rank") == F.col("s.rank"))
+    return rows.withColumn("rank", rank).alias("r").join(slots.select("source", "rank", "slot").alias("s"), same).select("r.*", "s.slot")
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """doc_id, source, size, source_size, target and taken (words that the mix takes of the row, repeats counted) of every row.
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken (words that the slots take of the row, repeats counted) of every row.
 
     A null text has size 0; a null source is a source of its own, the last one.
     A row without words is never taken. Rows with equal ids are mixed each for
     itself, in an order by hashes of id and text; rows that agree in both stand
     one after the other. No rows give no rows. Other columns are ignored.
     """
-    again, rest = _passes(most)
-    rows = repeated(_places(docs, weights, most, seed, id_col, source_col, text_col), "n", "_i")
-    start = F.col("at") + F.col("_i") * F.col("size")
-    part = F.greatest(F.least(start + F.col("size"), rest) - start, F.lit(0))
-    taken = F.when(F.col("size") > 0, again * F.col("size") + part).otherwise(0)
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
-
-
-def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The mix itself, with the columns of docs: a row for each whole time that a document is taken, and one for a part.
-
-    A part is the document's first words with the white space between them;
-    n_chars, if there is such a column, is set anew. Of rows that agree in source,
-    id and text, the least by its columns stands for all. Null and empty texts,
-    and texts without words, are never taken. No rows give no rows.
+    places, targets = _places(docs, weights, most, seed, id_col, source_col, text_col)
+    places = materialize(places, "mix-places")
+    blocks = F.explode(F.sequence(F.floor(F.col("first") / block), F.floor((F.col("last") - 1) / block)))
+    met = _on_slots(_taken(places, most), filled_slots(targets, block), blocks)
+    words = F.least(F.col("last"), (F.col("rank") + 1) * block) - F.greatest(F.col("first"), F.col("rank") * block)
+    key = ["source", "doc_id", "hashes", "_i", "size", "source_size", "target"]
+    none = repeated(places, "n", "_i").select(*key, F.lit(0).cast("long").alias("_w"))
+    out = met.select(*key, words.cast("long").alias("_w")).unionByName(none).groupBy(*key).agg(F.sum("_w").alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """The mix itself, with the columns of docs, in the order of the slots: a row for each whole time that a document is taken, and one for a part.
+
+    A document stands in the slot of the block that its first word lies in; each
+    partition holds a stretch of slots, in order. A part is the document's first
+    words with the white space between them; n_chars, if there is such a column,
+    is set anew. Of rows that agree in source, id and text, the least by its
+    columns stands for all. Null and empty texts, and texts without words, are
+    never taken. No rows give no rows.
     """
-    again, rest = _passes(most)
-    size, n = F.col("size"), F.col("n")
-    # of n equal rows, one after the other, so many are within the last pass, and one may be in part
-    inside = F.greatest(F.least(rest - F.col("at"), size * n), F.lit(0))
-    full, part = again * n + F.floor(inside / size), inside % size
-    plan = _places(docs, weights, most, seed, id_col, source_col, text_col).where("size > 0")
-    plan = plan.select(F.struct("source", F.col("doc_id").alias("id"), "hashes").alias("_r"), n.alias("_n"), full.cast("long").alias("_full"), part.cast("long").alias("_part"))
-    plan = materialize(plan.where("_full > 0 or _part > 0"), "mix-plan")
-    total = plan.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    places, targets = _places(docs, weights, most, seed, id_col, source_col, text_col)
+    slots = filled_slots(targets, block)
+    n_slots = slots.agg(F.coalesce(F.max("slot"), F.lit(0))).first()[0] + 1
+    times = _on_slots(_taken(materialize(places, "mix-places"), most), slots, F.floor(F.col("first") / block))
+    times = times.select(F.struct("source", F.col("doc_id").alias("id"), "hashes").alias("_r"), F.col("n").alias("_n"), F.floor(F.col("_i") / AT_ONCE).alias("_c"), F.struct("slot", "first", (F.col("last") - F.col("first")).alias("words"), "size").alias("_t"))
+    # one row a text, and more only where very many equal rows are taken
+    plan = materialize(times.groupBy("_r", "_n", "_c").agg(F.collect_list("_t").alias("_t")), "mix-plan")
+    total = plan.where("_c = 0").agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_d"))
     key = F.struct(F.col("_d")[source_col].alias("source"), F.col("_d")[id_col].alias("id"), text_hashes(F.col("_d")[text_col]).alias("hashes"))
-    hits = heavy_join(rows.withColumn("_r", key), plan, "_r", "_n", total)
-    one = hits.where("_n > 1").groupBy("_r", "_n", "_full", "_part").agg(F.min("_d").alias("_d"))
-    hits = hits.where("_n = 1").unionByName(one)
-    out = repeated(hits.withColumn("_times", F.col("_full") + F.when(F.col("_part") > 0, 1).otherwise(0)), "_times", "_i")
+    hits = heavy_join(rows.withColumn("_r", key), plan.where("_c = 0").select("_r", "_n", "_t"), "_r", "_n", total)
+    again = hits.where("_n > 1").groupBy("_r").agg(F.min("_d").alias("_d"), F.first("_t").alias("_t"))
+    out = hits.where("_n = 1").select("_d", "_t").unionByName(again.select("_d", "_t"))
+    more = plan.where("_c > 0").select("_r", "_t")
+    out = out.unionByName(again.select("_r", "_d").join(more, "_r").select("_d", "_t"))
+    out = out.select("_d", F.explode("_t").alias("_t"))
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    out = out.repartitionById(parts, F.floor(F.col("_t.slot") * parts / n_slots).cast("int")).sortWithinPartitions("_t.slot", "_t.first")
     text = F.col("_d")[text_col]
-    head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0)), 1, F.greatest(F.col("_part"), F.lit(1)).cast("int")), "")
-    out = out.withColumn("_text", F.when(F.col("_i") < F.col("_full"), text).otherwise(head))
+    head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0)), 1, F.col("_t.words").cast("int")), "")
+    out = out.withColumn("_text", F.when(F.col("_t.words") == F.col("_t.size"), text).otherwise(head))
     new = {text_col: F.col("_text"), "n_chars": F.length("_text").cast("long")}
     return out.select(*[new.get(c, F.col("_d")[c]).alias(c) for c in docs.columns])
 

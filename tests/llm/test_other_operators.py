@@ -119,6 +119,44 @@ def test_mix_of_rows_that_repeat(spark):
     assert MX.mixed_documents(df.where("doc_id > 4 and doc_id < 8")).count() == 0
 
 
+def test_every_target_has_its_slots(spark):
+    t = spark.createDataFrame([("a", 10_000, 6000.4, 6000), ("b", 9000, 3000.0, 3000), (None, 40, 3.0, 3), ("none", 10, 0.2, 0), ("c", 400, 1200.0, 1200)], "source string, source_size long, target double, need long")
+    s = MX.filled_slots(t, 8).toPandas()
+    assert s.slot.is_unique and s.slot.min() >= 0
+    for name, need in (("a", 6000), ("b", 3000), (None, 3), ("c", 1200)):
+        own = s[s.source.isna() if name is None else s.source == name].sort_values("slot")
+        assert sorted(own["rank"]) == list(range(-(-need // 8)))
+    assert "none" not in set(s.source)
+
+
+def test_prefixes_of_the_mix(spark):
+    """The mix is in the order of its slots, and each prefix of it is near the targets."""
+    sizes = {"b": 30_000, "a": 60_000, "c": 30_000, None: 20_000}
+    df = mix_frame(spark, sizes, 3).select("doc_id", "text", F.lit("en").alias("lang"), "source", F.length("text").cast("long").alias("n_chars"))
+    plan = MX.mix(df, block=64).toPandas()
+    target = {None if s != s or s is None else s: g.target.iloc[0] for s, g in plan.groupby("source", dropna=False)}
+    total = sum(target.values())
+    out = [(r.source, len(r.text.split())) for r in MX.mixed_documents(df, block=64).collect()]
+    assert sum(n for _, n in out) == int(plan.taken.sum())
+    got, done = Counter(), 0
+    for source, n in out:
+        got[source] += n
+        done += n
+        if done > 2000:
+            assert all(abs(got[s] - done * target[s] / total) < 600 for s in target), (done, got)
+
+
+def test_a_row_taken_very_often(spark, monkeypatch):
+    monkeypatch.setattr(MX, "AT_ONCE", 7)
+    df = spark.createDataFrame([(1, "x y z", "en", "a", 5)] * 60 + [(2, "p q", "en", "b", 3)] * 400, "doc_id long, text string, lang string, source string, n_chars long")
+    plan, out = MX.mix(df, block=4), MX.mixed_documents(df, block=4)
+    want = {r.source: r.w for r in plan.groupBy("source").agg(F.sum("taken").alias("w")).collect()}
+    got = Counter()
+    for r in out.collect():
+        got[r.source] += len(r.text.split())
+    assert dict(got) == want and sum(want.values()) == 980
+
+
 # --- URLs ---
 
 
