@@ -37,6 +37,8 @@ from .common import materialize, read_table
 PAGE_BYTES, PAGE_ROWS, FANOUT, LEAF, PAGE_QUERIES = 4_000_000, 16_384, 16, 256, 1_024
 #: Pivots at most, and bytes of them; they are distinct vectors with the least hashes.
 PIVOTS, PIVOT_BYTES = 4_096, 32_000_000
+#: Queries that share a queue.
+SHARED = 256
 #: Distances closer than this share of the longest lengths aren't told apart by rounding.
 ROUNDING = 1e-6
 
@@ -105,54 +107,68 @@ class Page:
 
     def open(self, exact: Scorer) -> Page:
         """Ready for search(): vectors in the type that the scores are computed in, lengths of the pivots."""
-        self.x, self.scores = exact.rows(self.x), exact.scores
+        self.x, self.kind = self.x.astype(exact.kind), exact.kind
         self.pivot2 = np.einsum("ij,ij->i", self.pivot, self.pivot)
         return self
 
-    def search(self, q: np.ndarray, own: int, top: int, bound: float, longest2: float) -> tuple[np.ndarray, np.ndarray, int]:
-        """(ids, scores, distances computed) of the `top` best rows for q with a distance of at most bound, row `own` left out; best first, ties to the smaller id. The page is open."""
-        z = np.append(q.astype(np.float64), 0.0)
-        q2 = float(z @ z)
-        slack = ROUNDING * (math.sqrt(longest2) + math.sqrt(q2))
-
-        def to_pivots(at) -> np.ndarray:
-            return np.sqrt(np.maximum(q2 + self.pivot2[at] - 2 * (self.pivot[at] @ z), 0))
-
-        ids, scores, computed = np.empty(0, np.int64), np.empty(0, np.int64), 1
-        d = float(to_pivots(slice(0, 1))[0])
-        queue = [(max(0.0, d - float(self.radius[0])), 0, d)]
-        while queue and queue[0][0] <= bound + slack:
-            _, node, d = heapq.heappop(queue)
+    def search(self, q: np.ndarray, own: np.ndarray, top: int, bound: np.ndarray, longest2: float) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """For each row of q: (ids, scores, distances that its bounds didn't rule out) of the `top` best rows within its bound, the row `own` left out; best first, ties to the smaller id. The page is open.
+
+        The queries share a queue. A node is taken once, by the least distance that
+        it allows to any of them, with those that it still may help; their bounds
+        say which children and entries are looked at.
+        """
+        m = len(q)
+        z, bound = np.concatenate([q.astype(np.float64), np.zeros((m, 1))], axis=1), np.array(bound, np.float64)
+        asked, q2 = q.astype(self.kind), np.einsum("ij,ij->i", z, z)
+        slack = ROUNDING * (math.sqrt(longest2) + np.sqrt(q2))
+        ids: list[np.ndarray] = [np.empty(0, np.int64)] * m
+        scores: list[np.ndarray] = [np.empty(0, np.int64)] * m
+        least = np.full(m, np.iinfo(np.int64).min)  # the last of the `top` best
+        computed = np.ones(m, np.int64)
+
+        def to_pivots(some: np.ndarray, at) -> np.ndarray:
+            return np.sqrt(np.maximum(q2[some][:, None] + self.pivot2[at] - 2 * (z[some] @ self.pivot[at].T), 0))
+
+        every = np.arange(m)
+        d = to_pivots(every, slice(0, 1))[:, 0]
+        low = np.maximum(d - self.radius[0], 0)
+        queue = [(float(low.min()), 0, every, d, low)]
+        while queue:
+            _, node, some, d, low = heapq.heappop(queue)
+            reach = bound[some] + slack[some]
+            stay = low <= reach
+            if not stay.any():
+                continue
+            some, d, reach = some[stay], d[stay], reach[stay]
             first, last = int(self.first[node]), int(self.last[node])
             if self.inner[node]:
-                at = first + np.flatnonzero(np.abs(d - self.to_parent[first:last]) - self.radius[first:last] <= bound + slack)
-                near = to_pivots(at)
-                computed += len(at)
-                low = np.maximum(near - self.radius[at], 0)
-                for c in np.flatnonzero(low <= bound + slack).tolist():
-                    heapq.heappush(queue, (float(low[c]), int(at[c]), float(near[c])))
+                may = np.abs(d[:, None] - self.to_parent[first:last]) - self.radius[first:last] <= reach[:, None]
+                children = np.flatnonzero(may.any(axis=0))
+                near = to_pivots(some, first + children)
+                computed[some] += may.sum(axis=1)
+                low = np.maximum(near - self.radius[first + children], 0)
+                for c in range(len(children)):
+                    on = may[:, children[c]] & (low[:, c] <= reach)
+                    if on.any():
+                        heapq.heappush(queue, (float(low[on, c].min()), int(first + children[c]), some[on], near[on, c], low[on, c]))
                 continue
-            within = np.abs(d - self.to_leaf[first:last]) <= bound + slack
-            if within.all():
-                at, x = np.arange(first, last), self.x[first:last]
-            else:
-                at = first + np.flatnonzero(within)
-                x = self.x[at]
-            computed += len(at)
-            s = self.scores(x, q)
-            if len(ids) == top:  # with what ties with the last
-                better = s >= scores[-1]
-                at, s = at[better], s[better]
-            other = self.ids[at] != own
-            at, s = at[other], s[other]
-            if not len(at):
-                continue
-            ids, scores = np.concatenate([ids, self.ids[at]]), np.concatenate([scores, s])
-            best = np.lexsort((ids, -scores))[:top]
-            ids, scores = ids[best], scores[best]
-            if len(ids) == top:
-                bound = min(bound, math.sqrt(max(0.0, q2 + longest2 - 2.0 * float(scores[-1]))))
-        return ids, scores, computed
+            may = np.abs(d[:, None] - self.to_leaf[first:last]) <= reach[:, None]
+            computed[some] += may.sum(axis=1)
+            any_ = may.any(axis=0)
+            rows = slice(first, last) if any_.all() else first + np.flatnonzero(any_)
+            x_ids = self.ids[rows]
+            s = (asked[some] @ self.x[rows].T).astype(np.int64)
+            better = (s >= least[some][:, None]) & (x_ids != own[some][:, None])
+            for k in np.flatnonzero(better.any(axis=1)).tolist():
+                i, new = int(some[k]), np.flatnonzero(better[k])
+                own_ids, own_scores = np.concatenate([ids[i], x_ids[new]]), np.concatenate([scores[i], s[k, new]])
+                best = np.lexsort((own_ids, -own_scores))[:top]
+                ids[i], scores[i] = own_ids[best], own_scores[best]
+                if len(best) == top:
+                    least[i] = scores[i][-1]
+                    bound[i] = min(bound[i], math.sqrt(max(0.0, q2[i] + longest2 - 2.0 * float(least[i]))))
+        return list(zip(ids, scores, computed.tolist()))
 
 
 def _stack(column: pd.Series, kind: str) -> np.ndarray:
@@ -160,19 +176,13 @@ def _stack(column: pd.Series, kind: str) -> np.ndarray:
 
 
 class Scorer:
-    """Inner products as whole numbers, in doubles where these hold all sums of vectors with components of at most `largest`."""
+    """In which kind of number inner products are exact: doubles where these hold all sums of vectors with components of at most `largest`, else longs."""
 
     def __init__(self, largest: int, dim: int):
         if largest * largest * dim >= 2**63:
             raise ValueError("inner products of these vectors don't fit a long")
         self.kind = np.float64 if largest * largest * dim < 2**53 else np.int64
 
-    def rows(self, x: np.ndarray) -> np.ndarray:
-        return x.astype(self.kind)
-
-    def scores(self, x: np.ndarray, q: np.ndarray) -> np.ndarray:
-        return (x @ q.astype(self.kind)).astype(np.int64)
-
 
 def _one_length(x: DataFrame, q: DataFrame, top: int, dim: int, page_rows: int | None) -> DataFrame:
     """query_id, vec_id, score and computed (distances for this query in this page) of the best in each page searched. x, q: id, v (array of long)."""
@@ -251,9 +261,13 @@ def _one_length(x: DataFrame, q: DataFrame, top: int, dim: int, page_rows: int |
             names, out = ["query_id", "vec_id", "score", "computed"], []
             if len(asks) and len(page):
                 tree = Page.unpack(page.iloc[0], dim, kind).open(exact)
-                for i, v, bound in zip(asks["id"], asks["v"], asks["bound"]):
-                    ids, scores, computed = tree.search(np.asarray(v, np.int64), int(i), top, bound, longest2)
-                    out.append(pd.DataFrame({"query_id": int(i), "vec_id": ids, "score": scores, "computed": computed}))
+                for at in range(0, len(asks), SHARED):
+                    some = asks.iloc[at : at + SHARED]
+                    own = some["id"].to_numpy(np.int64)
+                    found = tree.search(_stack(some["v"], "i8"), own, top, some["bound"].to_numpy(np.float64), longest2)
+                    n = [len(f[0]) for f in found]
+                    columns = [np.repeat(own, n), np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), np.repeat([f[2] for f in found], n)]
+                    out.append(pd.DataFrame(dict(zip(names, columns))))
             return pd.concat(out) if out else pd.DataFrame({c: np.empty(0, np.int64) for c in names})
 
         # small rows, long work: not to be put into few tasks by their size

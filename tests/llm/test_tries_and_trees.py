@@ -201,7 +201,7 @@ def test_mtree_leaves_distances_out():
     page = MT.Page.unpack(page.pack(), 8, "i4").open(MT.Scorer(int(abs(x).max()), 8))
     computed = []
     for i in range(0, 8000, 100):
-        ids, scores, n = page.search(x[i], i, 5, float("inf"), longest2)
+        ids, scores, n = page.search(x[i : i + 1], np.array([i]), 5, np.array([np.inf]), longest2)[0]
         s = x @ x[i]
         s[i] = -(2**62)
         assert ids.tolist() == np.lexsort((np.arange(8000), -s))[:5].tolist()
@@ -214,8 +214,11 @@ def test_mtree_numbers(spark):
     assert [r.v for r in df.select(MT.whole_numbers(F.col("e")).alias("v")).collect()] == [[128, -1], None, None, None, None]
     with pytest.raises(ValueError):
         MT.Scorer(2**31, 2)
-    big = MT.Scorer(2**28, 8)
-    assert big.scores(big.rows(np.array([[2**28] * 8], "i4")), np.array([2**28 - 1] * 8, "i8")).tolist() == [8 * 2**28 * (2**28 - 1)]
+    assert MT.Scorer(2**20, 8).kind is np.float64
+    x = np.array([[2**28] * 8, [2**28 - 1] * 8, [0] * 8])
+    page = MT.Page.build(np.arange(3), x, 8.0 * 2**56).open(MT.Scorer(2**28, 8))
+    (ids, scores, _), = page.search(x[1:2], np.array([1]), 2, np.array([np.inf]), 8.0 * 2**56)
+    assert ids.tolist() == [0, 2] and scores.tolist() == [8 * 2**28 * (2**28 - 1), 0]
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
