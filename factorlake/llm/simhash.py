@@ -329,20 +329,22 @@ def near_duplicates(docs: DataFrame, max_bits: int = 4, words: int = 4, seed: in
     (then null). No rows give no rows. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_hashes(F.col(text_col)).alias("text_hashes"), fingerprints(words, seed, text_col, more).alias("fps"))
-    rows = materialize(rows.withColumn("node", F.get("fps", 0) if not more else F.xxhash64("fps")), "simhash-rows")
+    rows = materialize(rows, "simhash-rows")
     place = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hashes")
-    distinct = materialize(rows.groupBy("node").agg(F.first("fps").alias("fps"), F.min(place).alias("first"), F.count("*").alias("n")), "simhash-distinct")
+    # one fingerprint is its node's name; several are told apart as they are, and their node gets a number
+    distinct = rows.groupBy("fps").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id() if more else F.get("fps", 0)), "simhash-distinct")
     n = distinct.count()
     edges = link_edges(distinct, max_bits, n, CHUNK, total_bits)
     for at in range(1, 1 + more):
         edges = materialize(edges, "simhash-edges").unionByName(link_edges(distinct, max_bits, n, CHUNK, total_bits, at))
     links = materialize(components(edges), "simhash-components")
-    owner = distinct.drop("fps").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    owner = distinct.join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
     owner = materialize(owner, "simhash-owner")
     firsts = owner.groupBy("component").agg(F.min("first").alias("first"), F.count("*").alias("fingerprints"))
-    named = heavy_join(owner.select("node", "n", "component"), firsts, "component", "fingerprints", n).select("node", "n", "first")
+    named = heavy_join(owner.select("fps", "n", "component"), firsts, "component", "fingerprints", n).select("fps", "n", "first")
     named = materialize(named, "simhash-named")
-    out = heavy_join(rows, named.withColumnRenamed("n", "n_rows"), "node", "n_rows", rows.count())
+    out = heavy_join(rows, named.withColumnRenamed("n", "n_rows"), "fps", "n_rows", rows.count())
     return out.select("doc_id", F.lpad(F.lower(F.hex(F.get("fps", 0))), 16, "0").alias("fingerprint"), F.col("first.doc_id").alias("component_id"), "text_hashes", place.eqNullSafe(F.col("first")).alias("kept"))
 
 

@@ -420,3 +420,26 @@ def test_line_dedup_of_nothing_and_of_clean_texts(spark):
     mixed = frame(spark, [f"{long}\n{part}", f"{part}\n{long}", f"{long}\n{part}"], [1, 1, 2])
     texts = [r.text for r in LD.dedup_lines(mixed, passage_words=50).orderBy("doc_id").collect()]
     assert sorted(texts, key=len) in ([["", "", f"{long}\n{part}"]] + [["", "", f"{part}\n{long}"]])
+
+
+# --- addresses of any length ---
+
+
+@pytest.mark.parametrize("form", ["{}@example (dot) com", "{} (at) example.com"])
+def test_long_names_are_whole(form):
+    """A name before the at has 1 to 64 characters; what the model adds is all of it."""
+    name, model, missed = "jane.roe_smith-kowalska.of.the.northern.department.and.others12345", pii.trained(), []
+    for n in range(1, 65):
+        local = name[: n - 1].rstrip("._-").ljust(n, "x")
+        address = form.format(local)
+        text = f"Some words stand here before it and then: {address}, and more words follow after that."
+        at = text.index(address)
+        if (at, 0, at + len(address)) not in pii.model_spans([text], model)[0]:
+            missed.append(n)
+    assert len(missed) <= 1, missed
+
+
+def test_plain_speech_is_no_address():
+    texts = ["we look at paris.fr today", "Meet me at noon.com or stay at home.", "It is at www.x.com", "found at example.net yesterday", "they work at big-firm.co.uk now"]
+    assert pii.model_spans(texts, pii.trained()) == [[]] * len(texts)
+    assert pii.model_spans(["write jane.roe at example.com please"], pii.trained()) == [[(6, 0, 29)]]
