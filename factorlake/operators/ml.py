@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
+from ..functions.scratch import stored
+from . import gram as G
 
 
 def row_numbers(df: DataFrame) -> DataFrame:
@@ -29,6 +31,11 @@ def time_folds(df: DataFrame, splits: int = 5) -> DataFrame:
     return df.withColumn("_f", F.explode(folds)).select("*", "_f.fold", "_f.part").where("part is not null").drop("_f")
 
 
+def _ic_by_part(scored: DataFrame) -> DataFrame:
+    ic = S.correlation(scored, "prediction", "_t", ["fold", "part"], "rank", large=True)
+    return ic.groupBy("fold").agg(F.max(F.when(F.col("part") == "train", F.col("corr"))).alias("train_ic"), F.max(F.when(F.col("part") == "val", F.col("corr"))).alias("val_ic"))
+
+
 class BaseModel(ABC):
     """fit on (features, target), predict a score column, tell the features' importance."""
 
@@ -62,22 +69,59 @@ class BaseModel(ABC):
 
     def cross_validate(self, df: DataFrame, features: list[str], target: str) -> DataFrame:
         """fold, train_ic, val_ic: Spearman correlation of prediction and target on growing stretches of time."""
-        folds = time_folds(df.dropna(subset=[*features, target]), self.cv_splits).persist()
+        folds = stored(time_folds(df.dropna(subset=[*features, target]), self.cv_splits), "cv-rows")
         scored = None
         for k in range(1, self.cv_splits + 1):
             own = folds.where(F.col("fold") == k)
             one = type(self)(**self._settings()).fit(own.where("part = 'train'"), features, target).predict(own).select("fold", "part", F.col("prediction"), F.col(target).alias("_t"))
             scored = one if scored is None else scored.unionByName(one)
-        ic = S.correlation(scored, "prediction", "_t", ["fold", "part"], "rank", large=True)
-        return ic.groupBy("fold").agg(F.max(F.when(F.col("part") == "train", F.col("corr"))).alias("train_ic"), F.max(F.when(F.col("part") == "val", F.col("corr"))).alias("val_ic"))
+        return _ic_by_part(scored)
 
     def _settings(self) -> dict:
         return {"params": self.params, "cv_splits": self.cv_splits, "seed": self.seed}
 
 
-class Ridge(BaseModel):
+class LinearModel(BaseModel):
+    """Least squares with a penalty. Cross-validation fits all folds from one pass over the rows (gram.py)."""
+
+    @abstractmethod
+    def solve(self, gram: G.Gram) -> tuple: ...
+
+    def _in_stretches(self, df: DataFrame, features: list[str], target: str) -> DataFrame:
+        df = row_numbers(df.dropna(subset=[*features, target]))
+        n = df.count()
+        return df.withColumn("stretch", G.stretch_of(F.col("_i"), n, self.cv_splits))
+
+    def _folds(self, rows: DataFrame, features: list[str], target: str) -> list[tuple]:
+        """(coefficients, intercept) of each fold."""
+        return [self.solve(g) for g in G.fold_grams(G.grams(G.gram_sums(rows, features, target), features, target, self.cv_splits))]
+
+    def fold_coefficients(self, df: DataFrame, features: list[str], target: str) -> DataFrame:
+        """fold, feature, coefficient of each fold's fit; the intercept's feature is empty."""
+        folds = self._folds(self._in_stretches(df, features, target), features, target)
+        rows = [(k, f, float(c)) for k, (w, b) in enumerate(folds, 1) for f, c in [*zip(features, w), ("", b)]]
+        return df.sparkSession.createDataFrame(rows, "fold int, feature string, coefficient double")
+
+    def cross_validate(self, df: DataFrame, features: list[str], target: str) -> DataFrame:
+        rows = stored(self._in_stretches(df, features, target).select(*features, target, "stretch"), "cv-rows")
+        folds = self._folds(rows, features, target)
+        numbers = lambda x: F.array(*[F.lit(float(c)) for c in x])
+        weights = F.array(*[numbers([b, *w]) for w, b in folds])
+        rows = rows.withColumn("fold", F.explode(F.sequence(F.greatest("stretch", F.lit(1)), F.lit(self.cv_splits))))
+        own = F.element_at(weights, F.col("fold"))
+        prediction = own[0]
+        for j, c in enumerate(features, 1):
+            prediction = prediction + own[j] * F.col(c)
+        scored = rows.select("fold", F.when(F.col("stretch") == F.col("fold"), "val").otherwise("train").alias("part"), prediction.alias("prediction"), F.col(target).alias("_t"))
+        return _ic_by_part(scored)
+
+
+class Ridge(LinearModel):
     """Least squares with a squared penalty alpha on the summed squares."""
 
+    def solve(self, gram: G.Gram) -> tuple:
+        return gram.ridge(self.params.get("alpha", 1.0))
+
     def estimator(self, df: DataFrame, target: str):
         n, sd = df.agg(F.count(F.lit(1)), F.stddev_pop(target)).first()
         # MLlib scales targets by their deviation and losses by the row count
@@ -85,9 +129,12 @@ class Ridge(BaseModel):
         return LinearRegression(featuresCol="_x", labelCol=target, predictionCol="_y", solver="normal", elasticNetParam=0.0, regParam=reg, standardization=False)
 
 
-class Lasso(BaseModel):
+class Lasso(LinearModel):
     """Least squares with an absolute penalty alpha on the mean squares."""
 
+    def solve(self, gram: G.Gram) -> tuple:
+        return gram.lasso(self.params.get("alpha", 1.0))
+
     def estimator(self, df: DataFrame, target: str):
         return LinearRegression(featuresCol="_x", labelCol=target, predictionCol="_y", elasticNetParam=1.0, regParam=self.params.get("alpha", 1.0), standardization=False, maxIter=1000, tol=1e-10)
 

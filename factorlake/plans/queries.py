@@ -18,6 +18,7 @@ from ..functions import stats as S
 from ..functions.scratch import scratch_dir, stored
 from ..operators import analyze as A
 from ..operators import factors as FA
+from ..operators import gram as G
 from ..operators import portfolio as PF
 from ..operators import selection as SE
 from ..operators import timing as T
@@ -318,9 +319,9 @@ def drawdown_duration(spark, sf_dir):
 
 #: Rows of a segment here, so that small tables go over several too.
 SEGMENT = 10_000
-TRADES = "trades AS (SELECT l_returnflag, l_orderkey, l_linenumber, l_quantity, 1 + l_discount / 10000 AS growth, floor(l_extendedprice / l_quantity * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS u FROM lineitem WHERE l_quantity <> 0)"
-WT = "OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING)"
-TRADE = ["l_orderkey", "l_linenumber"]
+TRADES = "trades AS (SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity, 1 + l_discount / 10000 AS growth, floor(l_extendedprice / l_quantity * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS u FROM lineitem WHERE l_quantity <> 0)"
+WT = "OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice ROWS UNBOUNDED PRECEDING)"
+TRADE = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
 
 
 def _trades(spark, sf_dir):
@@ -328,13 +329,13 @@ def _trades(spark, sf_dir):
     return li.select("l_returnflag", *TRADE, "l_quantity", (1 + F.col("l_discount") / 10000).alias("growth"), X.half_up(F.col("l_extendedprice") / F.col("l_quantity"), 4).alias("u"))
 
 
-@query(f"WITH {TRADES} SELECT l_orderkey, l_linenumber, rank() OVER (PARTITION BY l_returnflag ORDER BY u) + (count(*) OVER (PARTITION BY l_returnflag, u) - 1) / 2.0 AS r FROM trades")
+@query(f"WITH {TRADES} SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, rank() OVER (PARTITION BY l_returnflag ORDER BY u) + (count(*) OVER (PARTITION BY l_returnflag, u) - 1) / 2.0 AS r FROM trades")
 def rank_trades(spark, sf_dir):
     """Average rank of each trade's price among all trades of its return flag."""
     return scan.average_rank(_trades(spark, sf_dir).select("l_returnflag", *TRADE, "u"), "u", ["l_returnflag"], "r", SEGMENT).select(*TRADE, "r")
 
 
-@query(f"WITH {TRADES} SELECT l_orderkey, l_linenumber, sum(l_quantity) {WT} AS volume, max(u) {WT} AS peak, {r(f'product(growth) {WT}', 4)} AS nav, {r(f'u / max(u) {WT} - 1', 4)} AS dd FROM trades")
+@query(f"WITH {TRADES} SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, sum(l_quantity) {WT} AS volume, max(u) {WT} AS peak, {r(f'product(growth) {WT}', 4)} AS nav, {r(f'u / max(u) {WT} - 1', 4)} AS dd FROM trades")
 def running_trades(spark, sf_dir):
     """Running volume, peak price and product of growth over all trades of a return flag, and the fall from the peak."""
     values = {"volume": scan.Running("sum", "l_quantity"), "peak": scan.Running("max", "u"), "nav": scan.Running("product", "growth")}
@@ -342,8 +343,8 @@ def running_trades(spark, sf_dir):
     return rounded(df, "nav", "dd", digits=4).select(*TRADE, "volume", "peak", "nav", "dd")
 
 
-@query(f"""WITH {TRADES} SELECT l_orderkey, l_linenumber, CASE WHEN k >= 4 THEN {r(f'sum(u * w) {WT} / sum(w) {WT}', 2)} END AS x
-FROM (SELECT *, pow(0.999, -CAST(k AS DOUBLE)) AS w FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber) - 1 AS k FROM trades))""")
+@query(f"""WITH {TRADES} SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, CASE WHEN k >= 4 THEN {r(f'sum(u * w) {WT} / sum(w) {WT}', 2)} END AS x
+FROM (SELECT *, pow(0.999, -CAST(k AS DOUBLE)) AS w FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS k FROM trades))""")
 def ewm_trades(spark, sf_dir):
     """Exponential mean of price over all trades of a return flag."""
     df = scan.ewm_mean(_trades(spark, sf_dir).select("l_returnflag", *TRADE, "u"), ["l_returnflag"], TRADE, "u", "x", 0.001, 5, SEGMENT)
@@ -353,12 +354,13 @@ def ewm_trades(spark, sf_dir):
 # --- long windows -------------------------------------------------------------------------
 
 
-@query(w_(select=f"SELECT symbol, date, {r(full('avg(close)', 'close', 150))} AS m, {r(full('stddev_samp(close)', 'close', 150))} AS sd FROM (SELECT symbol, date, date_idx, pc AS close FROM grid)"))
+@query(w_(select=f"SELECT symbol, date, {r(full('avg(close)', 'close', 150), 8)} AS m, {r(full('stddev_samp(close)', 'close', 150))} AS sd FROM (SELECT symbol, date, date_idx, pc AS close FROM grid)"))
 def rolling_long_150(spark, sf_dir):
     """Mean and deviation over 150 days from merged moments of blocks."""
     df = _grid(spark, sf_dir).withColumn("close", P.ffill(F.col("close")))
     df = M.with_rolling_moments(df, "close", 150)
-    return rounded(df.withColumns({"m": M.mean_of("_m", 150), "sd": M.std_of("_m", 150)}), "m", "sd").select("symbol", "date", "m", "sd")
+    df = rounded(df.withColumns({"m": M.mean_of("_m", 150), "sd": M.std_of("_m", 150)}), "m", digits=8)
+    return rounded(df, "sd").select("symbol", "date", "m", "sd")
 
 
 # --- factors ----------------------------------------------------------------------------
@@ -969,6 +971,34 @@ def time_row_numbers(spark, sf_dir):
     return row_numbers(_calm(spark, sf_dir).select("date", "symbol")).withColumnRenamed("_i", "i")
 
 
+def _model_sql(target: str = "close") -> str:
+    parts = " JOIN ".join(f"(SELECT date, symbol, value AS {f.name} FROM ({q}) WHERE value IS NOT NULL){'' if i == 0 else ' USING (date, symbol)'}".replace(" USING (date, symbol)", f" f{i} USING (date, symbol)" if i else "") for i, (f, q) in enumerate(zip(FACTORS, (MOM(5), MOM(20), VOL(20), HLS(20)))))
+    return f"""model AS (SELECT *, row_number() OVER (ORDER BY date, symbol) - 1 AS i, count(*) OVER () AS n FROM {parts} JOIN (SELECT date, symbol, ret AS target FROM fwd) t USING (date, symbol)),
+cut AS (SELECT *, CASE WHEN i < n - 5 * (n // 6) THEN 0 ELSE 1 + (i - (n - 5 * (n // 6))) // (n // 6) END AS stretch FROM model)"""
+
+
+_NAMES = ["1", *[f.name for f in FACTORS], "target"]
+_PAIRS = [(a, b) for i, a in enumerate(_NAMES) for b in _NAMES[i:]]
+
+
+@query(w_(fwd_sql("close", [5]), _model_sql(), select=" UNION ALL ".join(f"SELECT CAST(stretch AS INTEGER) AS stretch, '{a}' AS a, '{b}' AS b, {r(f'sum(CAST({a} AS DOUBLE) * {b})', 6)} AS total FROM cut GROUP BY stretch" for a, b in _PAIRS)))
+def gram_by_stretch(spark, sf_dir):
+    """Sums of products of features and target over the stretches of time that folds are made of."""
+    rows = Ridge(cv_splits=5)._in_stretches(_model_data(spark, sf_dir), [f.name for f in FACTORS], "target")
+    return rounded(G.gram_sums(rows, [f.name for f in FACTORS], "target"), "total")
+
+
+@query(w_(fwd_sql("close", [5]), _model_sql(), """f AS (SELECT stretch + 1 AS fold, sum(n) OVER w AS n, sum(x) OVER w AS x, sum(z) OVER w AS z, sum(y) OVER w AS y, sum(xx) OVER w AS xx, sum(xz) OVER w AS xz, sum(zz) OVER w AS zz, sum(xy) OVER w AS xy, sum(zy) OVER w AS zy
+  FROM (SELECT stretch, count(*) AS n, sum(momentum_20) AS x, sum(volatility_20) AS z, sum(target) AS y, sum(momentum_20 * momentum_20) AS xx, sum(momentum_20 * volatility_20) AS xz, sum(volatility_20 * volatility_20) AS zz, sum(momentum_20 * target) AS xy, sum(volatility_20 * target) AS zy FROM cut GROUP BY stretch)
+  WINDOW w AS (ORDER BY stretch ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT fold, n, x / n AS mx, z / n AS mz, y / n AS my, xx - x * x / n + 1 AS a, xz - x * z / n AS b, zz - z * z / n + 1 AS d, xy - x * y / n AS p, zy - z * y / n AS q FROM f WHERE fold <= 5),
+s AS (SELECT *, (p * d - b * q) / (a * d - b * b) AS w1, (a * q - b * p) / (a * d - b * b) AS w2 FROM c)""",
+    select=f"SELECT CAST(fold AS INTEGER) AS fold, feature, {r('coefficient')} AS coefficient FROM (SELECT fold, 'momentum_20' AS feature, w1 AS coefficient FROM s UNION ALL SELECT fold, 'volatility_20', w2 FROM s UNION ALL SELECT fold, '', my - w1 * mx - w2 * mz FROM s)"))
+def ridge_folds(spark, sf_dir):
+    """Coefficients of each fold's ridge regression on two of the factors, from one pass over the rows."""
+    return rounded(Ridge({"alpha": 1.0}, cv_splits=5).fold_coefficients(_model_data(spark, sf_dir), ["momentum_20", "volatility_20"], "target"), "coefficient")
+
+
 @query()
 def ridge_cv_ic(spark, sf_dir):
     return rounded(Ridge(cv_splits=5).cross_validate(_model_data(spark, sf_dir), [f.name for f in FACTORS], "target"), "train_ic", "val_ic", digits=4)

@@ -20,13 +20,8 @@ def supplier_bars(spark: SparkSession, sf_dir: str, bucket: str = "week") -> Dat
     """date, symbol, OHLCV and amount of each supplier's unit prices per week, month or day."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     price = half_up(F.col("l_extendedprice") / F.col("l_quantity"), 4)
-    # the order of trades (day, order, line) as one decimal number: a hash aggregate can hold it, but no struct.
-    # An order has 19 digits at most and a line 10, so that each keeps its own; order and line tell trades apart
-    day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("decimal(7,0)")
-    whole = lambda c, digits: F.col(c).cast(f"decimal({digits},0)")
-    unit = lambda zeros: F.lit("1" + "0" * zeros).cast(f"decimal({zeros + 1},0)")
-    key = (day * unit(29)).cast("decimal(38,0)") + (whole("l_orderkey", 19) * unit(10)).cast("decimal(38,0)") + whole("l_linenumber", 10)
-    key = key.cast("decimal(38,0)")
+    # trades in time; a struct, as no number holds keys of any size side by side
+    key = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     rows = li.where("l_quantity != 0").select(F.date_trunc(bucket, "l_shipdate").cast("date").alias("date"), F.col("l_suppkey").cast("string").alias("symbol"), price.alias("u"), key.alias("k"), "l_quantity", "l_extendedprice")
     return rows.groupBy("date", "symbol").agg(
         F.min_by("u", "k").alias("open"),

@@ -60,3 +60,25 @@ def test_cross_validation(data):
     assert len(cv) == 3 and (cv.val_ic > 0.8).all()
     with pytest.raises(RuntimeError):
         ml.Ridge().predict(data)
+
+
+def test_folds_from_sums(spark, data):
+    """Coefficients of every fold, ridge and lasso, are those of a fit on the fold's rows; one row a stretch and pair comes to the driver."""
+    from factorlake.operators import gram as G
+
+    p = data.toPandas().sort_values(["date", "symbol"])
+    x, y, n = p[["a", "b", "c"]].to_numpy(), p["y"].to_numpy(), len(p)
+    size = n // 6
+    for model in (ml.Ridge({"alpha": 2.0}), ml.Lasso({"alpha": 0.1})):
+        got = {(r.fold, r.feature): r.coefficient for r in model.fold_coefficients(data, ["a", "b", "c"], "y").collect()}
+        assert len(got) == 5 * 4
+        for k in range(1, 6):
+            own = slice(0, n - 5 * size + (k - 1) * size)
+            whole = np.column_stack([np.ones(own.stop), x[own], y[own]])
+            w, b = model.solve(G.Gram(["a", "b", "c"], "y", whole.T @ whole))
+            np.testing.assert_allclose([got[k, f] for f in "abc"] + [got[k, ""]], [*w, b], rtol=1e-8, atol=1e-10)
+    ridge = np.linalg.solve((x - x.mean(0)).T @ (x - x.mean(0)) + 2.0 * np.eye(3), (x - x.mean(0)).T @ (y - y.mean()))
+    whole = np.column_stack([np.ones(n), x, y])
+    np.testing.assert_allclose(G.Gram(["a", "b", "c"], "y", whole.T @ whole).ridge(2.0)[0], ridge, rtol=1e-9)
+    cv = ml.Ridge({"alpha": 1.0}).cross_validate(data, ["a", "b", "c"], "y").toPandas().sort_values("fold")
+    assert cv.fold.tolist() == [1, 2, 3, 4, 5] and (cv[["train_ic", "val_ic"]] > 0.95).all().all()
