@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as S
 from ..functions.scratch import stored
+from . import boost as B
 from . import gram as G
 
 
@@ -139,6 +140,30 @@ class Lasso(LinearModel):
         return LinearRegression(featuresCol="_x", labelCol=target, predictionCol="_y", elasticNetParam=1.0, regParam=self.params.get("alpha", 1.0), standardization=False, maxIter=1000, tol=1e-10)
 
 
+class LeafwiseTrees(BaseModel):
+    """Boosted trees of second order (boost.py): num_rounds, learning_rate, num_leaves, max_bin, reg_lambda, min_child_samples, min_split_gain and subsample as parameters."""
+
+    def estimator(self, df: DataFrame, target: str):
+        raise NotImplementedError("fit() grows the trees itself")
+
+    def fit(self, df: DataFrame, features: list[str], target: str) -> LeafwiseTrees:
+        p, self.features = self.params, list(features)
+        self.model = B.fit(
+            df, self.features, target, p.get("num_rounds", 500), p.get("learning_rate", 0.05), p.get("num_leaves", 31), p.get("max_bin", 255), p.get("reg_lambda", 1.0), p.get("min_child_samples", 20.0),
+            p.get("min_split_gain", 0.0), p.get("subsample", 1.0), self.seed,
+        )
+        return self
+
+    def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
+        if self.model is None:
+            raise RuntimeError("fit the model first")
+        return self.model.transform(df.dropna(subset=self.features), out)
+
+    def _weights(self) -> list[float]:
+        total = self.model.gains.sum()
+        return [float(g / total) if total else 0.0 for g in self.model.gains]
+
+
 class BoostedTrees(BaseModel):
     """Gradient boosted trees; num_rounds, learning_rate, max_depth and subsample as parameters."""
 
@@ -233,9 +258,9 @@ class _NetworkFit:
 
         from pyspark.ml.functions import vector_to_array
 
-        members, most = p.get("members", 4), p.get("rows", 200_000)
-        parts = members * max(1, -(-df.count() // (members * most)))
-        rows = df.select(vector_to_array("_x").alias("_v"), F.col(target).cast("double").alias(target), F.pmod(F.xxhash64("date", "symbol"), F.lit(parts)).alias("_m"), "date", "symbol").where(F.col("_m") < members)
+        # as many members as it takes for all rows, each of which trains one
+        parts = max(p.get("members", 4), -(-df.count() // p.get("rows", 200_000)))
+        rows = df.select(vector_to_array("_x").alias("_v"), F.col(target).cast("double").alias(target), F.pmod(F.xxhash64("date", "symbol"), F.lit(parts)).alias("_m"), "date", "symbol")
         fitted = rows.groupBy("_m").applyInPandas(lambda pdf: train(pdf.sort_values(["date", "symbol"])), "m binary").collect()  # a few kilobytes a member
         return _NetworkModel([pickle.loads(r.m) for r in fitted])
 
@@ -260,4 +285,4 @@ class _NetworkModel:
         return df.withColumn("_y", run(vector_to_array("_x")))
 
 
-MODELS = {"ridge": Ridge, "lasso": Lasso, "lightgbm": BoostedTrees, "xgboost": BoostedTrees, "gbt": BoostedTrees, "nn": Network}
+MODELS = {"ridge": Ridge, "lasso": Lasso, "lightgbm": LeafwiseTrees, "xgboost": LeafwiseTrees, "gbt": BoostedTrees, "nn": Network}

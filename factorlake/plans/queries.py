@@ -17,6 +17,7 @@ from ..functions import scan
 from ..functions import stats as S
 from ..functions.scratch import scratch_dir, stored
 from ..operators import analyze as A
+from ..operators import boost as B
 from ..operators import factors as FA
 from ..operators import gram as G
 from ..operators import portfolio as PF
@@ -999,6 +1000,17 @@ def ridge_folds(spark, sf_dir):
     return rounded(Ridge({"alpha": 1.0}, cv_splits=5).fold_coefficients(_model_data(spark, sf_dir), ["momentum_20", "volatility_20"], "target"), "coefficient")
 
 
+@query(w_(fwd_sql("close", [5]), _model_sql(), "ends AS (SELECT " + ", ".join(f"min({f.name}) AS lo_{i}, max({f.name}) AS hi_{i}" for i, f in enumerate(FACTORS)) + ", avg(target) AS base FROM cut)",
+    select=" UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS feature, CAST(len(list_filter(list_transform(range(1, 16), lambda k: lo_{i} + (hi_{i} - lo_{i}) * k / 16), lambda e: e < {f.name})) AS INTEGER) AS bin, CAST(count(*) AS DOUBLE) AS n, {r('sum(base - target)')} AS g FROM cut CROSS JOIN ends GROUP BY ALL" for i, f in enumerate(FACTORS))))
+def boost_histogram(spark, sf_dir):
+    """Rows and gradients by feature and bin, from which the first split of boosted trees is picked."""
+    names = [f.name for f in FACTORS]
+    data = stored(_model_data(spark, sf_dir).select(*names, "target"), "boost-data")
+    base = data.agg(F.avg("target")).first()[0]
+    rows = B.binned(data, names, B.bin_edges(data, names, 16, "width")).withColumn("_score", F.lit(base))
+    return rounded(B.histograms(rows, "target", [], B.Tree(), {}, len(names), 16), "g").select("feature", "bin", "n", "g")
+
+
 @query()
 def ridge_cv_ic(spark, sf_dir):
     return rounded(Ridge(cv_splits=5).cross_validate(_model_data(spark, sf_dir), [f.name for f in FACTORS], "target"), "train_ic", "val_ic", digits=4)

@@ -82,3 +82,62 @@ def test_folds_from_sums(spark, data):
     np.testing.assert_allclose(G.Gram(["a", "b", "c"], "y", whole.T @ whole).ridge(2.0)[0], ridge, rtol=1e-9)
     cv = ml.Ridge({"alpha": 1.0}).cross_validate(data, ["a", "b", "c"], "y").toPandas().sort_values("fold")
     assert cv.fold.tolist() == [1, 2, 3, 4, 5] and (cv[["train_ic", "val_ic"]] > 0.95).all().all()
+
+
+def test_best_split_is_the_best_of_all():
+    from factorlake.operators import boost as B
+
+    r = np.random.default_rng(3)
+    bins, g = r.integers(0, 6, (200, 3)), r.normal(size=200)
+    n, s = np.zeros((3, 6)), np.zeros((3, 6))
+    for f in range(3):
+        n[f], s[f] = np.bincount(bins[:, f], minlength=6), np.bincount(bins[:, f], g, minlength=6)
+    plain = {}
+    for f in range(3):
+        for b in range(5):
+            on = bins[:, f] <= b
+            if min(on.sum(), (~on).sum()) >= 20:
+                plain[f, b] = (g[on].sum() ** 2 / (on.sum() + 1) + g[~on].sum() ** 2 / ((~on).sum() + 1) - g.sum() ** 2 / 201) / 2 - 0.1
+    gain, f, b = B.best_split(n, s, 1.0, 20, 0.1)
+    assert (f, b) == max(plain, key=plain.get) and gain == pytest.approx(plain[f, b])
+
+
+def test_leafwise_trees(spark):
+    """Better than a constant and than stumps on a target with an interaction; the same tree as plain numpy grows."""
+    from factorlake.operators import boost as B
+
+    r = np.random.default_rng(0)
+    x = r.normal(size=(1500, 3))
+    y = np.where(x[:, 0] > 0, x[:, 1], -x[:, 1]) + 0.05 * r.normal(size=1500)
+    df = spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, y)], "a double, b double, c double, y double").repartition(3)
+    error = lambda m: m.predict(df).selectExpr("avg(pow(prediction - y, 2))").first()[0]
+    trees = ml.LeafwiseTrees({"num_rounds": 12, "learning_rate": 0.4, "num_leaves": 8, "max_bin": 32}).fit(df, ["a", "b", "c"], "y")
+    stumps = ml.LeafwiseTrees({"num_rounds": 12, "learning_rate": 0.4, "num_leaves": 2, "max_bin": 32}).fit(df, ["a", "b", "c"], "y")
+    assert error(trees) < 0.35 * y.var() and error(trees) < 0.6 * error(stumps) <= 0.6 * y.var() * 1.01
+    top = [r_.feature for r_ in trees.get_feature_importance(spark).collect()]
+    assert set(top[:2]) == {"a", "b"} and len(trees.model.trees) == 12 and max(len(t.feature) for t in trees.model.trees) <= 15
+
+    # one tree, grown here from the same bins
+    model = B.fit(df, ["a", "b", "c"], "y", 1, 1.0, 6, 16)
+    bins = np.stack([np.searchsorted(e, x[:, i], side="left") for i, e in enumerate(model.edges)], axis=1)
+    g, tree, nodes = y.mean() - y, B.Tree(), {0: np.arange(len(x))}
+
+    def split_of(rows):
+        n, s = (np.stack([np.bincount(bins[rows, f], w, minlength=16) for f in range(3)]) for w in (None, g[rows]))
+        return B.best_split(n.astype(float), s, 1.0, 20, 0.0)
+
+    while len(nodes) < 6:
+        node = max(nodes, key=lambda k: split_of(nodes[k])[0])
+        _, f, b = split_of(nodes[node])
+        rows = nodes.pop(node)
+        left, right = tree.split(node, f, b)
+        nodes |= {left: rows[bins[rows, f] <= b], right: rows[bins[rows, f] > b]}
+    for node, rows in nodes.items():
+        tree.value[node] = -g[rows].sum() / (len(rows) + 1)
+    np.testing.assert_allclose(model.trees[0].predict(bins), tree.predict(bins), rtol=1e-9)
+
+
+def test_leafwise_trees_on_odd_rows(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 1.0)] * 30 + [(None, 1.0, 1.0), (1.0, 2.0, None)], "a double, b double, y double")
+    m = ml.LeafwiseTrees({"num_rounds": 3}).fit(df, ["a", "b"], "y")
+    assert m.predict(df).where("abs(prediction - 1) < 1e-9").count() == 31
