@@ -28,6 +28,7 @@ from ..operators.simulate import CashAccountEngine
 from ..schema import RAW_BARS, TABLES
 from ..sources import etl, loaders
 from ..sources import fixtures as X
+from ..sources.barstore import BarStore
 from ..sources.tablelog import TableLog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -387,6 +388,16 @@ _factor(FA.MACross(), MA)
 _factor(FA.RSI(), RSI)
 
 
+@query(w_(select=f"SELECT date, symbol, {r('value')} AS value FROM ({MOM(20)})"))
+def momentum_20_bucketed(spark, sf_dir):
+    """momentum_20 over bars that are stored by symbol: no shuffle by symbol after the write."""
+    import uuid
+
+    key = uuid.uuid4().hex
+    store = BarStore(spark, f"bars_{key}", f"{scratch_dir(spark)}/bars-by-symbol-{key}").write(X.calm_bars(spark, sf_dir))
+    return rounded(FA.Momentum(20).generate_signals(store.read()), "value")
+
+
 def _panel(spark, sf_dir):
     return FA.factor_panel(_calm(spark, sf_dir), FACTORS)
 
