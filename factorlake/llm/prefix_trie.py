@@ -29,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import scan
 from .common import heavy_join, materialize, read_table
 
-#: Turns of a path that one task runs through.
-STRETCH = 4_096
+#: Turns of a path that one task runs through; turns of a conversation beyond which they are numbered by many tasks.
+STRETCH, LONG = 4_096, 250_000
 #: Ids below 2 ^ ID_BITS apart that may be put together before they are hashed.
 ID_BITS = 8
 
@@ -164,8 +165,16 @@ def ordered_turns(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
     t1, t2 = turn_hashes(F.col(role_col), F.col(text_col))
     size = F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")
     rows = conversations.select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), t1.alias("t1"), t2.alias("t2"), size.alias("size"))
-    pos = F.row_number().over(Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), "role", "t1", "t2"))
-    return rows.where("conv is not null").select("conv", pos.cast("long").alias("pos"), "t1", "t2", "size")
+    rows, order = rows.where("conv is not null"), ["turn", "role", "t1", "t2"]  # nulls come first
+    pos = F.row_number().over(Window.partitionBy("conv").orderBy(*order)).cast("long")
+    names = ["conv", "pos", "t1", "t2", "size"]
+    long = rows.groupBy("conv").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LONG).select("conv")
+    if long.isEmpty():
+        return rows.withColumn("pos", pos).select(*names)
+    # what one task shouldn't sort is numbered by ranges
+    long = materialize(long, "trie-long")
+    ranged = scan.with_index(rows.join(long, "conv", "left_semi"), ["conv"], order, "_k").withColumn("pos", F.col("_k") + 1)
+    return rows.join(long, "conv", "left_anti").withColumn("pos", pos).select(*names).unionByName(ranged.select(*names))
 
 
 def with_shared_heads(turns: DataFrame, every: int = 100, most: int = 5) -> tuple[DataFrame, DataFrame]:

@@ -62,9 +62,10 @@ def trie_of(spark, rows, tmp_path):
     return df, PT.op11_prefix_trie(spark, str(tmp_path))
 
 
-@pytest.mark.parametrize("stretch", [4096, 3])
-def test_trie(spark, tmp_path, monkeypatch, stretch):
+@pytest.mark.parametrize("stretch,long", [(4096, 250_000), (3, 20)])
+def test_trie(spark, tmp_path, monkeypatch, stretch, long):
     monkeypatch.setattr(PT, "STRETCH", stretch)
+    monkeypatch.setattr(PT, "LONG", long)
     r = np.random.default_rng(stretch)
     rows = []
     for c in [*range(0, 260), 1000, 1001, 999_999, 123_456_789]:
