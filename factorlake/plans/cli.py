@@ -1,4 +1,4 @@
-"""Command lines: python -m factorlake.plans.cli strategy|selection|timing --data PATH ..."""
+"""Command lines: python -m factorlake.plans.cli strategy|selection|timing|universe --data PATH ..."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from ..operators.analyze import benchmark_returns
 from ..operators.factors import Momentum
 from ..operators.portfolio import TopKPortfolio
 from ..operators.simulate import CashAccountEngine
-from ..sources.loaders import PanelLoader, SqliteLoader, universe_by_history
+from ..sources.loaders import LakeLoader, PanelLoader, SqliteLoader, universe, universe_by_history
 from .pipelines import SelectionPipeline, StrategyPipeline, TimingPipeline
 from .report import export_report, write_csv
 
@@ -38,12 +38,37 @@ def parser() -> argparse.ArgumentParser:
         else:
             s.add_argument("--factors", nargs="*")
             s.add_argument("--benchmark")
+    s = sub.add_parser("universe", help="active securities of a lake, by symbol, and their factors' report with --factors")
+    s.add_argument("--data", required=True, help="folder of the stored tables")
+    s.add_argument("--market", default="A_stock")
+    s.add_argument("--start")
+    s.add_argument("--end")
+    s.add_argument("--max-stocks", type=int, default=300)
+    s.add_argument("--factors", nargs="*", default=[])
+    s.add_argument("--output", default="output/universe")
     return p
 
 
+def _universe(a: argparse.Namespace, spark: SparkSession) -> None:
+    """The first active securities of a market by symbol, and the report of some factors on them."""
+    loader = LakeLoader(spark, a.data, a.market)
+    securities = loader.securities()
+    if securities is None:
+        raise FileNotFoundError(f"no securities under {a.data}")
+    own = universe(securities, a.start, a.end, a.max_stocks, market=a.market)
+    write_csv(own, f"{a.output}/universe")
+    if a.factors:
+        pipe = SelectionPipeline().add_factors(*a.factors)
+        pipe.market = loader.load_market_data(own, a.start, a.end)
+        write_csv(pipe.run()["report"].summary(), f"{a.output}/summary")
+    write_csv(loader.skipped, f"{a.output}/skipped")
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("factorlake").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if a.command == "universe":
+        return _universe(a, spark)
     loader = SqliteLoader(spark, a.data) if a.data.endswith((".db", ".sqlite", ".sqlite3")) else PanelLoader(spark, a.data)
     if a.command == "strategy":
         wanted = None if a.symbols is None else [*a.symbols, *a.benchmarks]

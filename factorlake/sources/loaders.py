@@ -195,6 +195,9 @@ class LakeLoader(Loader):
         validate_schema(df)
         return df
 
+    def securities(self) -> DataFrame | None:
+        return self._table("securities")
+
     def load_fundamental_data(self, symbols=None, start=None, end=None) -> DataFrame:
         df = self._table("daily_valuation")
         if df is None:

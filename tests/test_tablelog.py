@@ -177,3 +177,15 @@ def test_scratch(spark, tmp_path):
         folder = scratch_dir(spark).removeprefix("file://")
         inside = len(os.listdir(folder))
     assert len(written(spark)) == n and len(os.listdir(folder)) == inside - 2
+
+
+def test_universe_command(spark, raw, tmp_path):
+    from factorlake.plans.cli import main
+
+    root, out = str(tmp_path / "lake"), str(tmp_path / "out")
+    etl.upsert_bars(spark, raw, root)
+    sec = [(f"S000{i}", "A_stock", "stock" if i < 4 else "index", "n", None, None, "SSE") for i in (1, 2, 3, 4)]
+    etl.upsert_table(spark, spark.createDataFrame(sec, "symbol string, market string, asset_type string, name string, list_date date, delist_date date, exchange string"), root, "securities")
+    main(["universe", "--data", root, "--max-stocks", "2", "--start", "2023-01-01", "--factors", "momentum_5", "--output", out], spark)
+    assert [r.symbol for r in spark.read.csv(f"{out}/universe", header=True).orderBy("symbol").collect()] == ["S0001", "S0002"]
+    assert spark.read.csv(f"{out}/summary", header=True).count() == 4
