@@ -13,6 +13,7 @@ from ..functions import stats as S
 from ..functions.scratch import stored
 from . import boost as B
 from . import gram as G
+from . import network as N
 
 
 def row_numbers(df: DataFrame) -> DataFrame:
@@ -176,113 +177,26 @@ class BoostedTrees(BaseModel):
 
 
 class Network(BaseModel):
-    """A small multilayer perceptron, averaged over members: each fits rows of its own, predictions are their mean.
-
-    params: hidden (64, 32), epochs 30, rate 1e-3, batch 256, members 4, and rows
-    (200,000), which a member fits at most: of a larger table each member gets a
-    share by hash, so that neither its task nor the driver grows with the table.
-    """
+    """A network with batch normalisation and dropout, trained where the rows lie (network.py): hidden, epochs, rate, batch, dropout, patience and rows (of a task) as parameters."""
 
     def estimator(self, df: DataFrame, target: str):
-        return _NetworkFit(self.params, self.seed, target)
+        raise NotImplementedError("fit() trains by itself")
+
+    def fit(self, df: DataFrame, features: list[str], target: str) -> Network:
+        p, self.features = self.params, list(features)
+        self.model = N.fit(
+            df, self.features, target, p.get("hidden", (128, 64, 32)), p.get("epochs", 100), p.get("rate", 1e-3), p.get("batch", 1024), p.get("dropout", 0.2), p.get("held", 0.2), p.get("patience", 10),
+            self.seed, p.get("rows", 200_000),
+        )
+        return self
+
+    def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
+        if self.model is None:
+            raise RuntimeError("fit the model first")
+        return self.model.transform(df.dropna(subset=self.features), out)
 
     def _weights(self) -> list[float]:
-        import numpy as np
-
-        # a feature's paths through all layers, as if every unit were on
-        paths = [np.linalg.multi_dot([w for w, _ in m])[:, 0] for m in self.model.members]
-        return list(np.abs(np.mean(paths, axis=0)))
-
-
-def _forward(layers, x):
-    import numpy as np
-
-    acts = [x]
-    for k, (w, b) in enumerate(layers):
-        x = x @ w + b
-        if k < len(layers) - 1:
-            x = np.maximum(x, 0)
-        acts.append(x)
-    return acts
-
-
-class _NetworkFit:
-    def __init__(self, params: dict, seed: int, target: str):
-        self.params, self.seed, self.target = params, seed, target
-
-    def fit(self, df: DataFrame) -> _NetworkModel:
-        import pickle
-
-        p, seed, target = self.params, self.seed, self.target
-        hidden, epochs, rate, batch = p.get("hidden", (64, 32)), p.get("epochs", 30), p.get("rate", 1e-3), p.get("batch", 256)
-
-        def train(pdf):
-            import numpy as np
-            import pandas as pd
-
-            r = np.random.default_rng(seed)
-            x, y = np.stack(pdf["_v"].to_numpy()), pdf[target].to_numpy(float)
-            mean, sd = x.mean(axis=0), x.std(axis=0) + 1e-12
-            ym, ys = y.mean(), y.std() + 1e-12
-            x, y = (x - mean) / sd, (y - ym) / ys
-            cut = max(1, int(len(x) * 0.8))
-            sizes = [x.shape[1], *hidden, 1]
-            layers = [[r.normal(0, np.sqrt(2 / a), (a, b)), np.zeros(b)] for a, b in zip(sizes, sizes[1:])]
-            m, v, t = ([[np.zeros_like(z) for z in layer] for layer in layers] for _ in range(3))
-            t, best, kept, stale = 0, np.inf, None, 0
-            for _ in range(epochs):
-                for at in range(0, cut, batch):
-                    some = r.permutation(cut)[:batch] if cut > batch else np.arange(cut)
-                    acts = _forward(layers, x[some])
-                    g = 2 * (acts[-1][:, 0] - y[some])[:, None] / len(some)
-                    t += 1
-                    for k in range(len(layers) - 1, -1, -1):
-                        grads = [acts[k].T @ g, g.sum(axis=0)]
-                        g = (g @ layers[k][0].T) * (acts[k] > 0) if k else g
-                        for j, d in enumerate(grads):
-                            m[k][j] = 0.9 * m[k][j] + 0.1 * d
-                            v[k][j] = 0.999 * v[k][j] + 0.001 * d * d
-                            layers[k][j] = layers[k][j] - rate * (m[k][j] / (1 - 0.9**t)) / (np.sqrt(v[k][j] / (1 - 0.999**t)) + 1e-8)
-                held = x[cut:] if cut < len(x) else x
-                loss = float(np.mean((_forward(layers, held)[-1][:, 0] - (y[cut:] if cut < len(x) else y)) ** 2))
-                if loss < best:
-                    best, kept, stale = loss, [[z.copy() for z in layer] for layer in layers], 0
-                else:
-                    stale += 1
-                    if stale >= 10:
-                        break
-            # scaling goes into the first and last layer
-            kept[0] = [kept[0][0] / sd[:, None], kept[0][1] - (mean / sd) @ kept[0][0]]
-            kept[-1] = [kept[-1][0] * ys, kept[-1][1] * ys + ym]
-            return pd.DataFrame({"m": [pickle.dumps(kept)]})
-
-        from pyspark.ml.functions import vector_to_array
-
-        # as many members as it takes for all rows, each of which trains one
-        parts = max(p.get("members", 4), -(-df.count() // p.get("rows", 200_000)))
-        rows = df.select(vector_to_array("_x").alias("_v"), F.col(target).cast("double").alias(target), F.pmod(F.xxhash64("date", "symbol"), F.lit(parts)).alias("_m"), "date", "symbol")
-        fitted = rows.groupBy("_m").applyInPandas(lambda pdf: train(pdf.sort_values(["date", "symbol"])), "m binary").collect()  # a few kilobytes a member
-        return _NetworkModel([pickle.loads(r.m) for r in fitted])
-
-
-class _NetworkModel:
-    def __init__(self, members: list):
-        self.members = members
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        from pyspark.ml.functions import vector_to_array
-
-        members = self.members
-
-        @F.pandas_udf("double")
-        def run(x):
-            import numpy as np
-            import pandas as pd
-
-            v = np.stack(x.to_numpy()) if len(x) else np.zeros((0, 1))
-            return pd.Series(np.mean([_forward(m, v)[-1][:, 0] for m in members], axis=0) if len(x) else [])
-
-        return df.withColumn("_y", run(vector_to_array("_x")))
+        return self.model.net.reach().tolist()
 
 
 MODELS = {"ridge": Ridge, "lasso": Lasso, "lightgbm": LeafwiseTrees, "xgboost": LeafwiseTrees, "gbt": BoostedTrees, "nn": Network}

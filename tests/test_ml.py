@@ -40,7 +40,7 @@ def test_lasso_has_the_descent_solution(data):
     np.testing.assert_allclose(got, w, atol=1e-5)
 
 
-@pytest.mark.parametrize("model", [ml.Ridge(), ml.BoostedTrees({"num_rounds": 10, "learning_rate": 0.3}), ml.Network({"epochs": 30, "rate": 0.01, "members": 2})])
+@pytest.mark.parametrize("model", [ml.Ridge(), ml.BoostedTrees({"num_rounds": 10, "learning_rate": 0.3}), ml.Network({"epochs": 12, "rate": 0.01, "hidden": (16, 8), "batch": 64, "dropout": 0.0})])
 def test_models_find_the_signal(data, model):
     out = model.fit(data, ["a", "b", "c"], "y").predict(data).toPandas()
     assert np.corrcoef(out.prediction, out.y)[0, 1] > 0.8
@@ -141,3 +141,45 @@ def test_leafwise_trees_on_odd_rows(spark):
     df = spark.createDataFrame([(1.0, 2.0, 1.0)] * 30 + [(None, 1.0, 1.0), (1.0, 2.0, None)], "a double, b double, y double")
     m = ml.LeafwiseTrees({"num_rounds": 3}).fit(df, ["a", "b"], "y")
     assert m.predict(df).where("abs(prediction - 1) < 1e-9").count() == 31
+
+
+def test_gradients_of_the_network():
+    """Against differences, through batch normalisation and the rectifier."""
+    from factorlake.operators.network import Net
+
+    r = np.random.default_rng(2)
+    net, x, y = Net([3, 5, 4, 1], 0.0, 1), r.normal(size=(20, 3)), r.normal(size=20)
+    for k in net.learned:
+        net.p[k] = net.p[k] + 0.1 * r.normal(size=net.p[k].shape)
+    _, grads, moments = net.gradients(x, y)
+    assert set(grads) == set(net.learned) and set(moments) == {"m0", "v0", "m1", "v1"}
+    for k in net.learned:
+        for at in np.ndindex(net.p[k].shape):
+            old, e = net.p[k][at], 1e-6
+            net.p[k][at] = old + e
+            up = net.gradients(x, y)[0]
+            net.p[k][at] = old - e
+            down = net.gradients(x, y)[0]
+            net.p[k][at] = old
+            assert grads[k][at] == pytest.approx((up - down) / (2 * e), abs=2e-6), (k, at)
+    flat = net.flat()
+    assert np.array_equal(Net([3, 5, 4, 1]).load(flat).flat(), flat)
+
+
+def test_all_rows_train_the_network(spark, data):
+    """A round over several tasks is the average of what each task gives, by its rows; held-out rows only judge."""
+    from factorlake.operators import network as N
+
+    r = np.random.default_rng(4)
+    x, y = r.normal(size=(90, 2)), r.normal(size=90)
+    rows = spark.createDataFrame([(list(map(float, a)), float(b), i >= 70) for i, (a, b) in enumerate(zip(x, y))], "x array<double>, y double, held boolean").repartition(3).cache()
+    net = N.Net([2, 4, 1], 0.0, 7)
+    weights, error = N.one_round(rows, net, 0.01, 16, 5)
+    assert error == pytest.approx(np.mean((net.predict(x[70:]) - y[70:]) ** 2))
+    parts = [spark.createDataFrame([z for z in p if not z.held], rows.schema).coalesce(1) for p in rows.rdd.glom().collect()]
+    each = [(N.one_round(p, net, 0.01, 16, 5)[0], p.count()) for p in parts]
+    np.testing.assert_allclose(weights, sum(w * n for w, n in each) / sum(n for _, n in each), rtol=1e-9)
+    model = ml.Network({"epochs": 8, "rate": 0.01, "hidden": (8,), "batch": 32, "dropout": 0.1, "rows": 150}).fit(data, ["a", "b", "c"], "y")
+    assert len(model.model.errors) >= 5 and model.model.errors[-1] < model.model.errors[0]
+    with pytest.raises(ValueError):
+        ml.Network().fit(data.where("false"), ["a"], "y")
