@@ -105,8 +105,9 @@ class StrategyAnalyzer:
         return m.groupBy("strategy", "year").pivot("m", list(range(1, 13))).agg(F.first("ret"))
 
     def rolling_sharpe(self, window: int = 60) -> DataFrame:
+        """strategy, date, sharpe over the last `window` days; null where returns don't change but for rounding."""
         mean, sd = P.rolling_mean(F.col("ret"), window, _w()), P.rolling_std(F.col("ret"), window, 0, _w())
-        return self._returns().select("strategy", "date", (F.try_divide(mean - self.risk_free / self.per_year, sd) * F.sqrt(F.lit(float(self.per_year)))).alias("sharpe"))
+        return self._returns().select("strategy", "date", (F.try_divide(mean - self.risk_free / self.per_year, F.when(sd > 1e-9, sd)) * F.sqrt(F.lit(float(self.per_year)))).alias("sharpe"))
 
     def rebalance_records(self) -> DataFrame:
         """Every trade: strategy, date, symbol, action, shares, price, notional and the cash left."""

@@ -801,11 +801,7 @@ def strategy_monthly_table(spark, sf_dir):
 
 @query(sim_(select=f"SELECT strategy, date, {r('CASE WHEN count(ret) OVER w = 60 AND stddev_pop(ret) OVER w > 1e-9 THEN avg(ret) OVER w / stddev_pop(ret) OVER w * sqrt(252) END', 4)} AS sharpe FROM led WINDOW w AS (PARTITION BY strategy ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"))
 def strategy_rolling_sharpe(spark, sf_dir):
-    # a window without any change has no ratio; its deviation may be the last bits of a sum
-    a = _analyzer(spark, sf_dir)
-    still = a._returns().withColumn("_sd", P.rolling_std(F.col("ret"), 60, 0, P.by_date("strategy"))).select("strategy", "date", "_sd")
-    out = a.rolling_sharpe().join(still, ["strategy", "date"]).withColumn("sharpe", F.when(F.col("_sd") > 1e-9, F.col("sharpe"))).drop("_sd")
-    return rounded(out, "sharpe", digits=4)
+    return rounded(_analyzer(spark, sf_dir).rolling_sharpe(), "sharpe", digits=4)
 
 
 @query(w_(EW, select=f"SELECT date, {r('ret')} AS ret FROM ew"))

@@ -143,3 +143,20 @@ def test_without_benchmark_excess_is_the_return(spark):
     b = bars(spark, 40, 2)
     own = T.strategy_returns(T.joined(FA.factor_panel(b, [FA.MACross()]), b))
     assert T.excess_returns(own, None).count() == own.count()
+
+
+def test_factor_page_and_charts(spark, tmp_path):
+    from factorlake.operators.factors import Momentum, Volatility, factor_panel
+    from factorlake.operators.selection import FactorReport
+    from factorlake.plans import report as R
+    from factorlake.sources.fixtures import synthetic_bars
+
+    bars = synthetic_bars(spark, 8, "2023-01-02", "2023-04-28")
+    report = FactorReport(factor_panel(bars, [Momentum(5), Volatility(5)]), bars, periods=(1, 5))
+    R.factor_page(report, str(tmp_path / "f" / "page.html"), max_lag=5)
+    page = (tmp_path / "f" / "page.html").read_text()
+    assert page.count("<svg") == 8 and "momentum_5" in page and "group 5" in page and "IC decay by lag" in page and page.count("type='radio'") == 3
+    assert "No data" in R.bars_and_lines("t", [1], [None]) and "<rect" in R.bars_and_lines("t", [1, 2], [0.5, -0.5]) and "M" in R.bars_and_lines("t", [1, 2, 3], None, {"<a>": [1.0, None, 2.0]})
+    heat = R.heat_map(spark.createDataFrame([(2023, 0.1, -0.2), (2024, None, 0.0)], "year int, `1` double, `2` double"), "year")
+    assert "200,40,40,1.00" in heat and "0,140,60,0.50" in heat and heat.count("<tr>") == 3
+    assert R.heat_map(spark.createDataFrame([], "year int, `1` double"), "year") == "<p>No rows.</p>"
