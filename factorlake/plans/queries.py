@@ -108,7 +108,7 @@ RSI = f"""SELECT date, symbol, CASE WHEN rsi < 30 THEN 1 WHEN rsi > 70 THEN -1 E
       CASE WHEN count(l) {WB[:-1]} ROWS UNBOUNDED PRECEDING) >= 14 THEN sum(l * w) {WB[:-1]} ROWS UNBOUNDED PRECEDING) / sum(CASE WHEN l IS NOT NULL THEN w END) {WB[:-1]} ROWS UNBOUNDED PRECEDING) END AS al
     FROM (SELECT date, symbol, CASE WHEN d IS NOT NULL THEN greatest(d, 0) END AS g, CASE WHEN d IS NOT NULL THEN greatest(-d, 0) END AS l, w
       FROM (SELECT date, symbol, close - lag(close) {WB} AS d, pow(1 - 1.0 / 14, -CAST(row_number() {WB} - 1 AS DOUBLE)) AS w FROM calm))))"""
-FACTOR_SQL = f"""fac AS (SELECT date, symbol, factor, floor(value * 1e10 + 0.5) / 1e10 AS value FROM (SELECT 'momentum_5' AS factor, * FROM ({MOM(5)}) UNION ALL SELECT 'momentum_20', * FROM ({MOM(20)})
+FACTOR_SQL = f"""fac AS (SELECT date, symbol, factor, value AS raw, floor(value * 1e10 + 0.5) / 1e10 AS value FROM (SELECT 'momentum_5' AS factor, * FROM ({MOM(5)}) UNION ALL SELECT 'momentum_20', * FROM ({MOM(20)})
   UNION ALL SELECT 'volatility_20', * FROM ({VOL(20)}) UNION ALL SELECT 'highlow_spread_20', * FROM ({HLS(20)})) WHERE value IS NOT NULL)"""
 
 
@@ -123,7 +123,7 @@ def ic_sql(method: str, factors: str = "fac", returns: str = "fwd", name: str =
         rank = lambda c: f"rank() OVER (PARTITION BY {keys} ORDER BY {c}) + (count(*) OVER (PARTITION BY {keys}, {c}) - 1) / 2.0"
         src = f"(SELECT {keys}, {rank('value')} AS a, {rank(r('ret', 10))} AS b FROM {factors} JOIN {returns} USING (date, symbol))"
     else:
-        src = f"(SELECT {keys}, value AS a, ret AS b FROM {factors} JOIN {returns} USING (date, symbol))"
+        src = f"(SELECT {keys}, raw AS a, ret AS b FROM {factors} JOIN {returns} USING (date, symbol))"
     return f"{name} AS (SELECT {keys}, CASE WHEN count(*) >= 3 THEN covar_samp(a, b) / nullif(stddev_samp(a) * stddev_samp(b), 0) END AS ic FROM {src} GROUP BY ALL)"
 
 
