@@ -113,3 +113,18 @@ def test_rolling_moments(spark, n):
         if n > 2:
             both = g[["x", "y"]].where(g.x.notna() & g.y.notna())
             np.testing.assert_allclose(got.r.astype(float).to_numpy(), both.x.rolling(n).corr(both.y).to_numpy(), rtol=1e-4, atol=1e-6)
+
+
+def test_rounding_of_large_values(spark):
+    v = [1e16 + 2, 3.7e30, -2.5e19, 1.23456, -1.5, None]
+    df = spark.createDataFrame([(x,) for x in v], "v double")
+    out = [r.x for r in df.select(S.rounded_half_up(F.col("v"), 4).alias("x")).collect()]
+    assert out[:3] == pytest.approx(v[:3], rel=1e-15) and out[3:] == [1.2346, -1.5, None]
+
+
+def test_running_product_beyond_a_long(spark):
+    from factorlake.plans.queries import rounded
+
+    df = spark.range(2000).select(F.lit("x").alias("k"), F.col("id").alias("i"), F.lit(1.05).alias("g"))
+    out = rounded(scan.running(df, ["k"], ["i"], {"nav": scan.Running("product", "g")}, 300), "nav", digits=4).orderBy("i").toPandas().nav
+    np.testing.assert_allclose(out, np.round(1.05 ** np.arange(1, 2001), 4), rtol=1e-10, atol=1.1e-4)
