@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import panel as P
+from ..functions.scratch import stored
 
 KEY = ["factor", "symbol"]
 
@@ -20,8 +21,12 @@ def _w():
 
 def joined(signals: DataFrame, market: DataFrame, price: str = "close") -> DataFrame:
     """factor, symbol, date, signal, price and ret (change of the price from the symbol's row before)."""
-    own = P.pct_change(market.select("symbol", "date", F.col(price).alias("price")), "price", "ret")
-    return signals.select("factor", "symbol", "date", F.col("value").alias("signal")).join(own, ["symbol", "date"])
+    own = P.pct_change(P.dealt(market.select("symbol", "date", F.col(price).alias("price"))), "price", "ret")
+    signals = stored(signals.select("factor", "symbol", "date", F.col("value").alias("signal")), "signals")
+    # parts of so many rows for the join, and by symbol for the windows that follow
+    n = signals.count()
+    both = P.dealt(signals, "symbol", "date", rows=n).join(P.dealt(own, "symbol", "date", rows=n), ["symbol", "date"])
+    return P.dealt(both.select("factor", "symbol", "date", "signal", "price", "ret"), rows=n)
 
 
 def direction_win_rate(rows: DataFrame) -> DataFrame:
@@ -56,7 +61,7 @@ def excess_returns(strategy: DataFrame, benchmark: DataFrame | None) -> DataFram
     """factor, symbol, date, excess: less the benchmark's return on the dates that both have; without a benchmark, the return itself."""
     if benchmark is None:
         return strategy.select(*KEY, "date", F.col("ret").alias("excess"))
-    both = strategy.join(benchmark.select("date", F.col("ret").alias("_b")), "date")
+    both = strategy.join(F.broadcast(benchmark.select("date", F.col("ret").alias("_b"))), "date")
     return both.where("ret is not null and _b is not null").select(*KEY, "date", (F.col("ret") - F.col("_b")).alias("excess"))
 
 

@@ -163,3 +163,28 @@ def test_p_value(spark):
 def test_calendar(bars):
     c = P.calendar(bars).orderBy("date_idx").collect()
     assert [r.date_idx for r in c] == list(range(len(c))) and isinstance(c[0].date, datetime.date)
+
+
+def test_densify_of_odd_rows(spark):
+    rows = [("a", "2024-01-02", 1.0), ("a", "2024-01-04", 2.0), ("a", "2024-01-04", 3.0), ("b", "2024-01-03", None), ("c", None, 5.0), (None, "2024-01-02", 6.0), (None, "2024-01-05", 7.0), ("d", "2024-01-05", 8.0), ("d", None, 9.0)]
+    df = spark.createDataFrame(rows, "symbol string, day string, close double").select("symbol", F.col("day").cast("date").alias("date"), "close")
+
+    def as_by_join(days_of):
+        days = P.calendar(days_of)
+        grid = df.select("symbol").distinct().crossJoin(days)
+        return sorted(map(str, grid.join(df, ["symbol", "date"], "left").select("symbol", F.col("date_idx").cast("int"), "date", "close").collect()))
+
+    for days_of in (df, df.where("symbol = 'a'"), df.where("date is null")):
+        assert sorted(map(str, P.densify(df, "close", days_of=days_of).collect())) == as_by_join(days_of)
+
+
+def test_parts_hold_so_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(P, "PART_ROWS", 50)
+    sizes = []
+    for symbols in (10, 40):
+        df = spark.range(symbols * 20).select(F.expr("cast(id % {} as string)".format(symbols)).alias("symbol"), F.expr("date_add(date'2024-01-01', cast(id div {} as int))".format(symbols)).alias("date"), F.lit(1.0).alias("close"))
+        for out in (P.dealt(df), P.densify(df, "close")):
+            counts = out.groupBy(F.spark_partition_id()).count().agg(F.sum("count"), F.max("count")).first()
+            assert counts[0] == symbols * 20
+            sizes.append(counts[1])
+    assert max(sizes[2:]) < 5 * 50  # a part's rows don't grow with the table
