@@ -141,3 +141,30 @@ def test_benchmarks_without_prices_are_left_out(spark):
     rows = [("2024-01-01", "A", 1.0), ("2024-01-02", "A", 2.0), ("2024-01-01", "B", None), ("2024-01-02", "B", None)]
     m = spark.createDataFrame(rows, "date string, symbol string, close double").withColumn("date", F.to_date("date"))
     assert [(r.symbol, r.ret) for r in A.benchmark_returns(m).orderBy("date").collect()] == [("A", 0.0), ("A", 1.0)]
+
+
+def test_accounts_go_through_the_days_together():
+    from factorlake.operators.simulate import holdings
+
+    r = np.random.default_rng(3)
+    rows = [(d, a, s, np.nan if r.random() < 0.1 else r.uniform(1, 40), r.choice([0.0, 0.2, 0.2, 0.5])) for d in range(40) for a in range(12) for s in range(6) if r.random() < 0.7]
+    p = pd.DataFrame(rows, columns=["day", "account", "symbol", "price", "target"])
+    before, after = holdings(p.account.to_numpy(), (p.account * 6 + p.symbol).to_numpy(), p.day.to_numpy(), p.price.to_numpy(), p.target.to_numpy(), 1000.0, 0.002)
+    p["before"], p["after"] = before, after
+    for _, own in p.groupby("account"):  # one account by itself, name by name
+        cash, held = 1000.0, {}
+        for _, day in own.groupby("day"):
+            have = [held.get(s, 0) for s in day.symbol]
+            assert day.before.tolist() == have
+            worth = cash + sum(n * x for n, x in zip(have, day.price) if x == x)
+            goal = [int(worth * t / (x * 1.002) // 1) if x == x and t > 0 else 0 for x, t in zip(day.price, day.target)]
+            now = [min(n, g) if x == x else n for n, g, x in zip(have, goal, day.price)]
+            cash += sum((n - m) * x for n, m, x in zip(have, now, day.price) if x == x) * 0.998
+            for k in sorted(range(len(now)), key=lambda k: (-day.target.iloc[k], day.symbol.iloc[k])):
+                if goal[k] > now[k]:
+                    more = min(goal[k] - now[k], max(0, int(cash // (day.price.iloc[k] * 1.002))))
+                    now[k] += more
+                    cash -= more * day.price.iloc[k] * 1.002
+            assert day.after.tolist() == now
+            held = {s: n for s, n in zip(day.symbol, now) if n}
+    assert (after != before).sum() > 500
