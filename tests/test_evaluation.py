@@ -160,3 +160,29 @@ def test_factor_page_and_charts(spark, tmp_path):
     heat = R.heat_map(spark.createDataFrame([(2023, 0.1, -0.2), (2024, None, 0.0)], "year int, `1` double, `2` double"), "year")
     assert "200,40,40,1.00" in heat and "0,140,60,0.50" in heat and heat.count("<tr>") == 3
     assert R.heat_map(spark.createDataFrame([], "year int, `1` double"), "year") == "<p>No rows.</p>"
+
+
+def test_wide_cross_sections_are_those_of_long_rows(spark):
+    from factorlake.operators import factors as FA
+    from factorlake.operators import selection as SE
+
+    b = bars(spark, 60, 12).where("hash(symbol, date) % 9 != 0")
+    own = [FA.Momentum(5), FA.Volatility(5), FA.HighLowSpread(20)]
+    panel = FA.factor_panel(b, own)
+    wide, names, rets = SE.wide_pairs(b, own, (1, 5))
+    out = SE.cross_sections(wide, names, rets, 5).cache()
+    returns = SE.forward_returns(b, (1, 5))
+
+    def table(df, *keys):
+        p = df.toPandas()
+        return p.sort_values(list(keys)).reset_index(drop=True)[sorted(p.columns)]
+
+    keys = ("factor", "period", "date")
+    pd.testing.assert_frame_equal(table(out.select(*keys, "ic"), *keys), table(SE.ic_series(panel, returns), *keys), check_dtype=False)
+    pd.testing.assert_frame_equal(table(SE.groups_in(out), *keys, "grp"), table(SE.group_returns(panel, returns), *keys, "grp"), check_dtype=False)
+    leads, lags = SE.with_leads(wide, names, rets[1], 6)
+    decay = SE.cross_sections(leads, names, lags).groupBy("factor", F.col("period").alias("lag")).agg(F.avg("ic").alias("ic"))
+    pd.testing.assert_frame_equal(table(decay, "factor", "lag"), table(SE.ic_decay(panel, SE.forward_returns(b, (1,)), 6), "factor", "lag"), check_dtype=False)
+    # a date is shuffled once: one exchange by date, whatever the number of factors and periods
+    plan = out.select(*keys, "ic")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(factor" not in plan
