@@ -128,3 +128,19 @@ def test_running_product_beyond_a_long(spark):
     df = spark.range(2000).select(F.lit("x").alias("k"), F.col("id").alias("i"), F.lit(1.05).alias("g"))
     out = rounded(scan.running(df, ["k"], ["i"], {"nav": scan.Running("product", "g")}, 300), "nav", digits=4).orderBy("i").toPandas().nav
     np.testing.assert_allclose(out, np.round(1.05 ** np.arange(1, 2001), 4), rtol=1e-10, atol=1.1e-4)
+
+
+@pytest.mark.parametrize("size", [200, 100_000])
+def test_ranks_among_marked_rows(spark, size):
+    from factorlake.operators import selection as SE
+
+    r = np.random.default_rng(8)
+    p = pd.DataFrame({"a": np.where(r.random(1500) < 0.4, 2.0, r.normal(size=1500)), "b": r.integers(0, 30, 1500) / 4, "x": r.normal(size=1500), "y": r.integers(0, 9, 1500) / 8, "z": r.normal(size=1500)})
+    for c in p:
+        p.loc[r.random(1500) < 0.15, c] = np.nan
+    df = spark.createDataFrame(p.astype(object).where(p.notna(), None).values.tolist(), "a double, b double, x double, y double, z double").repartition(4)
+    out = SE.ic_of_all(df, ["a", "b"], {1: "x", 5: "y", 9: "z"}, size).collect()
+    assert len(out) == 6
+    for row in out:
+        both = p[[row.factor, {1: "x", 5: "y", 9: "z"}[row.period]]].dropna()
+        assert row.ic == pytest.approx(both.rank().corr().iloc[0, 1], abs=1e-9)
